@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["history"]
+MODULES = ["history", "dataset"]
 
 
 def _mods():
@@ -26,5 +26,5 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    from quillmark.plans.history import q_price_features
-    return q_price_features(spark, sf_dir)
+    from quillmark.plans.dataset import q_label_counts_by_symbol
+    return q_label_counts_by_symbol(spark, sf_dir)

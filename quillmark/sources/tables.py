@@ -90,7 +90,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "title",
         F.when(F.col("id") % 6 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("body"),
         F.concat(F.lit("[{'id': "), (1000 + F.col("id") % 20).cast("string"), F.lit(", 'category_en': 'c'}]")).alias("category"),
-        F.timestampadd("SECOND", (F.col("id") * 7919) % 86400, F.col("o_orderdate")).alias("publishedTime"),
+        F.timestamp_add("SECOND", (F.col("id") * 7919) % 86400, F.col("o_orderdate")).alias("publishedTime"),
         F.when(F.col("id") % 50 == 0, F.lit(None).cast("string"))
         .when(F.col("id") % 97 == 0, F.lit("None"))
         .otherwise(F.concat(F.lit("__label__"), F.col("lang")))
