@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["history", "dataset"]
+MODULES = ["history", "dataset", "profile"]
 
 
 def _mods():
