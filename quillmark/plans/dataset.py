@@ -161,15 +161,12 @@ VIEW_WHERE = {
 }
 
 
-def _split_ctes(view: str) -> dict[str, str]:
+def split_ctes(v: str, base: str, key: str = "id", stratum: str | None = "weighted_label") -> dict[str, str]:
+    """DuckDB text of :func:`quillmark.operators.dataset.exact_split` over CTE ``base`` -> CTE ``v``."""
     r = ds.VAL / (ds.VAL + (1 - ds.VAL - ds.TEST))
-    strat = "''" if view == "msg_en" else "weighted_label"
-    v = f"sv_{view}"
+    strat = stratum or "''"
     return {
-        f"{v}_b": f"""SELECT * FROM lab WHERE {VIEW_WHERE[view]} AND weighted_label IN
-              (SELECT weighted_label FROM lab WHERE {VIEW_WHERE[view]} AND weighted_label IS NOT NULL
-               GROUP BY 1 HAVING count(*) > 2)""",
-        f"{v}_h": f"SELECT *, {strat} AS s, md5('{ds.SEED}|' || CAST(id AS VARCHAR)) AS hh FROM {v}_b",
+        f"{v}_h": f"SELECT *, {strat} AS s, md5('{ds.SEED}|' || CAST({key} AS VARCHAR)) AS hh FROM {base}",
         f"{v}_st": f"""SELECT s, count(*) AS ns, sum(count(*)) OVER () AS n,
               ceil(CAST({ds.TEST!r} AS DOUBLE) * sum(count(*)) OVER ()) AS n_test FROM {v}_h GROUP BY s""",
         f"{v}_q1": f"""SELECT *, ceil(CAST({r!r} AS DOUBLE) * (n - n_test)) AS n_val,
@@ -181,12 +178,22 @@ def _split_ctes(view: str) -> dict[str, str]:
               FROM {v}_q2""",
         f"{v}_q": f"""SELECT s, qt, fl2 + CASE WHEN row_number() OVER (ORDER BY rem2 DESC, s)
               <= n_val - sum(fl2) OVER () THEN 1 ELSE 0 END AS qv FROM {v}_q3""",
-        v: f"""SELECT h.*, CASE WHEN rk <= qt THEN 'test' WHEN rk <= qt + qv THEN 'val' ELSE 'train' END AS split
-              FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY hh, id) AS rk FROM {v}_h) h
+        v: f"""SELECT h.* EXCLUDE (s, hh, rk), CASE WHEN rk <= qt THEN 'test' WHEN rk <= qt + qv THEN 'val' ELSE 'train' END AS split
+              FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY hh, {key}) AS rk FROM {v}_h) h
               JOIN {v}_q q USING (s)""",
     }
 
 
+def _split_ctes(view: str) -> dict[str, str]:
+    v = f"sv_{view}"
+    base = {
+        f"{v}_b": f"""SELECT * FROM lab WHERE {VIEW_WHERE[view]} AND weighted_label IN
+              (SELECT weighted_label FROM lab WHERE {VIEW_WHERE[view]} AND weighted_label IS NOT NULL
+               GROUP BY 1 HAVING count(*) > 2)""",
+    }
+    return {**base, **split_ctes(v, f"{v}_b", "id", None if view == "msg_en" else "weighted_label")}
+
+
 def _count_union(views, src):
     return " UNION ALL ".join(
         f"SELECT '{k}' AS dataset, weighted_label, CAST(count(*) AS BIGINT) AS n FROM {src(k)} GROUP BY weighted_label"
