@@ -35,6 +35,8 @@ def round_sig(c, digits: int) -> Column:
     Scaling multiplies or divides by an exactly representable ``10**n`` so
     the same value rounds identically in any IEEE engine.
     """
+    if isinstance(c, str):
+        return F.expr(sql_round_sig(f"`{c}`", digits).replace("isnan(", "isnan("))
     x = col_(c)
     e = F.floor(F.log10(F.abs(x)))
     up = F.pow(F.lit(10.0), e)

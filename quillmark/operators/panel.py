@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import stage
+
 POS = "_p"      # 0-based row position within the entity
 BLK = "_b"      # position block id
 IDX = "_i"      # position inside the block
@@ -75,6 +77,11 @@ def ewm_lookback(span: float, block: int) -> int:
     return max(1, math.ceil(300 * math.log(10) / (-block * math.log(r))))
 
 
+def _d(x: float) -> str:
+    """Double literal for generated SQL."""
+    return f"CAST({x!r} AS DOUBLE)"
+
+
 def ewm(
     df: DataFrame,
     key: str,
@@ -94,105 +101,101 @@ def ewm(
     ``series`` maps an output stem to an input column; ``names`` maps the stem
     to the (mean, std) name patterns, formatted with the span.
     Returns ``df`` (halo rows included) with the new columns on own rows.
+
+    Plan: one window pass over (key, block) for block-local sums (staged), a
+    block-level total table, a carry table from the totals of the preceding
+    blocks (equi-join on block offsets 1..D, exact in doubles), and a join back.
+    Expressions are generated as SQL text: one JVM call per column.
     """
     names = names or {s: (f"{s}_ewm_{{k}}", f"{s}_ewm_std_{{k}}") for s in series}
-    own = F.col(OWN)
-    i = F.col(IDX).cast("double")
-    wpart = Window.partitionBy(key, BLK)
-    word = wpart.orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = f"PARTITION BY {key}, {BLK}"
+    run = f"OVER ({part} ORDER BY {POS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    i = f"CAST({IDX} AS DOUBLE)"
+    acc = ["0", "1", "2", "w"]
 
     # Block centre per series: mean of the block's own non-null values (guards sums against cancellation).
     cen = {s: f"_c_{s}" for s in series}
-    out = df.select("*", *[F.avg(F.when(own, F.col(c))).over(wpart).alias(cen[s]) for s, c in series.items()])
+    out = df.selectExpr("*", *[f"avg(CASE WHEN {OWN} THEN {c} END) OVER ({part}) AS {cen[s]}" for s, c in series.items()])
 
-    local_cols = []
+    local = []
     for s, c in series.items():
-        x = F.col(c)
-        z = x - F.col(cen[s])
-        ok = own & x.isNotNull()
-        local_cols.append(F.count(F.when(ok, x)).over(word).alias(f"_n_{s}"))
+        ok = f"({OWN} AND {c} IS NOT NULL)"
+        z = f"({c} - {cen[s]})"
+        local.append(f"count(CASE WHEN {ok} THEN 1 END) {run} AS _n_{s}")
         for k in spans:
             r = 1.0 - 2.0 / (k + 1.0)
-            inv = F.pow(F.lit(1.0 / r), i)     # r**(-i): bounded by r**(-(block-1))
-            inv2 = F.pow(F.lit(1.0 / (r * r)), i)
-            back = F.pow(F.lit(r), i)
-            back2 = F.pow(F.lit(r * r), i)
-            local_cols += [
-                (F.sum(F.when(ok, inv)).over(word) * back).alias(f"_l0_{s}_{k}"),
-                (F.sum(F.when(ok, inv * z)).over(word) * back).alias(f"_l1_{s}_{k}"),
-                (F.sum(F.when(ok, inv * z * z)).over(word) * back).alias(f"_l2_{s}_{k}"),
-                (F.sum(F.when(ok, inv2)).over(word) * back2).alias(f"_lw_{s}_{k}"),
+            inv, inv2 = f"power({_d(1.0 / r)}, {i})", f"power({_d(1.0 / (r * r))}, {i})"   # r**(-i) <= r**(1-block)
+            back, back2 = f"power({_d(r)}, {i})", f"power({_d(r * r)}, {i})"
+            local += [
+                f"sum(CASE WHEN {ok} THEN {inv} END) {run} * {back} AS _l0_{s}_{k}",
+                f"sum(CASE WHEN {ok} THEN {inv} * {z} END) {run} * {back} AS _l1_{s}_{k}",
+                f"sum(CASE WHEN {ok} THEN {inv} * {z} * {z} END) {run} * {back} AS _l2_{s}_{k}",
+                f"sum(CASE WHEN {ok} THEN {inv2} END) {run} * {back2} AS _lw_{s}_{k}",
             ]
-    out = out.select("*", *local_cols)
+    out = stage(out.selectExpr("*", *local), "ewm_local")
 
     # Block totals as seen at the block's last slot (position block-1).
-    acc = ["0", "1", "2", "w"]
-    tot_aggs = [F.first(cen[s]).alias(cen[s]) for s in series]
-    tot_aggs += [F.max(f"_n_{s}").alias(f"_tn_{s}") for s in series]
-    last_i = F.max(F.when(own, F.col(IDX)))
+    tot = [f"first({cen[s]}) AS {cen[s]}" for s in series] + [f"max(_n_{s}) AS _tn_{s}" for s in series]
     for s in series:
         for k in spans:
             r = 1.0 - 2.0 / (k + 1.0)
             for a in acc:
-                v = F.max_by(F.col(f"_l{a}_{s}_{k}"), F.when(own, F.col(POS)))
                 rr = r * r if a == "w" else r
-                tot_aggs.append(F.coalesce(v * F.pow(F.lit(rr), block - 1 - last_i), F.lit(0.0)).alias(f"_t{a}_{s}_{k}"))
-    totals = out.where(own).groupBy(key, BLK).agg(*tot_aggs)
+                tot.append(f"coalesce(max_by(_l{a}_{s}_{k}, {POS}) * power({_d(rr)}, {block - 1} - max({IDX})), 0.0D)"
+                           f" AS _t{a}_{s}_{k}")
+    totals = out.where(F.col(OWN)).groupBy(key, BLK).agg(*[F.expr(e) for e in tot])
 
     # Carry into block b: sum over d=1..D of R**(d-1) * (totals of b-d re-centred on b's centre).
     dmax = max(ewm_lookback(k, block) for k in spans)
-    src = totals.select(
-        key, F.col(BLK).alias("_src"), F.explode(F.sequence(F.lit(1), F.lit(dmax))).alias("_d"),
-        *[F.col(c).alias("s" + c) for c in totals.columns if c not in (key, BLK)],
+    src = totals.selectExpr(
+        key, f"{BLK} AS _src", f"explode(sequence(1, {dmax})) AS _d",
+        *[f"{c} AS s{c}" for c in totals.columns if c not in (key, BLK)],
     ).withColumn(BLK, F.col("_src") + F.col("_d"))
-    tgt = totals.select(key, BLK, *[F.col(cen[s]).alias("t" + cen[s]) for s in series])
+    tgt = totals.selectExpr(key, BLK, *[f"{cen[s]} AS t{cen[s]}" for s in series])
     pair = src.join(tgt, [key, BLK])
-    carry_aggs = []
+    carry = []
     for s in series:
         # Totals of a block without values are zero; a missing centre counts as 0.
-        delta = F.coalesce(F.col("s" + cen[s]), F.lit(0.0)) - F.coalesce(F.col("t" + cen[s]), F.lit(0.0))
+        delta = f"(coalesce(s{cen[s]}, 0.0D) - coalesce(t{cen[s]}, 0.0D))"
         for k in spans:
             r = 1.0 - 2.0 / (k + 1.0)
             rb = r ** block
             dk = ewm_lookback(k, block)
-            dec = F.when(F.col("_d") <= dk, F.pow(F.lit(rb), F.col("_d") - 1)).otherwise(F.lit(0.0))
-            dec2 = F.when(F.col("_d") <= dk, F.pow(F.lit(rb * rb), F.col("_d") - 1)).otherwise(F.lit(0.0))
-            t0, t1, t2, tw = (F.col(f"s_t{a}_{s}_{k}") for a in acc)
-            carry_aggs += [
-                F.sum(dec * t0).alias(f"_C0_{s}_{k}"),
-                F.sum(dec * (t1 + delta * t0)).alias(f"_C1_{s}_{k}"),
-                F.sum(dec * (t2 + 2 * delta * t1 + delta * delta * t0)).alias(f"_C2_{s}_{k}"),
-                F.sum(dec2 * tw).alias(f"_Cw_{s}_{k}"),
+            dec = f"(CASE WHEN _d <= {dk} THEN power({_d(rb)}, _d - 1) ELSE 0.0D END)"
+            dec2 = f"(CASE WHEN _d <= {dk} THEN power({_d(rb * rb)}, _d - 1) ELSE 0.0D END)"
+            t0, t1, t2, tw = (f"s_t{a}_{s}_{k}" for a in acc)
+            carry += [
+                f"sum({dec} * {t0}) AS _C0_{s}_{k}",
+                f"sum({dec} * ({t1} + {delta} * {t0})) AS _C1_{s}_{k}",
+                f"sum({dec} * ({t2} + 2 * {delta} * {t1} + {delta} * {delta} * {t0})) AS _C2_{s}_{k}",
+                f"sum({dec2} * {tw}) AS _Cw_{s}_{k}",
             ]
-    carry = pair.groupBy(key, BLK).agg(*carry_aggs)
+    carry_df = pair.groupBy(key, BLK).agg(*[F.expr(e) for e in carry])
     # Non-null counts before the block (exact, unbounded): a window over the small block table.
-    nprev = totals.select(
+    nprev = totals.selectExpr(
         key, BLK,
-        *[F.coalesce(F.sum(f"_tn_{s}").over(
-            Window.partitionBy(key).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias(f"_np_{s}") for s in series],
+        *[f"coalesce(sum(_tn_{s}) OVER (PARTITION BY {key} ORDER BY {BLK} "
+          f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _np_{s}" for s in series],
     )
-    carry = carry.join(nprev, [key, BLK], "right")
+    carry_df = carry_df.join(nprev, [key, BLK], "right")
 
-    res = out.join(carry, [key, BLK], "left")
+    res = out.join(carry_df, [key, BLK], "left")
     final = []
     for s in series:
-        n_obs = F.coalesce(F.col(f"_n_{s}"), F.lit(0)) + F.coalesce(F.col(f"_np_{s}"), F.lit(0))
+        n_obs = f"(coalesce(_n_{s}, 0) + coalesce(_np_{s}, 0))"
         for k in spans:
             r = 1.0 - 2.0 / (k + 1.0)
-            step = F.pow(F.lit(r), i + 1)
-            step2 = F.pow(F.lit(r * r), i + 1)
-
-            def tot(a, stp):
-                return F.coalesce(F.col(f"_l{a}_{s}_{k}"), F.lit(0.0)) + F.coalesce(F.col(f"_C{a}_{s}_{k}"), F.lit(0.0)) * stp
-
-            s0, s1, s2, sw = tot("0", step), tot("1", step), tot("2", step), tot("w", step2)
-            m1 = F.try_divide(s1, s0)
-            mean = F.when(n_obs > 0, F.coalesce(F.col(cen[s]), F.lit(0.0)) + m1)
-            var_b = F.greatest(F.try_divide(s2, s0) - m1 * m1, F.lit(0.0))
-            den = s0 * s0 - sw
-            var = F.when((n_obs >= 2) & (den > 0), var_b * F.try_divide(s0 * s0, den))
+            step, step2 = f"power({_d(r)}, {i} + 1)", f"power({_d(r * r)}, {i} + 1)"
+
+            def tot_(a, stp):
+                return f"(coalesce(_l{a}_{s}_{k}, 0.0D) + coalesce(_C{a}_{s}_{k}, 0.0D) * {stp})"
+
+            s0, s1, s2, sw = tot_("0", step), tot_("1", step), tot_("2", step), tot_("w", step2)
+            m1 = f"try_divide({s1}, {s0})"
+            mean = f"CASE WHEN {n_obs} > 0 THEN coalesce({cen[s]}, 0.0D) + {m1} END"
+            var_b = f"greatest(try_divide({s2}, {s0}) - {m1} * {m1}, 0.0D)"
+            den = f"({s0} * {s0} - {sw})"
+            var = f"CASE WHEN {n_obs} >= 2 AND {den} > 0 THEN {var_b} * try_divide({s0} * {s0}, {den}) END"
             mname, sname = names[s]
-            final += [mean.alias(mname.format(k=k)), F.sqrt(var).alias(sname.format(k=k))]
-    keep = [c for c in df.columns]
-    return res.select(*keep, *final)
+            final += [f"{mean} AS {mname.format(k=k)}", f"sqrt({var}) AS {sname.format(k=k)}"]
+    return res.selectExpr(*df.columns, *final)

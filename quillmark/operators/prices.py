@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.numeric import row_mean, safe_div
 from quillmark.operators import panel
+from quillmark.session import stage
 
 # EWM spans and percent-change periods used for the history features.
 ROLLING = [3, 7, 15, 30]
@@ -72,7 +73,7 @@ def price_features(bars: DataFrame, spans=ROLLING, scale: float = 1.0, ewm: bool
     spans = list(spans)
     halo = max(spans) if pct else 1
     base = bars.withColumn("_pm", row_mean(*DAILY_COLS))
-    blk = _blocked(base, halo)
+    blk = stage(_blocked(base, halo), "price_blocks")
     w = _lag_window()
     own = F.col(panel.OWN)
 

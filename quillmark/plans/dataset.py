@@ -11,6 +11,7 @@ from quillmark.functions.calendar import sql_after_close, sql_business_day_targe
 from quillmark.operators import dataset as ds
 from quillmark.operators.prices import price_features
 from quillmark.plans.history import _ewm_ctes, _hist_base
+from quillmark.session import stage
 from quillmark.sources import tables
 from quillmark.sources.oracle import with_views
 
@@ -33,12 +34,13 @@ def messages_with_symbol(spark, sf) -> DataFrame:
 
 def labelled(spark, sf, scale: float = 1.0, lower: bool = True) -> DataFrame:
     """Messages of known symbols joined to the trading day they can affect, labelled."""
-    hist = history(spark, sf, scale)
+    hist = stage(history(spark, sf, scale), "history")
     m = ds.known_symbols(messages_with_symbol(spark, sf), hist)
     m = ds.with_trading_day(m)
     j = ds.join_history(m, hist)
     j = ds.label(ds.ground_truth(j, k=K, lower=lower, scale=scale), lower=lower)
-    return j.select(*LABELLED_COLS)
+    # the labelled table feeds several views and splits: materialise it once (H5)
+    return stage(j.select(*LABELLED_COLS), "labelled")
 
 
 def q_msg_issuer(spark, sf):

@@ -77,3 +77,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def stage(df, name: str):
+    """Materialise ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used where a plan branches (the same intermediate feeds several joins or
+    aggregates): the branches then scan the written table instead of
+    recomputing the upstream shuffles, and the lineage is cut, so a lost
+    executor only re-reads files.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
