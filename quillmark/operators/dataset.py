@@ -108,29 +108,39 @@ def _largest_remainder(strata: DataFrame, total: Column, size_col: str, out: str
         "_fl", "_rem", "_need")
 
 
-def exact_split(df: DataFrame, key: str = "id", stratum: str | None = "weighted_label",
-                val: float = VAL, test: float = TEST, seed: int = SEED) -> DataFrame:
-    """H4: exact-size train / val / test assignment (column ``split``).
+def stratum_rank(df: DataFrame, key: str, stratum: str | None, seed: int = SEED) -> DataFrame:
+    """Add ``_s`` (stratum) and ``_rank``: 1-based rank of each row in its stratum by ``md5(seed|key)``.
 
-    Rows of each stratum are ranked by ``md5(seed|key)``.  The rank is exact
-    without a single-task window: rows are bucketed by the hash prefix, bucket
-    counts (small) are prefix-summed per stratum, and rows are numbered inside
-    their bucket.  Quotas per stratum: test by largest remainder of n_test,
-    then val over what remains; ranks fill test, then val, then train.
+    Exact without a single-task window: rows are bucketed by the hash prefix,
+    bucket counts (small) are prefix-summed per stratum, and rows are numbered
+    inside their bucket, so a stratum holding most rows still spreads over
+    16**HEX_DIGITS tasks.
     """
     s_col = F.col(stratum) if stratum else F.lit("")
     h = df.withColumns({
         "_s": s_col,
         "_h": F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))),
     }).withColumn("_bk", F.substring("_h", 1, HEX_DIGITS))
-
     counts = h.groupBy("_s", "_bk").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select(
         "_s", "_bk",
         F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
     )
-    strata = counts.groupBy("_s").agg(F.sum("_n").alias("_ns"))
+    rn = F.row_number().over(Window.partitionBy("_s", "_bk").orderBy("_h", key))
+    return h.join(offs, ["_s", "_bk"]).withColumn("_rank", F.col("_off") + rn).drop("_h", "_bk", "_off")
+
+
+def exact_split(df: DataFrame, key: str = "id", stratum: str | None = "weighted_label",
+                val: float = VAL, test: float = TEST, seed: int = SEED) -> DataFrame:
+    """H4: exact-size train / val / test assignment (column ``split``).
+
+    Rows of each stratum are ranked by ``md5(seed|key)`` (:func:`stratum_rank`).
+    Quotas per stratum: test by largest remainder of n_test, then val over what
+    remains; ranks fill test, then val, then train.
+    """
+    ranked = stratum_rank(df, key, stratum, seed)
+    strata = ranked.groupBy("_s").agg(F.count(F.lit(1)).alias("_ns"))
     n = F.sum("_ns").over(Window.partitionBy())
     n_test, n_val = split_sizes(n)
     strata = strata.withColumns({"_ntest": n_test, "_nval": n_val})
@@ -138,13 +148,16 @@ def exact_split(df: DataFrame, key: str = "id", stratum: str | None = "weighted_
     strata = strata.withColumn("_left", F.col("_ns") - F.col("_qt"))
     strata = _largest_remainder(strata, F.col("_nval"), "_left", "_qv")
     quotas = strata.select("_s", "_qt", "_qv")
-
-    rn = F.row_number().over(Window.partitionBy("_s", "_bk").orderBy("_h", key))
-    ranked = h.join(offs, ["_s", "_bk"]).withColumn("_rank", F.col("_off") + rn)
     out = ranked.join(quotas, "_s").withColumn(
         "split",
         F.when(F.col("_rank") <= F.col("_qt"), "test")
         .when(F.col("_rank") <= F.col("_qt") + F.col("_qv"), "val")
         .otherwise("train"),
     )
-    return out.drop("_s", "_h", "_bk", "_off", "_rank", "_qt", "_qv")
+    return out.drop("_s", "_rank", "_qt", "_qv")
+
+
+def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """Fold id 0..k-1 = (rank within class) mod k, so every fold keeps the class mix."""
+    r = stratum_rank(df, key, stratum, seed)
+    return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_s", "_rank")

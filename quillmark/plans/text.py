@@ -12,6 +12,7 @@ from quillmark.functions.numeric import round_sig, sql_round_sig
 from quillmark.operators import dataset as ds
 from quillmark.operators import text as tx
 from quillmark.plans.dataset import split_ctes
+from quillmark.session import stage
 from quillmark.sources import tables
 
 DIG = 10
@@ -21,7 +22,8 @@ FLAG_COLS = ["n_toxic", "n_low_quality"]
 
 def doc_split(spark, sf):
     d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return ds.exact_split(d, key="doc_id", stratum="lang")
+    # fit and test sides, their counts and vocabularies all read the split: materialise it once
+    return stage(ds.exact_split(d, key="doc_id", stratum="lang"), "doc_split")
 
 
 def _fit_apply(spark, sf):
