@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["history", "dataset", "profile", "evaluation", "text", "models", "io", "lang"]
+MODULES = ["history", "dataset", "profile", "evaluation", "text", "models", "io", "lang", "shape"]
 
 
 def _mods():
