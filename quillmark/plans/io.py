@@ -8,7 +8,6 @@ end to end on the whole tables.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import evaluate as ev
 from quillmark.plans import dataset as dp
 from quillmark.plans.evaluation import predictions
-from quillmark.session import checkpoint_dir
+from quillmark.session import fresh_path
 from quillmark.sources import ingest as ing
 from quillmark.sources import tables
 from quillmark.sources.oracle import with_views
@@ -27,7 +26,7 @@ RESULT_JSON = "accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE"
 
 
 def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, name)
 
 
 def _price_files(spark, sf) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,22 +48,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    Only when the setting is absent (local tests) a scratch folder is created
-    and recorded in the session, so later stages see the same location.
-    """
+    """Shared folder named by the cluster (``spark.checkpoint.dir``); never a machine-local one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="quillmark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share "
+                           "when the session is built; intermediates are written there")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
-    return d
+    return d.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediates; ``drop_stages`` removes it as a whole."""
+    return f"{checkpoint_dir(spark)}/quillmark-{spark.sparkContext.applicationId}"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quillmark") -> SparkSession:
-    """Session for tests and the local bench (UI off, event log optional)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quillmark",
+                  shared: str | None = None) -> SparkSession:
+    """Session for tests and the local bench: one machine, so a temporary folder is the shared one."""
     b = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -71,6 +74,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("QUILLMARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="quillmark-wh-"))
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="quillmark-ckpt-"))
     )
     for k, v in {**REQUIRED_CONF, **SCALE_CONF}.items():
         b = b.config(k, v)
@@ -79,17 +83,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return configure(spark)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path under the run folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df, name: str):
-    """Materialise ``df`` as parquet under the shared checkpoint folder and read it back.
+    """Materialise ``df`` as parquet under the run folder and read it back.
 
     Used where a plan branches (the same intermediate feeds several joins or
     aggregates): the branches then scan the written table instead of
     recomputing the upstream shuffles, and the lineage is cut, so a lost
     executor only re-reads files.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate through Spark's file system layer."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete every intermediate of this application.
+
+    Results of queries read their stages lazily, so call this once the results
+    have been written or collected.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None):
+        drop_path(spark, run_folder(spark))

@@ -11,10 +11,11 @@ SF_SMALL = os.environ.get("QUILLMARK_TEST_SF", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from quillmark.session import local_session
+    from quillmark.session import drop_stages, local_session
 
     s = local_session("*", shuffle_partitions=8, app="quillmark-tests")
     yield s
+    drop_stages(s)
     s.stop()
 
 
