@@ -6,7 +6,8 @@ queries are compared with brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from quillmark.llm import quality
+from quillmark.llm import packing, quality, records
+from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
 
@@ -15,8 +16,20 @@ def op2_isolation_forest(spark, sf):
     return quality.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op4_token_records(spark, sf):
+    """Digests of the ids of every document, read back from the written records."""
+    return records.encode(table(spark, sf, "documents"), fresh_path(spark, "records"))
+
+
+def op7_vector_best_fit(spark, sf):
+    """Every piece and its place in the packed sequences."""
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op2_isolation_forest": op2_isolation_forest,
+    "op4_token_records": op4_token_records,
+    "op7_vector_best_fit": op7_vector_best_fit,
 }
 
 ORACLE: dict[str, str] = {}
