@@ -6,7 +6,7 @@ queries are compared with brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from quillmark.llm import packing, quality, records
+from quillmark.llm import mixing, packing, quality, records
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
@@ -26,10 +26,16 @@ def op7_vector_best_fit(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+def op8_entropy_balancing(spark, sf):
+    """Words that the mix takes of every document."""
+    return mixing.mix_report(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op2_isolation_forest": op2_isolation_forest,
     "op4_token_records": op4_token_records,
     "op7_vector_best_fit": op7_vector_best_fit,
+    "op8_entropy_balancing": op8_entropy_balancing,
 }
 
 ORACLE: dict[str, str] = {}
