@@ -6,7 +6,7 @@ queries are compared with brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from quillmark.llm import mixing, packing, quality, records
+from quillmark.llm import mixing, ngram_join, packing, quality, records
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
@@ -21,6 +21,12 @@ def op4_token_records(spark, sf):
     return records.encode(table(spark, sf, "documents"), fresh_path(spark, "records"))
 
 
+def op5_token_combinations(spark, sf):
+    """Component of every document over links of three-word shingles at 90 %."""
+    found = ngram_join.near_classes(table(spark, sf, "documents"), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_vector_best_fit(spark, sf):
     """Every piece and its place in the packed sequences."""
     return packing.pack_documents(table(spark, sf, "documents"))
@@ -34,6 +40,7 @@ def op8_entropy_balancing(spark, sf):
 QUERIES = {
     "op2_isolation_forest": op2_isolation_forest,
     "op4_token_records": op4_token_records,
+    "op5_token_combinations": op5_token_combinations,
     "op7_vector_best_fit": op7_vector_best_fit,
     "op8_entropy_balancing": op8_entropy_balancing,
 }
