@@ -6,11 +6,20 @@ queries are compared with brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from quillmark.llm import mixing, ngram_join, packing, quality, records
+from pyspark.sql import functions as F
+
+from quillmark.llm import mixing, ngram_join, packing, quality, records, secrets
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
 
+def op1_secret_forest(spark, sf):
+    """Every candidate of every document with its score; values are given as digests."""
+    found = secrets.scan(table(spark, sf, "documents"))
+    return found.select("doc_id", "start", F.char_length("value").alias("length"),
+                        F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op2_isolation_forest(spark, sf):
     """Rule numbers and verdict of every document."""
     return quality.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -38,6 +47,7 @@ def op8_entropy_balancing(spark, sf):
 
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
     "op2_isolation_forest": op2_isolation_forest,
     "op4_token_records": op4_token_records,
     "op5_token_combinations": op5_token_combinations,
