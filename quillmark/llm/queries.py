@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.llm import mixing, ngram_join, packing, quality, records, secrets
+from quillmark.llm import imatch, mixing, ngram_join, packing, quality, records, secrets
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
@@ -46,6 +46,11 @@ def op8_entropy_balancing(spark, sf):
     return mixing.mix_report(table(spark, sf, "documents"))
 
 
+def op10_imatch(spark, sf):
+    """Fingerprints of every document and of its edited text."""
+    return imatch.fingerprints(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_isolation_forest": op2_isolation_forest,
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_token_combinations": op5_token_combinations,
     "op7_vector_best_fit": op7_vector_best_fit,
     "op8_entropy_balancing": op8_entropy_balancing,
+    "op10_imatch": op10_imatch,
 }
 
 ORACLE: dict[str, str] = {}
