@@ -172,7 +172,7 @@ def _last_extra(rows: DataFrame, copies: DataFrame, bucket_rows: int) -> DataFra
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2,
-         bucket_rows: int = 5000) -> tuple[DataFrame, DataFrame, dict[str | None, int], dict[str | None, float]]:
+         bucket_rows: int = 256) -> tuple[DataFrame, DataFrame, dict[str | None, int], dict[str | None, float]]:
     """(sized rows, copies by group, words by source, targets by source) of a mix."""
     rows = _sized(docs)
     slim = stage(rows.select("doc_id", "_source", "_size", "_order"), "mix_rows")
