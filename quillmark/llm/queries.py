@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.llm import imatch, mixing, ngram_join, packing, quality, records, secrets
+from quillmark.llm import imatch, mixing, ngram_join, packing, quality, records, secrets, suffix_dedup
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
@@ -46,6 +46,11 @@ def op8_entropy_balancing(spark, sf):
     return mixing.mix_report(table(spark, sf, "documents"))
 
 
+def op9_suffix_array(spark, sf):
+    """Bytes removed from every document because a string of 400 bytes repeats."""
+    return suffix_dedup.dedup(table(spark, sf, "documents")).drop("kept")
+
+
 def op10_imatch(spark, sf):
     """Fingerprints of every document and of its edited text."""
     return imatch.fingerprints(table(spark, sf, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op5_token_combinations": op5_token_combinations,
     "op7_vector_best_fit": op7_vector_best_fit,
     "op8_entropy_balancing": op8_entropy_balancing,
+    "op9_suffix_array": op9_suffix_array,
     "op10_imatch": op10_imatch,
 }
 

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 
 IRREGULAR = re.compile(r"\s |[\x1c-\x1f\x85]|<\|")
 CUT = "\x1f"
+SPACE = "\u0120"  # how the byte-level vocabulary writes a space
 # What follows the first starts a pre-token there (an apostrophe would not).
 ALSO = [("[a-zA-Z]", "[.,!*$%&#]"), ("[a-zA-Z.,!*$%&#]", "\n")]
 
@@ -33,40 +34,69 @@ def byte_bpe() -> str:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers up to ``limit`` distinct pieces."""
+    """Encodes batches of texts; remembers up to ``limit`` distinct pieces, the ones met in several batches longest."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 400_000, together: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self._forget()
+        self.limit, self.together = limit, together
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids whose bytes start with a space
+        self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
+        self._store({}, np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+
+    def _store(self, known: dict[str, int], ids: np.ndarray, length: np.ndarray) -> None:
+        self.known, self.n, self.size = known, len(length), len(ids)
+        self.ids = np.concatenate([ids, np.zeros(max(1 << 16, len(ids)), dtype=np.uint32)])
+        room = max(1 << 14, self.n)
+        self.length = np.concatenate([length, np.zeros(room, dtype=np.int64)])
+        self.start = np.concatenate([np.cumsum(length) - length, np.zeros(room, dtype=np.int64)])
+        self.met = np.zeros(self.n + room, dtype=np.int32)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.size = 0
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.length = np.zeros(1 << 14, dtype=np.int64)
+        """Keeps the pieces met again since they were learned, if they leave room for others."""
+        kept = np.flatnonzero(self.met[: self.n] > 0)
+        if len(kept) > self.limit // 2:
+            kept = kept[:0]
+        place = {int(i): k for k, i in enumerate(kept)}
+        known = {w: place[i] for w, i in self.known.items() if i in place}
+        parts = [self.ids[self.start[i]: self.start[i] + self.length[i]] for i in kept]
+        self._store(known, np.concatenate(parts) if parts else self.ids[:0], self.length[kept])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         new = self._encode(pieces)
-        flat = np.fromiter((i for x in new for i in x), dtype=np.uint32)
-        length = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-        n, end = len(self.known), self.size + len(flat)
-        while len(self.start) < n + len(new):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        while len(self.ids) < end:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.size: end] = flat
-        self.length[n: n + len(new)] = length
-        self.start[n: n + len(new)] = self.size + np.cumsum(length) - length
-        self.size = end
-        self.known.update(zip(pieces, range(n, n + len(new))))
+        return (np.fromiter((i for x in new for i in x), dtype=np.uint32),
+                np.fromiter(map(len, new), dtype=np.int64, count=len(new)))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces made of a space and other characters, many in one text: an id that opens with a space starts one."""
+        joined = ["".join(words[i: i + self.together]) for i in range(0, len(words), self.together)]
+        flat, _ = self._pieces(joined)
+        first = np.flatnonzero(self.opens[flat])
+        if len(first) != len(words):
+            return self._pieces(words)
+        return flat, np.diff(first, append=len(flat))
+
+    def _learn(self, pieces: list[str]) -> None:
+        words = [p for p in pieces if p[:1] == " " and p[1:].split() == [p[1:]]]
+        simple = set(words)
+        rest = [p for p in pieces if p not in simple]
+        for names, (flat, length) in ((words, self._words(words)), (rest, self._pieces(rest))):
+            n, end = self.n + len(names), self.size + len(flat)
+            while len(self.start) < n:
+                self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)])
+                                                     for x in (self.start, self.length, self.met))
+            while len(self.ids) < end:
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.size: end] = flat
+            self.length[self.n: n] = length
+            self.start[self.n: n] = self.size + np.cumsum(length) - length
+            self.known.update(zip(names, range(self.n, n)))
+            self.n, self.size = n, end
 
     def _regular(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.replace_substring(pa.array(texts, pa.large_string()), " ", CUT + " ")
@@ -78,10 +108,12 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.limit:
             self._forget()
-            new = words
+            new = [w for w in words if w not in self.known]
+        old = self.n
         if new:
             self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        self.met[at[at < old]] += 1
         at = at[np.asarray(pieces.indices)]
         length = self.length[at]
         total = np.concatenate([[0], np.cumsum(length)])
