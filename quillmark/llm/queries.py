@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.llm import imatch, mixing, ngram_join, packing, quality, records, secrets, suffix_dedup
+from quillmark.llm import imatch, language, mixing, ngram_join, packing, quality, records, secrets, suffix_dedup
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
@@ -25,6 +25,11 @@ def op2_isolation_forest(spark, sf):
     return quality.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op3_ftrl_language(spark, sf):
+    """Predicted language of every document, learned from three of four folds."""
+    return language.identify(table(spark, sf, "documents"))
+
+
 def op4_token_records(spark, sf):
     """Digests of the ids of every document, read back from the written records."""
     return records.encode(table(spark, sf, "documents"), fresh_path(spark, "records"))
@@ -59,6 +64,7 @@ def op10_imatch(spark, sf):
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_isolation_forest": op2_isolation_forest,
+    "op3_ftrl_language": op3_ftrl_language,
     "op4_token_records": op4_token_records,
     "op5_token_combinations": op5_token_combinations,
     "op7_vector_best_fit": op7_vector_best_fit,
