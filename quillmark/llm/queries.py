@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.llm import imatch, language, mixing, ngram_join, packing, quality, records, secrets, suffix_dedup
+from quillmark.llm import imatch, language, mixing, ngram_join, packing, pitman_yor, quality, records, secrets, suffix_dedup
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
@@ -41,6 +41,11 @@ def op5_token_combinations(spark, sf):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_pitman_yor(spark, sf):
+    """Log-probabilities of every document, learned from four of five folds."""
+    return pitman_yor.score(table(spark, sf, "documents"))
+
+
 def op7_vector_best_fit(spark, sf):
     """Every piece and its place in the packed sequences."""
     return packing.pack_documents(table(spark, sf, "documents"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_ftrl_language": op3_ftrl_language,
     "op4_token_records": op4_token_records,
     "op5_token_combinations": op5_token_combinations,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_vector_best_fit": op7_vector_best_fit,
     "op8_entropy_balancing": op8_entropy_balancing,
     "op9_suffix_array": op9_suffix_array,
