@@ -58,7 +58,7 @@ def _sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = F.col("source").cast("string")
     return docs.select(
-        "*", F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_source"),
+        F.struct("*").alias("_row"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_source"),
         F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("_size"),
         F.struct(F.xxhash64(F.lit(11), F.col("doc_id"), text).alias("h"),
                  F.monotonically_increasing_id().alias("row")).alias("_order"))
@@ -175,7 +175,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
          bucket_rows: int = 256) -> tuple[DataFrame, DataFrame, dict[str | None, int], dict[str | None, float]]:
     """(sized rows, copies by group, words by source, targets by source) of a mix."""
     rows = _sized(docs)
-    slim = stage(rows.select("doc_id", "_source", "_size", "_order"), "mix_rows")
+    slim = stage(rows.select(F.col("_row.doc_id").alias("doc_id"), "_source", "_size", "_order"), "mix_rows")
     groups = stage(slim.groupBy("_source", "_size").agg(F.count("*").alias("n")), "mix_groups")
     total = groups.groupBy("_source").agg(F.sum(F.col("n") * F.col("_size")).alias("size"), F.sum("n").alias("n"))
     by = {r["_source"]: (r["size"], r["n"]) for r in total.collect()}
@@ -210,4 +210,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, columns as given."""
     _, given, _, _ = plan(docs, **options)
     got = _with_copies(_sized(docs), given)
-    return got.where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    return got.where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")

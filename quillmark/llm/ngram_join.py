@@ -4,7 +4,7 @@ A document is its set of distinct n-word shingles; two sets link when
 100 * intersection >= percent * union.  A set of size n may miss at most
 ``slack = n - ceil(percent * n / 100)`` of its shingles in a partner.
 
-Signatures.  All shingles are ordered by estimated document frequency, rarest
+Signatures.  All shingles are ordered by their estimated number in the corpus, rarest
 first.  Rare shingles sign alone.  Frequent ones are split by hash into
 ``classes`` classes and sign in pairs of the same class, which are far rarer than
 the shingles themselves.  A prefix of the order is taken that holds
@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import WORDS, WordHashes, ascii_lower, components, mix
+from quillmark.llm.common import Rolling, by_size, components, mix, word_hashes
 from quillmark.session import stage
 
 SLICES = 64
@@ -60,36 +60,34 @@ SLICES = 64
 class Sets:
     """Distinct shingle hashes of texts, computed ``at_once`` characters at a time."""
 
-    def __init__(self, n: int, at_once: int = 2_000_000):
-        self.n, self.at_once, self.hashes = n, at_once, WordHashes()
-
-    def _sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        words = [WORDS.findall(ascii_lower(t)) if t else [] for t in texts]
-        count = np.array([len(w) for w in words], dtype=np.int64)
-        flat = self.hashes([x for w in words for x in w])
-        stop = np.cumsum(count)
-        long = max(len(flat) - self.n + 1, 0)
-        grams = np.full(long, self.n, dtype=np.uint64)
-        for i in range(self.n):
-            grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + flat[i: long + i])
-        for a, b in zip((stop - count).tolist(), stop.tolist()):
-            if b - a >= self.n:
-                yield np.unique(grams[a: b - self.n + 1])
-            else:  # the whole sequence as one shingle; its length keeps it apart from longer ones
-                h = np.full(1 if b > a else 0, b - a, dtype=np.uint64)
-                for x in flat[a:b]:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
-                yield h
+    def __init__(self, n: int, at_once: int = 500_000):
+        self.n, self.at_once, self.rolling = n, at_once, Rolling()
+
+    def _next(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return mix(h * np.uint64(0x9E3779B97F4A7C15) + words)
+
+    def grams(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The shingle hashes of each text in order of place."""
+        for first, last in by_size(texts, self.at_once):
+            words, count = word_hashes(texts[first:last], self.rolling)
+            long = max(len(words) - self.n + 1, 0)
+            every = np.full(long, self.n, dtype=np.uint64)
+            for i in range(self.n):
+                every = self._next(every, words[i: long + i])
+            stop = np.cumsum(count)
+            for a, b in zip((stop - count).tolist(), stop.tolist()):
+                if b - a >= self.n:
+                    yield every[a: b - self.n + 1]
+                else:  # the whole sequence as one shingle; its length keeps it apart from longer ones
+                    h = np.full(1 if b > a else 0, b - a, dtype=np.uint64)
+                    for x in words[a:b]:
+                        h = self._next(h, x)
+                    yield h
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size < self.at_once):
-                size += len(texts[last] or "")
-                last += 1
-            yield from self._sets(texts[first:last])
-            first = last
+        for g in self.grams(texts):
+            g = np.sort(g)
+            yield g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -97,7 +95,7 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """Document frequency of shingles by hash bucket: ``2**bits`` counts whatever the corpus size.
+    """Occurrences of shingles by hash bucket: ``2**bits`` counts whatever the corpus size.
 
     Each task counts its documents; the compressed slices are added up in two
     levels, so no group holds more than about the square root of the tasks.
@@ -106,8 +104,8 @@ def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
         from pyspark import TaskContext
         table, sets = np.zeros(1 << bits, dtype=np.uint64), Sets(n)
         for b in batches:
-            for s in sets(b.column("text").to_pylist()):
-                np.add.at(table, _bucket(s, bits), np.uint64(1))
+            for g in sets.grams(b.column("text").to_pylist()):
+                np.add.at(table, _bucket(g, bits), np.uint64(1))
         if not table.any():
             return
         pack = zstandard.ZstdCompressor(level=1)
@@ -141,7 +139,8 @@ def signatures(h: np.ndarray, freq: np.ndarray, frequent: int, percent: int, cla
     if not n:
         return h
     slack = n + (-percent * n // 100)
-    order = np.lexsort((h, freq))
+    # by estimate, then hash: the hashes come sorted
+    order = np.argsort((freq.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), kind="stable")
     h, often = h[order], freq[order] > frequent
     rare = int(n - often.sum())
     single = h[: min(rare, slack + 1)]
@@ -167,7 +166,7 @@ def signatures(h: np.ndarray, freq: np.ndarray, frequent: int, percent: int, cla
 def parity_map(h: np.ndarray) -> np.ndarray:
     """256 bits as four signed words; a shingle flips one bit, so maps differ in at most as many bits as sets in members."""
     odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(bool)).view("<i8")
+    return np.packbits(odd.astype(bool)).view(np.uint64)
 
 
 def _node(h: np.ndarray) -> int | None:
@@ -181,9 +180,6 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _signed(docs: DataFrame, n: int, percent: int, classes: int, freq, frequent: int, bits: int) -> DataFrame:
     """(doc_id, rid, node, n, rare, map, sigs); equal sets carry their signatures once a task."""
-    kinds = {"doc_id": pa.int64(), "rid": pa.int64(), "node": pa.int64(), "n": pa.int32(), "rare": pa.int32(),
-             "map": pa.list_(pa.int64()), "sigs": pa.list_(pa.int64())}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, table, seen = Sets(n), freq.value, set()
         for b in batches:
@@ -196,27 +192,57 @@ def _signed(docs: DataFrame, n: int, percent: int, classes: int, freq, frequent:
                     seen.add(node)
                 for k, v in (("node", node), ("n", len(h)), ("rare", int((f <= frequent).sum())),
                              ("map", parity_map(h) if new else None),
-                             ("sigs", signatures(h, f, frequent, percent, classes).view(np.int64) if new else None)):
+                             ("sigs", signatures(h, f, frequent, percent, classes) if new else None)):
                     cols[k].append(v)
-            arrays = [b.column("doc_id"), b.column("rid")] + [pa.array(v, kinds[k]) for k, v in cols.items()]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(list(kinds.items())))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("rid"), pa.array(cols["node"], pa.int64()), pa.array(cols["n"], pa.int32()),
+                 pa.array(cols["rare"], pa.int32()), _lists(cols["map"]), _lists(cols["sigs"])],
+                names=["doc_id", "rid", "node", "n", "rare", "map", "sigs"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, rid long, node long, n int, rare int, "
                                        "map array<long>, sigs array<long>")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, h) of the rows named by ``wanted`` (rid)."""
+def _marks(wanted: DataFrame, bits: int) -> np.ndarray:
+    """Bit map of the wanted rows' hashes: ``2**bits`` bits whatever their number."""
+    at = F.shiftrightunsigned("rid", 64 - bits)
+    words = (wanted.groupBy(F.shiftright(at, 6).alias("word"))
+             .agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(rid, {64 - bits}) & 63 AS int)))").alias("m")))
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    got = words.toPandas()
+    out[got["word"].to_numpy(dtype=np.int64)] = got["m"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, bits: int = 24) -> DataFrame:
+    """(node, h) of the rows named by ``wanted`` (rid).
+
+    The texts are not shuffled: a bit map of fixed size tells every task which rows may be
+    wanted, and the few that only look so are dropped by the join after it.
+    """
+    wanted = wanted.select("rid").distinct()
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted, bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(n)
         for b in batches:
-            got = list(sets(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in got], pa.int64()),
-                                              pa.array([h.view(np.int64) for h in got], pa.list_(pa.int64()))],
-                                             names=["node", "h"])
+            rid = np.asarray(b.column("rid"))
+            at = rid.view(np.uint64) >> np.uint64(64 - bits)
+            hit = np.flatnonzero(marks.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+            got = list(sets(b.column("text").take(pa.array(hit)).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array([_node(h) for h in got], pa.int64()),
+                                              _lists(got)], names=["rid", "node", "h"])
+
+    rows = _rows(docs).select("rid", "text").mapInArrow(run, "rid long, node long, h array<long>")
+    return rows.join(wanted, "rid", "left_semi").dropDuplicates(["node"]).drop("rid")
+
 
-    rows = _rows(docs).join(wanted.select("rid").distinct(), "rid", "left_semi").select("text")
-    return rows.mapInArrow(run, "node long, h array<long>").dropDuplicates(["node"])
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of 64-bit hashes as one list column; None gives null."""
+    offsets = np.concatenate([[0], np.cumsum([0 if a is None else len(a) for a in arrays])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, dtype=np.uint64), *[a for a in arrays if a is not None]])
+    null = pa.array([a is None for a in arrays], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)), mask=null)
 
 
 def _near(percent: int) -> Column:
@@ -305,9 +331,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = stage(near_classes(docs.select("doc_id", "text"), **options).drop("component_id"), "join_found")
     first = (found.where("root is not null").groupBy("root")
              .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("m.rid"))
-    keep = first.withColumn("_grouped", F.lit(True)).union(
-        found.where("root is null").select("rid").distinct().withColumn("_grouped", F.lit(False)))
+    keep = first.withColumn("grouped", F.lit(True)).union(
+        found.where("root is null").select("rid").distinct().withColumn("grouped", F.lit(False)))
     rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.withColumn("_rid", rid).join(keep.withColumnRenamed("rid", "_rid"), "_rid")
-    turn = F.row_number().over(Window.partitionBy("_rid").orderBy("doc_id"))  # equal rows: one stays
-    return rows.withColumn("_turn", turn).where("_turn = 1 or not _grouped").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), rid.alias("rid")).join(keep, "rid")
+    turn = F.row_number().over(Window.partitionBy("rid").orderBy("row.doc_id"))  # equal rows: one stays
+    return rows.withColumn("turn", turn).where("turn = 1 or not grouped").select("row.*")

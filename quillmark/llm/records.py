@@ -56,13 +56,15 @@ def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
 
 def unframe(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
     """(doc_id, ids as u4, place of the next record); raises ``ValueError`` on a damaged record."""
+    if len(data) < at + HEAD.size:
+        raise ValueError(f"record cut short at byte {at}")
     length, crc = HEAD.unpack_from(data, at)
     if masked(data[at: at + 8]) != crc:
         raise ValueError(f"damaged length at byte {at}")
     start = at + HEAD.size
-    payload = data[start: start + length]
     stop = start + length + CRC.size
-    if len(payload) < length or masked(payload) != CRC.unpack_from(data, start + length)[0]:
+    payload = data[start: start + length]
+    if len(data) < stop + 1 or masked(payload) != CRC.unpack_from(data, start + length)[0]:
         raise ValueError(f"damaged record at byte {at}")
     if data[stop: stop + 1] != LINE_END:
         raise ValueError(f"record at byte {at} does not end where its length says")

@@ -192,7 +192,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every secret value replaced by ``mark``; all rows and columns stay."""
     rid = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     values = (scan(docs.select("doc_id", "text"), **options).where("is_secret")
-              .groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values")))
-    rows = docs.withColumn("_rid", rid).join(values, "_rid", "left")
-    clean = F.aggregate("_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return rows.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+              .groupBy("rid").agg(F.sort_array(F.collect_set("value"), asc=False).alias("found")))
+    rows = docs.select(F.struct("*").alias("row"), rid.alias("rid")).join(values, "rid", "left")
+    clean = F.aggregate("found", F.col("row.text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    return rows.select(F.when(F.col("found").isNull(), F.col("row"))
+                       .otherwise(F.col("row").withField("text", clean)).alias("row")).select("row.*")

@@ -37,38 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import mix
+from quillmark.llm.common import Rolling, mix
 from quillmark.llm.gsaca import suffix_array
 from quillmark.session import stage
 
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))  # odd multipliers of the rolling hashes
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd multipliers of the rolling hashes
 TIE_BITS = 24
 
 
-class Rolling:
-    """Hashes of all windows of a byte string, for windows of any one size."""
-
-    def __init__(self, base: np.uint64):
-        self.base = base
-        self._grow(1 << 16)
-
-    def _grow(self, n: int) -> None:
-        with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
-
-    def __call__(self, symbols: np.ndarray, size: int) -> np.ndarray:
-        n = len(symbols)
-        if n < size:
-            return np.zeros(0, dtype=np.uint64)
-        if n >= len(self.up):
-            self._grow(2 * n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=total[1:])
-        return mix((total[size:] - total[: n - size + 1]) * self.down[: n - size + 1])
-
-
 _ROLLINGS: list[Rolling] = []
 
 
@@ -90,7 +66,7 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 def stretches(data: np.ndarray, window: int, core: int, rolling: Rolling) -> tuple[np.ndarray, ...]:
     """(anchor hash, anchor, first window, last window) of the windows of a byte string, grouped by anchor."""
-    h = rolling(data, core)
+    h = rolling.windows(data, core)
     at = np.arange(len(h), dtype=np.uint64)
     low = np.uint64((1 << TIE_BITS) - 1)
     key = (h & ~low) | (low - (at & low))  # ties: the last position
@@ -175,7 +151,7 @@ def repeated_windows(parts: pd.DataFrame, window: int, core: int, block: int) ->
     words = np.ascontiguousarray(blocks).view(np.uint64)
     code = np.full(len(words), block, dtype=np.uint64)
     for k in range(words.shape[1]):
-        code = mix(code * BASES[1] + words[:, k])
+        code = mix(code * np.uint64(BASES[1]) + words[:, k])
     _, ids = np.unique(code, return_inverse=True)
     # one sequence of all stretches, each closed by an end symbol of its own
     n, count = len(data), np.array(whole)
@@ -192,7 +168,7 @@ def repeated_windows(parts: pd.DataFrame, window: int, core: int, block: int) ->
     full = (window - block + 1) // block
     room = stop[owner] - 1 - np.arange(len(text)) >= full
     prefix = np.zeros(len(text), dtype=np.uint64)
-    rolled = rollings()[0](text, full)
+    rolled = rollings()[0].windows(text, full)
     prefix[: len(rolled)] = rolled
     a, b = order[:-1], order[1:]
     same = room[a] & room[b] & (prefix[a] == prefix[b])
@@ -208,7 +184,7 @@ def repeated_windows(parts: pd.DataFrame, window: int, core: int, block: int) ->
     own, start = own[ok], start[ok]
     first = np.cumsum(size) - size
     joined = np.concatenate(data) if n else np.zeros(0, dtype=np.uint8)
-    marks = np.stack([r(joined, window)[first[own] + start] for r in rollings()], axis=1) if len(own) else None
+    marks = np.stack([r.windows(joined, window)[first[own] + start] for r in rollings()], axis=1) if len(own) else None
     out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * n
     if marks is None:
         return out
@@ -257,7 +233,7 @@ def _hashed_verdicts(parts: DataFrame, window: int) -> DataFrame:
             out = []
             for anchor, stretch, first, data in zip(b["anchor"], b["stretch"], b["first"], b["data"]):
                 x = np.frombuffer(data, dtype=np.uint8)
-                a, c = (r(x, window).view(np.int64) for r in rollings())
+                a, c = (r.windows(x, window).view(np.int64) for r in rollings())
                 out.append(pd.DataFrame({"anchor": anchor, "stretch": stretch, "start": np.arange(len(a)) + first,
                                          "a": a, "c": c}))
             yield pd.concat(out) if out else pd.DataFrame(columns=["anchor", "stretch", "start", "a", "c"])
