@@ -160,9 +160,14 @@ class Model:
         return self.languages[k], float(p[k])
 
 
-def train(docs: DataFrame, learn: Column, bits: int = 16, sample: int = 12_000, shards: int = 8, rounds: int = 3,
-          alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> Model:
-    """Model from the rows of ``docs`` (text, lang) for which ``learn`` is true or null."""
+def train(docs: DataFrame, learn: Column, bits: int = 16, sample: int = 12_000, shard_rows: int = 1200,
+          rounds: int = 3, updates: int = 1200, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02,
+          l2: float = 0.02) -> Model:
+    """Model from the rows of ``docs`` (text, lang) for which ``learn`` is true or null.
+
+    The sample is dealt to shards of about ``shard_rows``; a shard makes at least ``updates`` steps a round,
+    passing over its rows as often as that takes.
+    """
     known = _learning(docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), learn.alias("_learn")),
                       F.col("_learn")).drop("_learn")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -189,7 +194,9 @@ def train(docs: DataFrame, learn: Column, bits: int = 16, sample: int = 12_000,
                  .where("size(at) > 0"), "language_sample")
     shape = (1 << bits, len(languages))
     state = Leader(*shape, alpha, beta, l1, l2)
-    shard = F.pmod("place", F.lit(shards + 1))  # the last one calibrates
+    shards = max(1, round(rows.count() / shard_rows))
+    part = F.pmod("place", F.lit(10))  # the last tenth calibrates
+    shard = F.when(part == 9, shards).otherwise(F.pmod(F.floor(F.col("place") / 10), F.lit(shards))).cast("int")
 
     for _ in range(rounds):
         given = docs.sparkSession.sparkContext.broadcast(state)
@@ -197,8 +204,12 @@ def train(docs: DataFrame, learn: Column, bits: int = 16, sample: int = 12_000,
         def run(group: pd.DataFrame) -> pd.DataFrame:
             own = Leader(*shape, alpha, beta, l1, l2)
             own.z, own.n = given.value.z.copy(), given.value.n.copy()
-            for at, x, y in group.sort_values(["place", "y"])[["at", "x", "y"]].itertuples(index=False):
-                own.learn(np.asarray(at, dtype=np.int64), np.asarray(x, dtype=float), y)
+            group = group.sort_values(["place", "y"])
+            given_rows = [(np.asarray(a, dtype=np.int64), np.asarray(x, dtype=float), y)
+                          for a, x, y in zip(group["at"], group["x"], group["y"])]
+            for _ in range(-(-updates // len(given_rows))):
+                for row in given_rows:
+                    own.learn(*row)
             used = np.flatnonzero(own.n.any(axis=1))
             return pd.DataFrame({"at": used, "z": list(own.z[used]), "n": list(own.n[used])})
 

@@ -246,8 +246,8 @@ def _hashed_verdicts(parts: DataFrame, window: int) -> DataFrame:
     return hits.select("anchor", "stretch", "lo", F.transform("lo", lambda x: x + window).alias("hi"))
 
 
-def covered(docs: DataFrame, window: int = 400, core: int = 100, block: int = 16, hot: int = 2000,
-            bucket_stretches: int = 3000) -> DataFrame:
+def covered(docs: DataFrame, window: int = 400, core: int = 100, block: int = 16, hot: int = 500,
+            bucket_stretches: int = 1000) -> DataFrame:
     """(rid, lo, hi): byte intervals of repeated windows of each text, unsorted and overlapping."""
     rows = _rows(docs)
     spans = stage(_spans(rows, window, core), "suffix_spans")
