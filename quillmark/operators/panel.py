@@ -20,8 +20,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.session import stage
-
 POS = "_p"      # 0-based row position within the entity
 BLK = "_b"      # position block id
 IDX = "_i"      # position inside the block
@@ -70,11 +68,11 @@ def add_blocks(df: DataFrame, block: int, halo: int) -> DataFrame:
 
 
 def ewm_lookback(span: float, block: int) -> int:
-    """Blocks of history whose decay stays above 1e-300 (smaller terms vanish in doubles)."""
+    """Blocks with values whose decayed weight still counts beside a weight of 1 (1e-30 does not in doubles)."""
     r = 1.0 - 2.0 / (span + 1.0)
     if r <= 0:
         return 1
-    return max(1, math.ceil(300 * math.log(10) / (-block * math.log(r))))
+    return 1 + math.ceil(30 * math.log(10) / (-block * math.log(r)))
 
 
 def _d(x: float) -> str:
@@ -95,107 +93,106 @@ def ewm(
     Semantics (span ``k``, ``r = 1 - 2/(k+1)``): at position i the weight of a
     non-null value at position j <= i is ``r**(i-j)``; positions of null rows
     count.  mean = sum(w x)/sum(w); var = (sum(w (x-mean)^2)/sum(w)) *
-    S0^2/(S0^2 - sum(w^2)); std is NULL until two non-null values.
+    S0^2/(S0^2 - sum(w^2)); std is NULL until two non-null values.  A null row
+    repeats the result of the last row with a value: all weights decay alike, so
+    sums are taken as of that row and never fade away.  A std right after a gap of g
+    rows is exact to about 1e-16 / r**g, as the older weights are that small beside 1.
 
     ``df`` must carry ``_p``/``_b``/``_i``/``_own`` (see :func:`add_blocks`).
     ``series`` maps an output stem to an input column; ``names`` maps the stem
     to the (mean, std) name patterns, formatted with the span.
     Returns ``df`` (halo rows included) with the new columns on own rows.
 
-    Plan: one window pass over (key, block) for block-local sums (staged), a
-    block-level total table, a carry table from the totals of the preceding
-    blocks (equi-join on block offsets 1..D, exact in doubles), and a join back.
+    Plan: block totals by one grouped aggregate, a carry table from the totals
+    of the last blocks with values (equi-join on their running number), and one
+    window pass over (key, block) for the sums inside the block.
     Expressions are generated as SQL text: one JVM call per column.
     """
     names = names or {s: (f"{s}_ewm_{{k}}", f"{s}_ewm_std_{{k}}") for s in series}
-    part = f"PARTITION BY {key}, {BLK}"
-    run = f"OVER ({part} ORDER BY {POS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rs = {k: max(1.0 - 2.0 / (k + 1.0), 1e-300) for k in spans}  # span 1: only the row itself counts
     i = f"CAST({IDX} AS DOUBLE)"
-    acc = ["0", "1", "2", "w"]
+    # Centre per entity: guards the sums of squares against cancellation.
+    centre = df.where(F.col(OWN)).groupBy(key).agg(*[F.expr(f"avg({c}) AS _c_{s}") for s, c in series.items()])
+    rows = df.join(centre, key)
 
-    # Block centre per series: mean of the block's own non-null values (guards sums against cancellation).
-    cen = {s: f"_c_{s}" for s in series}
-    out = df.selectExpr("*", *[f"avg(CASE WHEN {OWN} THEN {c} END) OVER ({part}) AS {cen[s]}" for s, c in series.items()])
+    def ok(s: str) -> str:
+        return f"({OWN} AND {series[s]} IS NOT NULL)"
 
-    local = []
-    for s, c in series.items():
-        ok = f"({OWN} AND {c} IS NOT NULL)"
-        z = f"({c} - {cen[s]})"
-        local.append(f"count(CASE WHEN {ok} THEN 1 END) {run} AS _n_{s}")
+    def sums(s: str, over: str, last: str, prefix: str) -> list[str]:
+        """Decayed sums of weights, values, squares and squared weights, as of position ``last`` of the block."""
+        z, out = f"({series[s]} - _c_{s})", []
         for k in spans:
-            r = 1.0 - 2.0 / (k + 1.0)
-            inv, inv2 = f"power({_d(1.0 / r)}, {i})", f"power({_d(1.0 / (r * r))}, {i})"   # r**(-i) <= r**(1-block)
-            back, back2 = f"power({_d(r)}, {i})", f"power({_d(r * r)}, {i})"
-            local += [
-                f"sum(CASE WHEN {ok} THEN {inv} END) {run} * {back} AS _l0_{s}_{k}",
-                f"sum(CASE WHEN {ok} THEN {inv} * {z} END) {run} * {back} AS _l1_{s}_{k}",
-                f"sum(CASE WHEN {ok} THEN {inv} * {z} * {z} END) {run} * {back} AS _l2_{s}_{k}",
-                f"sum(CASE WHEN {ok} THEN {inv2} END) {run} * {back2} AS _lw_{s}_{k}",
+            if rs[k] <= 1e-300:
+                inv = inv2 = back = back2 = None
+                x = f"max_by(CASE WHEN {ok(s)} THEN {z} END, CASE WHEN {ok(s)} THEN {POS} END) {over}"
+                out += [f"CASE WHEN {last} IS NOT NULL THEN 1.0D END AS {prefix}0_{s}_{k}", f"{x} AS {prefix}1_{s}_{k}",
+                        f"power({x}, 2) AS {prefix}2_{s}_{k}", f"CASE WHEN {last} IS NOT NULL THEN 1.0D END AS {prefix}w_{s}_{k}"]
+                continue
+            inv, inv2 = (f"power({_d(1.0 / x)}, {i})" for x in (rs[k], rs[k] ** 2))   # at most r**(1-block)
+            back, back2 = (f"power({_d(x)}, {last})" for x in (rs[k], rs[k] ** 2))
+            out += [
+                f"sum(CASE WHEN {ok(s)} THEN {inv} END) {over} * {back} AS {prefix}0_{s}_{k}",
+                f"sum(CASE WHEN {ok(s)} THEN {inv} * {z} END) {over} * {back} AS {prefix}1_{s}_{k}",
+                f"sum(CASE WHEN {ok(s)} THEN {inv} * {z} * {z} END) {over} * {back} AS {prefix}2_{s}_{k}",
+                f"sum(CASE WHEN {ok(s)} THEN {inv2} END) {over} * {back2} AS {prefix}w_{s}_{k}",
             ]
-    out = stage(out.selectExpr("*", *local), "ewm_local")
+        return out
 
-    # Block totals as seen at the block's last slot (position block-1).
-    tot = [f"first({cen[s]}) AS {cen[s]}" for s in series] + [f"max(_n_{s}) AS _tn_{s}" for s in series]
+    run = f"OVER (PARTITION BY {key}, {BLK} ORDER BY {POS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    out = rows
     for s in series:
-        for k in spans:
-            r = 1.0 - 2.0 / (k + 1.0)
-            for a in acc:
-                rr = r * r if a == "w" else r
-                tot.append(f"coalesce(max_by(_l{a}_{s}_{k}, {POS}) * power({_d(rr)}, {block - 1} - max({IDX})), 0.0D)"
-                           f" AS _t{a}_{s}_{k}")
-    totals = out.where(F.col(OWN)).groupBy(key, BLK).agg(*[F.expr(e) for e in tot])
-
-    # Carry into block b: sum over d=1..D of R**(d-1) * (totals of b-d re-centred on b's centre).
-    dmax = max(ewm_lookback(k, block) for k in spans)
-    src = totals.selectExpr(
-        key, f"{BLK} AS _src", f"explode(sequence(1, {dmax})) AS _d",
-        *[f"{c} AS s{c}" for c in totals.columns if c not in (key, BLK)],
-    ).withColumn(BLK, F.col("_src") + F.col("_d"))
-    tgt = totals.selectExpr(key, BLK, *[f"{cen[s]} AS t{cen[s]}" for s in series])
-    pair = src.join(tgt, [key, BLK])
-    carry = []
+        last = f"max(CASE WHEN {ok(s)} THEN {i} END)"
+        totals = rows.groupBy(key, BLK).agg(
+            F.expr(f"count(CASE WHEN {ok(s)} THEN 1 END) AS _n"),
+            F.expr(f"max(CASE WHEN {ok(s)} THEN {POS} END) AS _q"), *[F.expr(e) for e in sums(s, "", last, "_t")])
+        carry = _carry(totals, key, s, spans, rs, block)
+        out = out.join(carry, [key, BLK], "left")
+
+    local, drop = [], []
     for s in series:
-        # Totals of a block without values are zero; a missing centre counts as 0.
-        delta = f"(coalesce(s{cen[s]}, 0.0D) - coalesce(t{cen[s]}, 0.0D))"
-        for k in spans:
-            r = 1.0 - 2.0 / (k + 1.0)
-            rb = r ** block
-            dk = ewm_lookback(k, block)
-            dec = f"(CASE WHEN _d <= {dk} THEN power({_d(rb)}, _d - 1) ELSE 0.0D END)"
-            dec2 = f"(CASE WHEN _d <= {dk} THEN power({_d(rb * rb)}, _d - 1) ELSE 0.0D END)"
-            t0, t1, t2, tw = (f"s_t{a}_{s}_{k}" for a in acc)
-            carry += [
-                f"sum({dec} * {t0}) AS _C0_{s}_{k}",
-                f"sum({dec} * ({t1} + {delta} * {t0})) AS _C1_{s}_{k}",
-                f"sum({dec} * ({t2} + 2 * {delta} * {t1} + {delta} * {delta} * {t0})) AS _C2_{s}_{k}",
-                f"sum({dec2} * {tw}) AS _Cw_{s}_{k}",
-            ]
-    carry_df = pair.groupBy(key, BLK).agg(*[F.expr(e) for e in carry])
-    # Non-null counts before the block (exact, unbounded): a window over the small block table.
-    nprev = totals.selectExpr(
-        key, BLK,
-        *[f"coalesce(sum(_tn_{s}) OVER (PARTITION BY {key} ORDER BY {BLK} "
-          f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _np_{s}" for s in series],
-    )
-    carry_df = carry_df.join(nprev, [key, BLK], "right")
-
-    res = out.join(carry_df, [key, BLK], "left")
+        local += [f"count(CASE WHEN {ok(s)} THEN 1 END) {run} AS _n_{s}",
+                  f"max(CASE WHEN {ok(s)} THEN {POS} END) {run} AS _at_{s}",
+                  *sums(s, run, f"max(CASE WHEN {ok(s)} THEN {i} END) {run}", "_l")]
+    out = out.selectExpr("*", *local)
     final = []
     for s in series:
-        n_obs = f"(coalesce(_n_{s}, 0) + coalesce(_np_{s}, 0))"
+        n_obs = f"(_n_{s} + coalesce(_np_{s}, 0))"
         for k in spans:
-            r = 1.0 - 2.0 / (k + 1.0)
-            step, step2 = f"power({_d(r)}, {i} + 1)", f"power({_d(r * r)}, {i} + 1)"
+            # without a value in this block the carry stands as it is; else it decays up to the last value
+            gap = f"coalesce(_at_{s} - _q_{s}, 0)"
 
-            def tot_(a, stp):
-                return f"(coalesce(_l{a}_{s}_{k}, 0.0D) + coalesce(_C{a}_{s}_{k}, 0.0D) * {stp})"
+            def tot(a: str, r: float) -> str:
+                return f"(coalesce(_l{a}_{s}_{k}, 0.0D) + coalesce(_C{a}_{s}_{k} * power({_d(r)}, {gap}), 0.0D))"
 
-            s0, s1, s2, sw = tot_("0", step), tot_("1", step), tot_("2", step), tot_("w", step2)
+            s0, s1, s2, sw = tot("0", rs[k]), tot("1", rs[k]), tot("2", rs[k]), tot("w", rs[k] ** 2)
             m1 = f"try_divide({s1}, {s0})"
-            mean = f"CASE WHEN {n_obs} > 0 THEN coalesce({cen[s]}, 0.0D) + {m1} END"
+            mean = f"CASE WHEN {n_obs} > 0 THEN _c_{s} + {m1} END"
             var_b = f"greatest(try_divide({s2}, {s0}) - {m1} * {m1}, 0.0D)"
             den = f"({s0} * {s0} - {sw})"
             var = f"CASE WHEN {n_obs} >= 2 AND {den} > 0 THEN {var_b} * try_divide({s0} * {s0}, {den}) END"
             mname, sname = names[s]
             final += [f"{mean} AS {mname.format(k=k)}", f"sqrt({var}) AS {sname.format(k=k)}"]
-    return res.selectExpr(*df.columns, *final)
+    return out.selectExpr(*df.columns, *final)
+
+
+def _carry(totals: DataFrame, key: str, s: str, spans: list[int], rs: dict[int, float], block: int) -> DataFrame:
+    """Sums over the blocks before each block, as of the last position with a value (``_q``); one row per block.
+
+    Blocks with values are numbered; a block reads the last ``D`` of them, so long stretches without
+    values neither lengthen the join nor fade the sums.
+    """
+    w = f"PARTITION BY {key} ORDER BY {BLK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    t = totals.selectExpr(
+        "*", f"coalesce(sum(_n) OVER ({w}), 0) AS _np", f"coalesce(count(_q) OVER ({w}), 0) AS _nb",
+        f"max(_q) OVER ({w}) AS _before")
+    depth = max(ewm_lookback(k, block) for k in spans)
+    src = t.where("_q IS NOT NULL").selectExpr(
+        key, f"explode(sequence(1, {depth})) AS _d", "_nb", "_q AS _p_src",
+        *[f"_t{a}_{s}_{k}" for k in spans for a in "012w"]).withColumn("_nb", F.col("_nb") + F.col("_d")).drop("_d")
+    pair = t.selectExpr(key, BLK, "_nb", "_np", "_before").join(src, [key, "_nb"])
+    agg = []
+    for k in spans:
+        for a in "012w":
+            r = rs[k] ** 2 if a == "w" else rs[k]
+            agg.append(F.expr(f"sum(power({_d(r)}, _before - _p_src) * _t{a}_{s}_{k}) AS _C{a}_{s}_{k}"))
+    return pair.groupBy(key, BLK).agg(F.max("_np").alias(f"_np_{s}"), F.max("_before").alias(f"_q_{s}"), *agg)

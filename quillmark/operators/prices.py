@@ -64,11 +64,15 @@ def _ffill_carry(blk: DataFrame, col: str, halo: int) -> DataFrame:
     return carry
 
 
-def price_features(bars: DataFrame, spans=ROLLING, scale: float = 1.0, ewm: bool = True,
+SERIES = {"px": ("_pm", ("ewm_{k}", "ewm_std_{k}")), "vol": ("volume", ("dol_vol_ewm_{k}", "dol_vol_ewm_std_{k}"))}
+
+
+def price_features(bars: DataFrame, spans=ROLLING, scale: float = 1.0, series=("px", "vol"),
                    pct: bool = True) -> DataFrame:
     """The complete per-symbol chain E6 -> E1 -> E2/E3/E4 -> E5.
 
-    ``scale=100`` is the percent-unit variant (E7) for the ratio columns.
+    ``scale=100`` is the percent-unit variant (E7) for the ratio columns;
+    ``series`` names the EWM series to compute (price mean, volume).
     """
     spans = list(spans)
     halo = max(spans) if pct else 1
@@ -90,20 +94,13 @@ def price_features(bars: DataFrame, spans=ROLLING, scale: float = 1.0, ewm: bool
         )
         blk = blk.select("*", *[F.lag("_ffc", k).over(w).alias(f"_ffc_lag{k}") for k in spans])
 
-    if ewm:
-        blk = panel.ewm(
-            blk, "symbol", {"px": "_pm", "vol": "volume"}, spans, BLOCK,
-            names={"px": ("ewm_{k}", "ewm_std_{k}"), "vol": ("dol_vol_ewm_{k}", "dol_vol_ewm_std_{k}")},
-        )
+    if series:
+        blk = panel.ewm(blk, "symbol", {x: SERIES[x][0] for x in series}, spans, BLOCK, {x: SERIES[x][1] for x in series})
     out = blk.where(own)
     cols = [F.col(c) for c in bars.columns]
     feats = [v.alias(k) for k, v in intraday_columns(scale).items()]
     feats.append((safe_div(F.col("close") - F.col("_prev_open"), F.col("_prev_open")) * scale).alias("gap_pct"))
-    if ewm:
-        for k in spans:
-            feats += [F.col(f"ewm_{k}"), F.col(f"ewm_std_{k}")]
-        for k in spans:
-            feats += [F.col(f"dol_vol_ewm_{k}"), F.col(f"dol_vol_ewm_std_{k}")]
+    feats += [F.col(n.format(k=k)) for x in series for k in spans for n in SERIES[x][1]]
     if pct:
         feats += [((safe_div(F.col("_ffc"), F.col(f"_ffc_lag{k}")) - 1) * scale).alias(f"d{k}_avg_pct") for k in spans]
     return out.select(*cols, *feats)

@@ -25,7 +25,7 @@ LABELLED_COLS = ["id", "title", "body", "category", "issuerId", "publishedTime",
 
 
 def history(spark, sf, scale: float = 1.0) -> DataFrame:
-    return price_features(tables.bars(spark, sf), spans=[K], scale=scale)
+    return price_features(tables.bars(spark, sf), spans=[K], scale=scale, series=("px",))
 
 
 def messages_with_symbol(spark, sf) -> DataFrame:

@@ -31,27 +31,27 @@ def _round_ewm(df, cols):
 
 
 def q_bars_intraday(spark, sf):
-    f = price_features(tables.bars(spark, sf), ewm=False, pct=False)
+    f = price_features(tables.bars(spark, sf), series=(), pct=False)
     return f.select("symbol", "date", *INTRADAY)
 
 
 def q_bars_intraday_pct(spark, sf):
-    f = price_features(tables.bars(spark, sf), scale=100.0, ewm=False, pct=False)
+    f = price_features(tables.bars(spark, sf), scale=100.0, series=(), pct=False)
     return f.select("symbol", "date", *INTRADAY)
 
 
 def q_ewm_price(spark, sf):
-    f = price_features(tables.bars(spark, sf), pct=False)
+    f = price_features(tables.bars(spark, sf), series=("px",), pct=False)
     return _round_ewm(f.select("symbol", "date", *ewm_names("px")), ewm_names("px"))
 
 
 def q_ewm_volume(spark, sf):
-    f = price_features(tables.bars(spark, sf), pct=False)
+    f = price_features(tables.bars(spark, sf), series=("vol",), pct=False)
     return _round_ewm(f.select("symbol", "date", *ewm_names("vol")), ewm_names("vol"))
 
 
 def q_pct_change(spark, sf):
-    f = price_features(tables.bars(spark, sf), ewm=False)
+    f = price_features(tables.bars(spark, sf), series=())
     return f.select("symbol", "date", *[f"d{k}_avg_pct" for k in ROLLING])
 
 
