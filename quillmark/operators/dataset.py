@@ -116,7 +116,8 @@ def stratum_rank(df: DataFrame, key: str, stratum: str | None, seed: int = SEED)
     inside their bucket, so a stratum holding most rows still spreads over
     16**HEX_DIGITS tasks.
     """
-    s_col = F.col(stratum) if stratum else F.lit("")
+    # a null stratum is a stratum of its own: a prefix keeps it apart and joinable
+    s_col = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")) if stratum else F.lit("")
     h = df.withColumns({
         "_s": s_col,
         "_h": F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))),

@@ -19,6 +19,7 @@ PARAGRAPH_RE = r"\r?\n+"
 # Language sets of the reference's language audit (top-1 and top-3 checks).
 TOP_LANGS = ["en", "no"]
 TOP3_LANGS = ["en", "no", "sv"]
+NO_LABEL = "None"
 
 
 def _trigrams_of(text: str) -> Column:
@@ -27,9 +28,9 @@ def _trigrams_of(text: str) -> Column:
                   f"i -> substring({text}, i, 3)) ELSE array() END")
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, par, ptext, par_len): non-empty paragraphs split at line breaks (``\\r\\n`` or ``\\n``)."""
-    return (docs.select(id_col, F.posexplode(F.split(F.col(text), PARAGRAPH_RE)).alias("par", "ptext"))
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep=()) -> DataFrame:
+    """(id, *keep, par, ptext, par_len): non-empty paragraphs split at line breaks (``\\r\\n`` or ``\\n``)."""
+    return (docs.select(id_col, *keep, F.posexplode(F.split(F.col(text), PARAGRAPH_RE)).alias("par", "ptext"))
             .where(F.length("ptext") > 0).withColumn("par_len", F.length("ptext")))
 
 
@@ -47,7 +48,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     trigram vocabulary and every class, ``priors(lang, logprior)``.  The class
     list is collected (one row per language) to zero-fill the vocabulary.
     """
-    paras = paragraphs(docs.select(id_col, text, lang), id_col, text).join(docs.select(id_col, lang), id_col)
+    paras = paragraphs(docs, id_col, text, keep=[lang])
     # the counts feed the class list, the vocabulary size and the model: materialise them once
     counts = stage(trigram_counts(paras, [lang]).withColumnRenamed("n", "c"), "trigram_counts")
     stats = counts.groupBy(lang).agg(F.sum("c").alias("n_lang"))
@@ -89,8 +90,12 @@ def score_paragraphs(paras: DataFrame, model: DataFrame, priors: DataFrame, id_c
             .join(paras.select(*keys, "par_len"), keys))
 
 
-def document_language(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Length-weighted language scores per document, label = max, confidence, paragraph count."""
+def document_language(scored: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Length-weighted language scores per document, label = max, confidence, paragraph count.
+
+    A document without a scored paragraph keeps its row: label ``"None"`` (the sentinel of B4), no
+    scores, count 0.
+    """
     per = scored.groupBy(id_col, "par_label").agg(
         F.sum(F.col("par_len") * F.col("par_label_score")).alias("ws"), F.sum("par_len").alias("ln"),
         F.count(F.lit(1)).alias("np"))
@@ -99,9 +104,13 @@ def document_language(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sum("ln").alias("_len"), F.sum("np").alias("n_paragraphs"),
         F.max_by("par_label", F.struct("ws", "par_label")).alias("weighted_label"),
         F.max("ws").alias("_best"))
+    doc = docs.select(id_col).join(doc, id_col, "left")
+    scores = F.transform_values("_ws", lambda k, v: v / F.col("_len"))
     return doc.select(
-        id_col, F.transform_values("_ws", lambda k, v: v / F.col("_len")).alias("weighted_scores"),
-        "weighted_label", (F.col("_best") / F.col("_len")).alias("weighted_label_conf"), "n_paragraphs")
+        id_col, F.coalesce(scores, F.create_map().cast("map<string,double>")).alias("weighted_scores"),
+        F.coalesce("weighted_label", F.lit(NO_LABEL)).alias("weighted_label"),
+        (F.col("_best") / F.col("_len")).alias("weighted_label_conf"),
+        F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"))
 
 
 def top_languages(scores: Column, n: int = 3) -> Column:

@@ -133,14 +133,20 @@ def term_ids(vocab_terms: DataFrame, first_id: int = 2) -> DataFrame:
 
 def encode(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str = "text",
            max_len: int = BLOCK_TOKENS, truncate: bool = True) -> DataFrame:
-    """Token ids in text order, truncated to ``max_len`` (when asked), padded with 0 + mask."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(text)).alias("pos", "term"))
-    t = t.join(ids, "term", "left").select("doc_id", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))
-    seq = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("_s"))
-    ids_col = F.transform("_s", lambda s: s["tid"])
+    """Token ids in text order, truncated to ``max_len`` (when asked), padded with 0 + mask.
+
+    A text without a token is all padding.  Texts are cut before the join, and a term is looked up
+    once per document: (document, term) with its positions, so a frequent word costs a row a document.
+    """
+    words = tokens(text)
     if truncate:
-        ids_col = F.slice(ids_col, 1, max_len)
-    seq = seq.select("doc_id", ids_col.alias("ids"))
+        words = F.slice(words, 1, max_len)
+    t = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words).alias("pos", "term"))
+    t = t.groupBy("doc_id", "term").agg(F.collect_list("pos").alias("at")).join(ids, "term", "left")
+    pairs = F.transform("at", lambda p: F.struct(p.alias("pos"), F.coalesce("token_id", F.lit(UNK_ID)).alias("tid")))
+    seq = t.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("_s"))
+    seq = (docs.select(F.col(id_col).alias("doc_id")).join(seq, "doc_id", "left")
+           .select("doc_id", F.coalesce(F.transform("_s", lambda s: s["tid"]), F.array().cast("array<int>")).alias("ids")))
     n = F.size("ids")
     pad = F.greatest(F.lit(max_len) - n, F.lit(0))
     return seq.select(

@@ -24,7 +24,7 @@ def _model(spark, sf):
 def doc_language(spark, sf):
     model, priors, test = _model(spark, sf)
     scored = li.score_paragraphs(li.paragraphs(test), model, priors)
-    return li.document_language(scored).join(test.select("doc_id", "lang"), "doc_id")
+    return li.document_language(scored, test).join(test.select("doc_id", "lang"), "doc_id")
 
 
 def q_paragraph_lang(spark, sf):
@@ -49,7 +49,9 @@ def q_title_lang(spark, sf):
     paras = t.select("doc_id", F.lit(0).alias("par"), F.col("title_clean").alias("ptext"),
                      F.length("title_clean").alias("par_len"))
     s = li.score_paragraphs(paras, model, priors)
-    return s.join(t, "doc_id").select("doc_id", "title_clean", F.col("par_label").alias("title_lang"),
+    # a title without a known trigram keeps its row with the label "None"
+    s = t.join(s, "doc_id", "left")
+    return s.select("doc_id", "title_clean", F.coalesce("par_label", F.lit(li.NO_LABEL)).alias("title_lang"),
                                       round_sig(F.col("par_label_score"), DIG).alias("title_lang_score"))
 
 
@@ -99,9 +101,12 @@ def _doc_ctes() -> dict:
         **_score_ctes("tpar"),
         "per": """SELECT doc_id, par_label, sum(par_len * par_label_score) AS ws, sum(par_len) AS ln, count(*) AS np
                   FROM scored GROUP BY ALL""",
-        "doc": """SELECT doc_id, sum(ln) AS len, sum(np) AS n_paragraphs, arg_max(par_label, ws) AS weighted_label,
+        "doc0": """SELECT doc_id, sum(np) AS n_paragraphs, arg_max(par_label, ws) AS weighted_label,
                   max(ws) / sum(ln) AS weighted_label_conf,
                   list(par_label ORDER BY ws DESC, par_label)[1:3] AS top3 FROM per GROUP BY doc_id""",
+        "doc": f"""SELECT t.doc_id, coalesce(d.n_paragraphs, 0) AS n_paragraphs,
+                  coalesce(d.weighted_label, '{li.NO_LABEL}') AS weighted_label, d.weighted_label_conf,
+                  coalesce(d.top3, CAST([] AS VARCHAR[])) AS top3 FROM tst t LEFT JOIN doc0 d USING (doc_id)""",
     }
 
 
@@ -133,6 +138,7 @@ ORACLE = {
     "q_lang_mix": tp._with(_doc_ctes(), f"""SELECT CAST(count(*) AS BIGINT) AS n_rows,
         CAST(count_if(weighted_label NOT IN ({_S})) AS BIGINT) AS n_top_outside,
         CAST(count_if(NOT list_has_any(top3, [{_S3}])) AS BIGINT) AS n_top3_none FROM doc"""),
-    "q_title_lang": tp._with(_title_ctes(), f"""SELECT s.doc_id, t.ptext AS title_clean, s.par_label AS title_lang,
-        {sql_round_sig('s.par_label_score', DIG)} AS title_lang_score FROM scored s JOIN ttl t USING (doc_id)"""),
+    "q_title_lang": tp._with(_title_ctes(), f"""SELECT t.doc_id, t.ptext AS title_clean,
+        coalesce(s.par_label, '{li.NO_LABEL}') AS title_lang,
+        {sql_round_sig('s.par_label_score', DIG)} AS title_lang_score FROM ttl t LEFT JOIN scored s USING (doc_id)"""),
 }

@@ -39,9 +39,9 @@ def _n(df):
 
 def _flags(spark, sf):
     """Dictionary-like table: per term, counts of labelled documents by category."""
-    terms = tx.doc_terms(tables.table(spark, sf, "documents"))
     lab = tables.table(spark, sf, "labels")
-    return terms.join(lab, "doc_id").groupBy("term").agg(
+    labelled = tables.table(spark, sf, "documents").select("doc_id", "text").join(lab.select("doc_id"), "doc_id", "left_semi")
+    return tx.doc_terms(labelled).join(lab, "doc_id").groupBy("term").agg(
         F.count_if(F.col("quality") == 1).alias("n_high_quality"),
         F.count_if(F.col("toxic") == 1).alias("n_toxic"),
         F.count_if(F.col("quality") == 0).alias("n_low_quality"))
@@ -175,9 +175,11 @@ def _encode_sql(src: str, key: str, text: str, truncate: bool) -> str:
                     unnest(range(len(regexp_extract_all(lower({text}), '{tx.TOKEN_RE}')))) AS pos FROM {src}""",
         "seq": f"""SELECT doc_id, {ids} AS ids FROM (SELECT t.doc_id, list(coalesce(i.token_id, {tx.UNK_ID}) ORDER BY t.pos) AS ids
                    FROM toks t LEFT JOIN ids i USING (term) WHERE t.term IS NOT NULL GROUP BY t.doc_id)""",
+        "every": f"""SELECT x.{key} AS doc_id, coalesce(s.ids, CAST([] AS INTEGER[])) AS ids
+                   FROM {src} x LEFT JOIN seq s ON s.doc_id = x.{key}""",
     }, f"""SELECT doc_id, list_concat(ids, list_resize(CAST([] AS INTEGER[]), greatest({L} - len(ids), 0), {tx.PAD_ID})) AS input_ids,
           list_transform(range(greatest(len(ids), {L})), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END) AS attention_mask
-          FROM seq""")
+          FROM every""")
 
 
 QUERIES = {
