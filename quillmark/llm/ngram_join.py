@@ -25,7 +25,7 @@ Candidates.  Equal sets are one node.  Nodes under a signature are first compare
 with one hub (a star, not all pairs).  Verified links merge nodes; what is still
 in different components under one signature is then compared pairwise, inside a
 join whose condition holds the size bound and a bound on the difference of two
-256-bit parity maps, so only likely pairs leave it.  Every surviving pair is
+parity maps (256 bits, and a map as wide as the set for larger ones), so only likely pairs leave it.  Every surviving pair is
 verified on the whole sets.  A pair that is not compared lies in one component already,
 so the components are exactly those of all links.
 
@@ -163,10 +163,15 @@ def signatures(h: np.ndarray, freq: np.ndarray, frequent: int, percent: int, cla
     return np.unique(np.concatenate(out))
 
 
-def parity_map(h: np.ndarray) -> np.ndarray:
-    """256 bits as four signed words; a shingle flips one bit, so maps differ in at most as many bits as sets in members."""
-    odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(bool)).view(np.uint64)
+def parity_map(h: np.ndarray, bits: int = 256) -> np.ndarray:
+    """``bits`` bits as 64-bit words; a shingle flips one, so maps differ in at most as many bits as sets in members."""
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def wide_map(h: np.ndarray) -> np.ndarray | None:
+    """A parity map of at least as many bits as shingles, for sets that would fill 256 bits."""
+    return parity_map(h, 256 << (len(h) // 256).bit_length()) if len(h) >= 256 else None
 
 
 def _node(h: np.ndarray) -> int | None:
@@ -183,7 +188,7 @@ def _signed(docs: DataFrame, n: int, percent: int, classes: int, freq, frequent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, table, seen = Sets(n), freq.value, set()
         for b in batches:
-            cols = {k: [] for k in ("node", "n", "rare", "map", "sigs")}
+            cols = {k: [] for k in ("node", "n", "rare", "map", "wide", "sigs")}
             for h in sets(b.column("text").to_pylist()):
                 node = _node(h)
                 f = table[_bucket(h, bits)]
@@ -191,16 +196,16 @@ def _signed(docs: DataFrame, n: int, percent: int, classes: int, freq, frequent:
                 if new:
                     seen.add(node)
                 for k, v in (("node", node), ("n", len(h)), ("rare", int((f <= frequent).sum())),
-                             ("map", parity_map(h) if new else None),
+                             ("map", parity_map(h) if new else None), ("wide", wide_map(h) if new else None),
                              ("sigs", signatures(h, f, frequent, percent, classes) if new else None)):
                     cols[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("rid"), pa.array(cols["node"], pa.int64()), pa.array(cols["n"], pa.int32()),
-                 pa.array(cols["rare"], pa.int32()), _lists(cols["map"]), _lists(cols["sigs"])],
-                names=["doc_id", "rid", "node", "n", "rare", "map", "sigs"])
+                 pa.array(cols["rare"], pa.int32()), _lists(cols["map"]), _lists(cols["wide"]),
+                 _lists(cols["sigs"])], names=["doc_id", "rid", "node", "n", "rare", "map", "wide", "sigs"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, rid long, node long, n int, rare int, "
-                                       "map array<long>, sigs array<long>")
+                                       "map array<long>, wide array<long>, sigs array<long>")
 
 
 def _marks(wanted: DataFrame, bits: int) -> np.ndarray:
@@ -234,7 +239,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, bits: int = 24) -> Data
                                               _lists(got)], names=["rid", "node", "h"])
 
     rows = _rows(docs).select("rid", "text").mapInArrow(run, "rid long, node long, h array<long>")
-    return rows.join(wanted, "rid", "left_semi").dropDuplicates(["node"]).drop("rid")
+    return rows.join(wanted, "rid", "left_semi").dropDuplicates(["rid"]).drop("rid")
 
 
 def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
@@ -246,11 +251,27 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
 
 
 def _near(percent: int) -> Column:
-    """Whether nodes a and b may link by size and by their parity maps."""
+    """Whether nodes a and b may link by size and by their parity maps.
+
+    Wide maps of two lengths are compared after folding the longer one (the exclusive or of its halves is
+    the map of half the length); lengths further apart are not compared.
+    """
     a, b = F.col("a.n"), F.col("b.n")
     differ = sum((F.bit_count(F.col("a.map")[i].bitwiseXOR(F.col("b.map")[i])) for i in range(4)), F.lit(0))
-    return ((100 * F.least(a, b) >= percent * F.greatest(a, b))
-            & (differ * (100 + percent) <= (a + b) * (100 - percent)))
+
+    def bits(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+
+    def folded(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    wa, wb = F.col("a.wide"), F.col("b.wide")
+    wide = (F.when(F.size(wa) == F.size(wb), bits(wa, wb)).when(F.size(wa) == 2 * F.size(wb), bits(folded(wa), wb))
+            .when(2 * F.size(wa) == F.size(wb), bits(wa, folded(wb))).otherwise(0))
+    limit = (a + b) * (100 - percent)
+    return ((100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ * (100 + percent) <= limit)
+            & (wa.isNull() | wb.isNull() | (wide * (100 + percent) <= limit)))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -288,13 +309,14 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int =
         WHERE members > 1"""), "join_shared")
     spark.catalog.dropTempView("quillmark_shared")
     nodes = stage(signed.where("sigs is not null").join(shared.select("node").distinct(), "node", "left_semi")
-                  .groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("map").alias("map")),
+                  .groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("map").alias("map"),
+                                       F.min("wide").alias("wide")),
                   "join_nodes")
-    maps = nodes.select("node", "n", "map")
+    maps = nodes.select("node", "n", "map", "wide")
 
     def known(pairs: DataFrame) -> DataFrame:
-        got = (pairs.join(maps.select(F.col("node").alias("a"), F.struct("n", "map").alias("x")), "a")
-               .join(maps.select(F.col("node").alias("b"), F.struct("n", "map").alias("y")), "b"))
+        got = (pairs.join(maps.select(F.col("node").alias("a"), F.struct("n", "map", "wide").alias("x")), "a")
+               .join(maps.select(F.col("node").alias("b"), F.struct("n", "map", "wide").alias("y")), "b"))
         return got.select("a", "b", F.col("x").alias("xa"), F.col("y").alias("yb"))
 
     star = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -305,7 +327,7 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int =
     roots = components(links, "join_roots")
 
     rest = (shared.join(roots, "node", "left").join(maps, "node")
-            .select("sig", "node", F.coalesce("root", "node").alias("root"), "n", "map", "hub"))
+            .select("sig", "node", F.coalesce("root", "node").alias("root"), "n", "map", "wide", "hub"))
     spread = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
     rest = stage(rest.join(spread, "sig", "left_semi"), "join_rest")
     pairs = (rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node"))

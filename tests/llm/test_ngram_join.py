@@ -57,6 +57,8 @@ def near_rows():
     line = prose(4000, 40)
     rows += [(200 + k, f"{prose(5000 + k, 30)} {line} {prose(6000 + k, 25)}") for k in range(30)]
     rows += [(300 + k, prose(7000 + k % 4, 4 + k % 9)) for k in range(40)]
+    large = prose(8000, 700)  # sizes around the steps of the wide maps
+    rows += [(400 + k, edited(" ".join(large.split(" ")[: 480 + 12 * k]), 8100 + k, k % 4)) for k in range(10)]
     return rows
 
 
@@ -97,6 +99,11 @@ def test_parity_maps_bound_the_difference():
         bits = sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((x ^ y) & (2**64 - 1)).bit_count()
                    for x, y in zip(map(int, ngram_join.parity_map(a)), map(int, ngram_join.parity_map(b))))
         assert bits <= len(np.setxor1d(a, b))
+    big = np.unique(r.integers(1, 2**63, 3000).astype(np.uint64))
+    wide = ngram_join.wide_map(big)
+    assert len(wide) * 64 >= len(big) and ngram_join.wide_map(big[:255]) is None
+    half = len(wide) // 2  # folding gives the map of half the length
+    assert (wide[:half] ^ wide[half:] == ngram_join.parity_map(big, half * 64)).all()
 
 
 def test_one_of_each(make, awkward):
