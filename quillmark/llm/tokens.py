@@ -143,7 +143,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(batch: pa.RecordBatch, path: str, end: int, at_once: int = 10_000_000):
+def encoded(batch: pa.RecordBatch, path: str, end: int, at_once: int = 6_000_000):
     """Yields (row, ids with the end id) of a batch with a ``text`` column, ``at_once`` characters at a time."""
     texts = batch.column("text").to_pylist()
     first = 0
