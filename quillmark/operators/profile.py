@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import stage
+
 # Python ``str.split()`` whitespace: ASCII whitespace, \x1c-\x1f, \x85 and Unicode separators.
 PY_WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
 JAVA_WS = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -36,22 +38,36 @@ def null_profile(df: DataFrame, cols=None) -> DataFrame:
                   *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols])
 
 
+def _range_of(x: Column, bounds: Column, step: int) -> Column:
+    """Number of sorted ``bounds`` below ``x``: every ``step``-th first, then the block that holds it."""
+    coarse = F.size(F.filter(F.expr(f"filter(_bd, (b, i) -> i % {step} = {step - 1})"), lambda b: b < x)) * step
+    return coarse + F.size(F.filter(F.slice(bounds, coarse + 1, F.lit(step)), lambda b: b < x))
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_ranges: int = 1024,
                     accuracy: int = 10000) -> DataFrame:
-    """One row with ``q{p}`` columns: linear-interpolation quantiles of non-null ``col``."""
+    """One row with ``q{p}`` columns: linear-interpolation quantiles of non-null ``col``.
+
+    Values are counted once (staged), cut into ranges by approximate quantiles, and only the ranges that
+    hold a wanted position are sorted.
+    """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    vc = stage(x.groupBy("x").agg(F.count(F.lit(1)).alias("c")), "value_counts")
     cuts = [i / n_ranges for i in range(1, n_ranges)]
     # One row holding ~n_ranges cut points (fixed size, independent of the data volume).
-    bounds = x.agg(F.percentile_approx("x", cuts, accuracy).alias("_bd"), F.lit(1).alias("_k"))
-    vc = x.groupBy("x").agg(F.count(F.lit(1)).alias("c")).withColumn("_k", F.lit(1))
-    vc = (vc.join(F.broadcast(bounds), "_k")
-          .withColumn("rg", F.size(F.filter("_bd", lambda b: b < F.col("x")))).drop("_k", "_bd"))
+    bounds = vc.agg(F.percentile_approx("x", cuts, accuracy).alias("_bd"), F.lit(1).alias("_k"))
+    vc = (vc.withColumn("_k", F.lit(1)).join(F.broadcast(bounds), "_k")
+          .withColumn("rg", _range_of(F.col("x"), F.col("_bd"), 32)).drop("_k", "_bd"))
     rg = vc.groupBy("rg").agg(F.sum("c").alias("rc"))
     # At most n_ranges rows: the un-partitioned running sum stays tiny.
-    rg = rg.select("rg", (F.sum("rc").over(Window.orderBy("rg")) - F.col("rc")).alias("roff"),
+    rg = rg.select("rg", (F.sum("rc").over(Window.orderBy("rg")) - F.col("rc")).alias("roff"), "rc",
                    F.sum("rc").over(Window.partitionBy()).alias("n"))
+    holds = F.lit(False)
+    for p in probs:
+        for k in (F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))):
+            holds = holds | ((k >= F.col("roff")) & (k < F.col("roff") + F.col("rc")))
     within = Window.partitionBy("rg").orderBy("x")
-    v = vc.join(rg, "rg").withColumn("start", F.col("roff") + F.sum("c").over(within) - F.col("c"))
+    v = vc.join(F.broadcast(rg.where(holds)), "rg").withColumn("start", F.col("roff") + F.sum("c").over(within) - F.col("c"))
     v = v.withColumn("end", F.col("start") + F.col("c"))
     aggs = []
     tag = {p: str(int(round(p * 100))) for p in probs}

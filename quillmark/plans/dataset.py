@@ -33,14 +33,14 @@ def messages_with_symbol(spark, sf) -> DataFrame:
 
 
 def labelled(spark, sf, scale: float = 1.0, lower: bool = True) -> DataFrame:
-    """Messages of known symbols joined to the trading day they can affect, labelled."""
-    hist = stage(history(spark, sf, scale), "history")
-    m = ds.known_symbols(messages_with_symbol(spark, sf), hist)
-    m = ds.with_trading_day(m)
-    j = ds.join_history(m, hist)
-    j = ds.label(ds.ground_truth(j, k=K, lower=lower, scale=scale), lower=lower)
-    # the labelled table feeds several views and splits: materialise it once (H5)
-    return stage(j.select(*LABELLED_COLS), "labelled")
+    """Messages of known symbols joined to the trading day they can affect, labelled.
+
+    Lazy: a query that reads no text carries none through its joins.  The inner join on
+    (symbol, day) already drops unknown symbols (B2), so no separate filter runs.
+    """
+    m = ds.with_trading_day(messages_with_symbol(spark, sf))
+    j = ds.join_history(m, history(spark, sf, scale))
+    return ds.label(ds.ground_truth(j, k=K, lower=lower, scale=scale), lower=lower).select(*LABELLED_COLS)
 
 
 def q_msg_issuer(spark, sf):
@@ -62,9 +62,8 @@ def q_business_day(spark, sf):
 
 
 def q_msg_history(spark, sf):
-    hist = tables.bars(spark, sf)
-    m = ds.with_trading_day(ds.known_symbols(messages_with_symbol(spark, sf), hist))
-    return ds.join_history(m, hist).select("id", "symbol", "next_day", "open", "high", "low", "close", "volume")
+    m = ds.with_trading_day(messages_with_symbol(spark, sf))
+    return ds.join_history(m, tables.bars(spark, sf)).select("id", "symbol", "next_day", "open", "high", "low", "close", "volume")
 
 
 def q_ground_truth(spark, sf):
@@ -88,8 +87,12 @@ def q_label_counts_by_symbol(spark, sf):
             .orderBy("symbol", "label"))
 
 
+VIEW_COLS = ["id", "symbol", "weighted_label", "label"]
+
+
 def _views(spark, sf):
-    return ds.language_views(labelled(spark, sf))
+    """H5: the language views; keys and labels only are staged once for all of them, texts are joined back where needed."""
+    return ds.language_views(stage(labelled(spark, sf).select(*VIEW_COLS), "labelled"))
 
 
 def q_language_views(spark, sf):

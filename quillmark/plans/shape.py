@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.numeric import round_sig, sql_round_sig
 from quillmark.plans import dataset as dp
+from quillmark.sources import tables
 
 DIG = 8
 # Label ids of the transformer scoring path (0 positive, 1 neutral, 2 negative).
@@ -33,7 +34,7 @@ def q_projection(spark, sf):
 
 def q_label_ids(spark, sf):
     """Model input shape: ``title`` renamed to ``text``, label as id, all else dropped."""
-    s = _split(spark, sf)
+    s = _split(spark, sf).join(tables.messages(spark, sf).select("id", "title"), "id")
     return s.select("id", F.col("title").alias("text"), label_ids(F.col("label")).alias("labels"), "split")
 
 
