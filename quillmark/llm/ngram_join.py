@@ -251,14 +251,19 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
 
 
 def _near(percent: int) -> Column:
-    """Whether nodes a and b may link by size and by their parity maps.
-
-    Wide maps of two lengths are compared after folding the longer one (the exclusive or of its halves is
-    the map of half the length); lengths further apart are not compared.
-    """
+    """Whether nodes a and b may link by size and by their 256-bit parity maps."""
     a, b = F.col("a.n"), F.col("b.n")
     differ = sum((F.bit_count(F.col("a.map")[i].bitwiseXOR(F.col("b.map")[i])) for i in range(4)), F.lit(0))
+    return ((100 * F.least(a, b) >= percent * F.greatest(a, b))
+            & (differ * (100 + percent) <= (a + b) * (100 - percent)))
+
 
+def _widely_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their wide maps too.
+
+    Maps of two lengths are compared after folding the longer one (the exclusive or of its halves is the
+    map of half the length); sets without a wide map and lengths further apart stay.
+    """
     def bits(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
 
@@ -266,17 +271,19 @@ def _near(percent: int) -> Column:
         half = (F.size(x) / 2).cast("int")
         return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
 
-    wa, wb = F.col("a.wide"), F.col("b.wide")
-    wide = (F.when(F.size(wa) == F.size(wb), bits(wa, wb)).when(F.size(wa) == 2 * F.size(wb), bits(folded(wa), wb))
-            .when(2 * F.size(wa) == F.size(wb), bits(wa, folded(wb))).otherwise(0))
-    limit = (a + b) * (100 - percent)
-    return ((100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ * (100 + percent) <= limit)
-            & (wa.isNull() | wb.isNull() | (wide * (100 + percent) <= limit)))
+    wide = nodes.where("wide is not null").select("node", F.struct("n", "wide").alias("w"))
+    both = (pairs.join(wide.select(F.col("node").alias("a"), F.col("w").alias("x")), "a", "left")
+            .join(wide.select(F.col("node").alias("b"), F.col("w").alias("y")), "b", "left"))
+    x, y = F.col("x.wide"), F.col("y.wide")
+    differ = (F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(folded(x), y))
+              .when(2 * F.size(x) == F.size(y), bits(x, folded(y))).otherwise(0))
+    near = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    return both.where(x.isNull() | y.isNull() | near).select("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    pairs = stage(pairs, "join_pairs")
+    pairs = stage(_widely_near(pairs, nodes, percent), "join_pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stage(_sets_of(docs, nodes.join(used, "node", "left_semi"), n), "join_sets")
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
@@ -312,11 +319,11 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int =
                   .groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("map").alias("map"),
                                        F.min("wide").alias("wide")),
                   "join_nodes")
-    maps = nodes.select("node", "n", "map", "wide")
+    maps = nodes.select("node", "n", "map")
 
     def known(pairs: DataFrame) -> DataFrame:
-        got = (pairs.join(maps.select(F.col("node").alias("a"), F.struct("n", "map", "wide").alias("x")), "a")
-               .join(maps.select(F.col("node").alias("b"), F.struct("n", "map", "wide").alias("y")), "b"))
+        got = (pairs.join(maps.select(F.col("node").alias("a"), F.struct("n", "map").alias("x")), "a")
+               .join(maps.select(F.col("node").alias("b"), F.struct("n", "map").alias("y")), "b"))
         return got.select("a", "b", F.col("x").alias("xa"), F.col("y").alias("yb"))
 
     star = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -326,10 +333,9 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int =
     links = _verified(docs, star, nodes, n, percent)
     roots = components(links, "join_roots")
 
-    rest = (shared.join(roots, "node", "left").join(maps, "node")
-            .select("sig", "node", F.coalesce("root", "node").alias("root"), "n", "map", "wide", "hub"))
-    spread = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    rest = stage(rest.join(spread, "sig", "left_semi"), "join_rest")
+    # what a node carries under each of its signatures: one shuffle by signature serves both sides
+    about = maps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "map")
+    rest = shared.join(about, "node")
     pairs = (rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node"))
                                   & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") != F.col("b.hub"))
                                   & (F.col("b.node") != F.col("a.hub")) & _near(percent))
