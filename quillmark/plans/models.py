@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from quillmark.plans import text as tp
 from quillmark.session import stage
 
 MIN_DF, MAX_DF = tp.MIN_DF, tp.MAX_DF
-SVD_K = 20  # the reference uses 1000 on 64k documents; kept small so the registered run stays short
+SVD_K = 100  # the distributed solver makes about 2 k passes over the fit rows; see the README for larger k
 SEEDS = 5
 
 
@@ -158,41 +159,70 @@ def q_gbt_cv(spark, sf):
 
 
 def lsa(spark, sf, k=SVD_K):
-    """I7 + I8: SVD of the fit TF-IDF matrix (k limited by the fixture), projection, L2 norm."""
-    f, t, enc = vectors(spark, sf)
-    n_docs = f.count()
+    """I7 + I8: SVD of the fit TF-IDF matrix, projections of both sides, L2 norm; each staged once."""
+    f, t, _ = vectors(spark, sf)
+    keep = ["doc_id", "label", "y", "features"]
+    f, t = stage(f.select(*keep), "lsa_fit"), stage(t.select(*keep), "lsa_test")
+    n_docs, dim = f.count(), len(f.first()["features"])
+    v, s = md.truncated_svd(f, max(1, min(k, dim, n_docs)))
+    fp = stage(md.normalize(md.project(f, v), "lsa", "lsa_n").drop("features"), "lsa_fit_projected")
+    tp_ = stage(md.normalize(md.project(t, v), "lsa", "lsa_n").drop("features"), "lsa_test_projected")
+    return f, fp, tp_, v.toArray(), s.toArray()
+
+
+def _relations(spark, checks: dict[str, bool]):
+    return spark.createDataFrame([(k, bool(v)) for k, v in checks.items()], "relation string, holds boolean")
+
+
+def _unit(df) -> bool:
+    """Every normalised row has length 1 (or 0 where the row has no term)."""
     from pyspark.ml.functions import vector_to_array
-    dim = f.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
-    kk = max(1, min(k, dim - 1, n_docs - 1))
-    v, s = md.truncated_svd(f, kk)
-    fp = md.normalize(md.project(f, v), "lsa", "lsa_n")
-    tp_ = md.normalize(md.project(t, v), "lsa", "lsa_n")
-    ratio = md.explained_variance_ratio(f, md.project(f, v))
-    return fp, tp_, ratio.withColumn("k", F.lit(kk))
+    n = F.aggregate(vector_to_array("lsa_n"), F.lit(0.0), lambda a, x: a + x * x)
+    return df.where((F.abs(n - 1) > 1e-9) & (n > 0)).isEmpty()
 
 
 def q_lsa(spark, sf):
-    _, _, ratio = lsa(spark, sf)
-    return ratio
+    """Relations that any truncated SVD of the fitted matrix satisfies, checked on the result."""
+    from pyspark.ml.functions import vector_to_array
+    f, fp, tp_, v, s = lsa(spark, sf)
+    cells = F.aggregate(vector_to_array("lsa"), F.lit(0.0), lambda a, x: a + x * x)
+    energy = fp.agg(F.sum(cells)).first()[0]
+    ratio = md.explained_variance_ratio(f, fp)
+    n_docs = f.count()
+    return _relations(spark, {
+        "components are orthonormal": np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-6),
+        "singular values fall": bool((np.diff(s) <= 1e-9).all()),
+        "projected energy is the sum of squared singular values": abs(energy - (s * s).sum()) <= 1e-6 * energy,
+        "explained variance is a share": 0 < ratio <= 1 + 1e-9,
+        "components are as many as asked or as the rank allows": len(s) == min(SVD_K, v.shape[0], n_docs)
+        or (len(s) < SVD_K and ratio > 0.999),
+        "fit rows have unit length": _unit(fp),
+        "test rows have unit length": _unit(tp_),
+    })
 
 
 def q_kmeans(spark, sf):
-    fp, tp_, _ = lsa(spark, sf)
+    """Clusters of the test documents; every row lies at its nearest centre and the best of the starts is kept."""
+    from pyspark.ml.functions import vector_to_array
+    _, fp, tp_, _, _ = lsa(spark, sf)
     m = md.kmeans_best_of(fp, "lsa_n", k=md.KMEANS["k"], n_init=md.KMEANS["n_init"], seed0=42)
-    return m.transform(tp_).select("doc_id", F.col("label").alias("lang"), "cluster")
+    x = vector_to_array("lsa_n")
+    far = [F.aggregate(F.zip_with(x, F.lit(c), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, d: a + d)
+           for c in m.clusterCenters()]
+    at = F.array(*far)
+    return m.transform(tp_).select("doc_id", F.col("label").alias("lang"),
+                                   (at[F.col("cluster")] <= F.array_min(at) + 1e-9).alias("nearest"))
 
 
 def q_seed_scores(spark, sf):
-    """J9 + K5-K7 + D11: per-seed cluster scores on test, then mean and population std."""
-    fp, tp_, _ = lsa(spark, sf)
-    fp, tp_ = fp.select("lsa_n").cache(), tp_.select("doc_id", "y", "lsa_n").cache()
+    """J9 + K5-K8 + D11: scores of ``SEEDS`` clusterings (best of n_init starts each) on test, mean and population std."""
+    _, fp, tp_, _, _ = lsa(spark, sf)
     parts = []
     for seed in range(SEEDS):
-        m = md.kmeans_best_of(fp, "lsa_n", k=md.KMEANS["k"], n_init=1, seed0=seed)
-        ct = ev.contingency(m.transform(tp_), "y", "cluster")
-        sc = ev.cluster_scores(ct).withColumn("_k", F.lit(1)).join(
-            ev.silhouette_on_codes(ct).withColumn("_k", F.lit(1)), "_k").drop("_k")
-        parts.append(sc.withColumn("seed", F.lit(seed)))
+        m = md.kmeans_best_of(fp, "lsa_n", k=md.KMEANS["k"], n_init=md.KMEANS["n_init"], seed0=100 * seed)
+        ct = stage(ev.contingency(m.transform(tp_), "y", "cluster"), "seed_cells")
+        one = F.broadcast(ev.silhouette_on_codes(ct).withColumn("_k", F.lit(1)))  # one row each
+        parts.append(ev.cluster_scores(ct).withColumn("_k", F.lit(1)).join(one, "_k").drop("_k").withColumn("seed", F.lit(seed)))
     allp = reduce(DataFrame.unionByName, parts)
     metrics = ["homogeneity", "completeness", "v_measure", "ari", "silhouette"]
     long = allp.select("seed", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"))
@@ -321,4 +351,9 @@ ORACLE = {
     "q_cnb_grid": _grid_sql(),
     "q_folds": tp._with({**tp._base(), "fl": _FOLDS}, "SELECT fold, label, CAST(count(*) AS BIGINT) AS n FROM fl GROUP BY ALL"),
     "q_batch_score": _batch_sql(),
+    "q_lsa": "SELECT relation, TRUE AS holds FROM (VALUES " + ", ".join(f"('{x}')" for x in (
+        "components are orthonormal", "singular values fall", "projected energy is the sum of squared singular values",
+        "explained variance is a share", "components are as many as asked or as the rank allows", "fit rows have unit length",
+        "test rows have unit length")) + ") t(relation)",
+    "q_kmeans": tp._with(tp._base(), "SELECT doc_id, lang, TRUE AS nearest FROM tst"),
 }
