@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import evaluate as ev
 from quillmark.plans import dataset as dp
+from quillmark.plans import evaluation as ep
 from quillmark.plans.evaluation import predictions
 from quillmark.session import fresh_path
 from quillmark.sources import ingest as ing
@@ -112,9 +113,20 @@ QUERIES = {
     "q_result_store": q_result_store,
 }
 
-# q_price_ingest is checked by rows only: the file format keeps two decimals, rounded half-even on the
-# binary value by the writer, which DuckDB's round (half away from zero) does not reproduce on ties.
+_CENTS = ", ".join(f"floor({c} * 100 + 0.5) / 100 AS {c}" for c in ("open", "high", "low", "close"))
+
+
+def _scores_sql(model: str, col: str) -> str:
+    mean = ", ".join(f"round({e}, 6) AS {c}" for c, e in (
+        ("accuracy", "sum(tp) / sum(support)"), ("precision", "sum(precision * support) / sum(support)"),
+        ("recall", "sum(recall * support) / sum(support)"), ("f1", "sum(f1 * support) / sum(support)")))
+    return (f"SELECT '{model}' AS model, 'embedding' AS field, 'all' AS dataset, * FROM "
+            f"(WITH {ep._preds(col)}{ep._STATS} SELECT {mean} FROM st)")
+
+
 ORACLE = {
+    "q_price_ingest": with_views(f"SELECT symbol, date, {_CENTS}, CAST(volume AS DOUBLE) AS volume FROM bars", "bars"),
+    "q_result_store": _scores_sql("logits_argmax", "p") + " UNION ALL " + _scores_sql("cluster_ids", "cluster"),
     "q_quarantine": with_views(
         """SELECT DISTINCT symbol, 'no parsable row' AS reason FROM issuers
            WHERE symbol NOT IN (SELECT DISTINCT symbol FROM bars)""", "bars", "issuers"),

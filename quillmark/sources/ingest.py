@@ -66,7 +66,8 @@ def write_price_csvs(bars: DataFrame, path: str, extra_symbols: DataFrame | None
     One task per symbol writes its file (the price history of a symbol is bounded by
     its trading days).
     """
-    fmt = lambda c: F.concat(F.lit("kr "), F.format_number(F.col(c), 2))
+    # cents by floor(x * 100 + 0.5): a rounding every engine reproduces
+    fmt = lambda c: F.concat(F.lit("kr "), F.format_number(F.floor(F.col(c) * 100 + 0.5) / 100, 2))
     rows = bars.select(
         "symbol", F.lit(2).alias("_o"), F.date_format("date", "yyyy-MM-dd").alias("Date"),
         fmt("close").alias("Close"), fmt("open").alias("Open"), fmt("high").alias("High"), fmt("low").alias("Low"),
