@@ -6,8 +6,8 @@ number, so at most (distinct terms a document) * exp(idf_high) terms can lie
 in the band however large the corpus is; they are held as a bit map over
 ``2**bits`` hash buckets, and a term's document frequency is its bucket's.
 
-``SUBSETS`` lexicons are drawn from the band, each keeping a term by hash with
-its level's probability.  A fingerprint is one 32-bit hash per lexicon over the
+``SUBSETS`` lexicons are drawn from the band by hash: each level deals a random
+share of it (all, a quarter, ...) to ten lexicons.  A fingerprint is one 32-bit hash per lexicon over the
 sorted distinct terms of the document that the lexicon keeps; lexicons that keep no
 term give zeros.  Equal texts have equal fingerprints; the classic I-Match test,
 "some lexicon agrees", is ``likeness`` > 0.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import parts, words_col
 
 ZERO = "00000000"
-LEVELS = [1, 3, 5, 7, 9, 11]  # a level's lexicons keep a term with probability 2**-level: for short to very long texts
-PER_LEVEL = 10
-SUBSETS = len(LEVELS) * PER_LEVEL
+LEVELS = 4       # level k deals a share of 4**-k of the band to its lexicons: for short to very long texts
+PER_LEVEL = 10   # lexicons of a level; a term of the share belongs to one of them
+SUBSETS = LEVELS * PER_LEVEL
 
 
 def _bucket(term: Column, bits: int) -> Column:
@@ -61,25 +61,25 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, lexicon: Column, bits
         b = _bucket(w, bits)
         return F.getbit(F.element_at(lexicon, F.shiftright(b, 6) + 1), F.pmod(b, F.lit(64))) == 1
 
-    rows = rows.withColumn("_terms", F.array_sort(F.filter(F.array_distinct(words_col(F.col(text))), inside)))
-    # a lexicon reads its own bits of a term's hash; a 64-bit hash serves as many lexicons as it has bits for
-    place = [(k, *divmod(j, 60 // bit)) for k, bit in enumerate(LEVELS) for j in range(PER_LEVEL)]
+    terms = F.sort_array(F.filter(F.array_distinct(words_col(F.col(text))), inside))
+    # one hash of a term says how many levels it takes part in (two bits a level) and in which lexicon of each
+    rows = rows.withColumn("_h0", F.transform(terms, lambda w: F.xxhash64(F.lit(17), w)))
+    for k in range(1, LEVELS):
+        rows = rows.withColumn(f"_h{k}", _share(f"_h{k - 1}", k))
 
-    def hashed(k: int, w: int) -> Column:
-        return F.transform("_terms", lambda t: F.xxhash64(F.lit(k), F.lit(w), t))
-
-    hashes = {f"_h{k}_{w}": hashed(k, w) for k, w, _ in place}
-    rows = rows.withColumns(hashes)
-
-    def part(k: int, w: int, j: int) -> Column:
-        mask = (1 << LEVELS[k]) - 1
-        kept = F.filter(f"_h{k}_{w}", lambda h: F.shiftright(h, LEVELS[k] * j).bitwiseAND(F.lit(mask)) == 0)
+    def part(k: int, j: int) -> Column:
+        kept = F.filter(f"_h{k}", lambda h: F.pmod(F.shiftright(h, 16), F.lit(PER_LEVEL)) == j)
         return F.when(F.size(kept) == 0, F.lit(ZERO)).otherwise(_hex(F.xxhash64(kept)))
 
-    parts = [part(*p) for p in place]
+    parts = [part(k, j) for k in range(LEVELS) for j in range(PER_LEVEL)]
     whole = F.repeat(_hex(F.xxhash64(text)), SUBSETS)
-    mark = F.when(F.size("_terms") == 0, whole).otherwise(F.concat(*parts))
-    return rows.withColumn(out, mark).drop("_terms", *hashes)
+    mark = F.when(F.size("_h0") == 0, whole).otherwise(F.concat(*parts))
+    return rows.withColumn(out, mark).drop(*[f"_h{k}" for k in range(LEVELS)])
+
+
+def _share(hashes: str, k: int) -> Column:
+    """The quarter of a level's terms that takes part in the next one."""
+    return F.filter(hashes, lambda h: F.shiftright(h, 2 * k).bitwiseAND(F.lit(3)) == 0)
 
 
 def _hex(h: Column) -> Column:
@@ -101,7 +101,7 @@ def likeness(a: str, b: str, least: int = 3) -> Column:
             (s["used"] + ((p["x"] != ZERO) | (p["y"] != ZERO)).cast("int")).alias("used")),
             lambda s: s["same"] / F.greatest(s["used"], F.lit(least)))
 
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[share(k) for k in range(len(LEVELS))]))
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[share(k) for k in range(LEVELS)]))
 
 
 def _ranges(docs: DataFrame, n: int) -> Column:
