@@ -87,13 +87,13 @@ def _hex(h: Column) -> Column:
 
 
 def likeness(a: str, b: str, least: int = 3) -> Column:
-    """Largest share of equal hashes over the levels, among a level's lexicons of which either text has a term.
+    """Largest share of equal hashes over neighbouring levels, among their lexicons of which either text has a term.
 
-    The level whose lexicons hold one or two terms of these texts tells most;
-    levels with few such lexicons count as if there were ``least``.  Equal fingerprints give 1.
+    The levels whose lexicons hold one or two terms of these texts tell most, two of them together against
+    chance; with few such lexicons they count as if there were ``least``.  Equal fingerprints give 1.
     """
     def share(k: int) -> Column:
-        at = F.sequence(F.lit(k * PER_LEVEL), F.lit((k + 1) * PER_LEVEL - 1))
+        at = F.sequence(F.lit(k * PER_LEVEL), F.lit((k + 2) * PER_LEVEL - 1))
         pairs = F.transform(at, lambda i: F.struct(F.substring(F.col(a), i * 8 + 1, F.lit(8)).alias("x"),
                                                    F.substring(F.col(b), i * 8 + 1, F.lit(8)).alias("y")))
         return F.aggregate(pairs, F.struct(F.lit(0).alias("same"), F.lit(0).alias("used")), lambda s, p: F.struct(
@@ -101,7 +101,7 @@ def likeness(a: str, b: str, least: int = 3) -> Column:
             (s["used"] + ((p["x"] != ZERO) | (p["y"] != ZERO)).cast("int")).alias("used")),
             lambda s: s["same"] / F.greatest(s["used"], F.lit(least)))
 
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[share(k) for k in range(LEVELS)]))
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[share(k) for k in range(LEVELS - 1)]))
 
 
 def _ranges(docs: DataFrame, n: int) -> Column:
