@@ -21,6 +21,12 @@ def words_col(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def texts_of(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns a Python stage reads; whole texts travel in batches of 1,000 rows, which bounds a worker's memory."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return docs.select(*columns)
+
+
 def parts(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import texts_of
 from quillmark.session import stage
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -168,7 +169,7 @@ def train(docs: DataFrame, learn: Column, bits: int = 16, sample: int = 12_000,
     The sample is dealt to shards of about ``shard_rows``; a shard makes at least ``updates`` steps a round,
     passing over its rows as often as that takes.
     """
-    known = _learning(docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), learn.alias("_learn")),
+    known = _learning(texts_of(docs, F.col("text").cast("string"), F.col("lang").cast("string"), learn.alias("_learn")),
                       F.col("_learn")).drop("_learn")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)

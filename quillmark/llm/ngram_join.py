@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Rolling, by_size, components, mix, word_hashes
+from quillmark.llm.common import Rolling, by_size, components, mix, texts_of, word_hashes
 from quillmark.session import stage
 
 SLICES = 64
@@ -121,7 +121,7 @@ def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
         packed = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
         return pd.DataFrame({"part": [group["part"].iloc[0]], "counts": [packed]})
 
-    each = docs.select("text").mapInArrow(count, "part int, salt int, counts binary")
+    each = texts_of(docs, F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, salt int, counts binary")
     salt = F.floor(F.sqrt(F.col("salt").cast("double"))).cast("int")  # groups of growing size, about 2 * sqrt(tasks) each
     some = each.groupBy("part", salt.alias("salt")).applyInPandas(add, "part int, counts binary")
     got = some.groupBy("part").applyInPandas(add, "part int, counts binary").collect()
@@ -180,7 +180,7 @@ def _node(h: np.ndarray) -> int | None:
 
 def _rows(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"), text.alias("text"))
+    return texts_of(docs, doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"), text.alias("text"))
 
 
 def _signed(docs: DataFrame, n: int, percent: int, classes: int, freq, frequent: int, bits: int) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import tokens
+from quillmark.llm.common import texts_of
 from quillmark.session import stage
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,7 +52,7 @@ def pieces(docs: DataFrame, path: str, end: int, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                              names=[c.split()[0] for c in PIECE.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+    return texts_of(docs, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
 
 def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float],

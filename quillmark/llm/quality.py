@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import WORDS
+from quillmark.llm.common import WORDS, texts_of
 from quillmark.session import stage
 
 # Fixed values of the base rules.
@@ -89,7 +89,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             out["stats"] = [r[1] for r in rows]
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
+    return texts_of(docs, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
         run, f"doc_id long, {BASE}, stats array<double>")
 
 

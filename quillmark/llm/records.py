@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import tokens
-from quillmark.llm.common import parts
+from quillmark.llm.common import parts, texts_of
 
 # Fixed values of the file format.
 MASK_DELTA = 0xA282EAD8
@@ -90,7 +90,7 @@ def write_records(docs: DataFrame, folder: str, end: int = 2, path: str | None =
                 frames.append(frame(ids[row], t, width))
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["record"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = texts_of(docs, F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(files or parts(docs.sparkSession), "doc_id")
     (rows.sortWithinPartitions("doc_id", "text").mapInArrow(run, "record binary")
      .select(F.col("record").cast("string")).write.option("lineSep", LINE_END.decode()).text(f"{folder}/data"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Rolling, mix
+from quillmark.llm.common import Rolling, mix, texts_of
 from quillmark.llm.gsaca import suffix_array
 from quillmark.session import stage
 
@@ -273,7 +273,7 @@ def covered(docs: DataFrame, window: int = 400, core: int = 100, block: int = 16
 
 def _rows(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"), text.alias("text"))
+    return texts_of(docs, doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"), text.alias("text"))
 
 
 def _merged(spans) -> list[tuple[int, int]]:
