@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,7 +36,26 @@ SCALE_CONF = {
 }
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Hands this package to the Python workers once per application, wherever the session was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillmark_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quillmark-code-")
+    path = os.path.join(folder, "quillmark-code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._quillmark_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    ship_code(spark)
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
     for k, v in SCALE_CONF.items():
