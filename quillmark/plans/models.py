@@ -217,12 +217,14 @@ def q_kmeans(spark, sf):
 def q_seed_scores(spark, sf):
     """J9 + K5-K8 + D11: scores of ``SEEDS`` clusterings (best of n_init starts each) on test, mean and population std."""
     _, fp, tp_, _, _ = lsa(spark, sf)
+    fp = fp.select("lsa_n").persist()  # every start iterates over it; a lost part is read again from the stage
     parts = []
     for seed in range(SEEDS):
         m = md.kmeans_best_of(fp, "lsa_n", k=md.KMEANS["k"], n_init=md.KMEANS["n_init"], seed0=100 * seed)
         ct = stage(ev.contingency(m.transform(tp_), "y", "cluster"), "seed_cells")
         one = F.broadcast(ev.silhouette_on_codes(ct).withColumn("_k", F.lit(1)))  # one row each
         parts.append(ev.cluster_scores(ct).withColumn("_k", F.lit(1)).join(one, "_k").drop("_k").withColumn("seed", F.lit(seed)))
+    fp.unpersist()
     allp = reduce(DataFrame.unionByName, parts)
     metrics = ["homogeneity", "completeness", "v_measure", "ari", "silhouette"]
     long = allp.select("seed", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"))
