@@ -80,17 +80,19 @@ def rule_statistics(text: str | None) -> tuple[list[int], list[float]]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, base numbers, stats array) of every row."""
+    """(doc_id, base numbers, stats array, draw) of every row; ``draw`` is a hash of the row that ignores the statistics."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [rule_statistics(t) for t in b["text"]]
             out = pd.DataFrame([r[0] for r in rows], columns=[c.split()[0] for c in BASE.split(", ")], dtype="int64")
             out.insert(0, "doc_id", b["doc_id"].array)
             out["stats"] = [r[1] for r in rows]
+            out["draw"] = b["draw"].array
             yield out
 
-    return texts_of(docs, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, f"doc_id long, {BASE}, stats array<double>")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return texts_of(docs, doc_id, text, F.xxhash64(doc_id, text).alias("draw")).mapInPandas(
+        run, f"doc_id long, {BASE}, stats array<double>, draw long")
 
 
 def _path(n: float) -> float:
@@ -146,9 +148,11 @@ def fit(stats: DataFrame, trees: int = 100, sample: int = 256, seed: int = 7) ->
     """Forest over ``sample`` rows a tree.
 
     The trees draw from the ``trees * sample`` rows with the smallest hash of
-    their content: a fixed bound whatever the table's size.
+    seed, id and text: a fixed bound whatever the table's size.  The hash
+    does not depend on the statistics, so every vector enters with its share.
     """
-    pool = stats.select("stats").orderBy(F.xxhash64("stats"), F.xxhash64("doc_id")).limit(trees * sample).collect()
+    order = F.xxhash64(F.lit(seed), "draw")
+    pool = stats.select("stats", "draw").orderBy(order, "draw").limit(trees * sample).select("stats").collect()
     rows = np.array([r[0] for r in pool], dtype=float)
     return Forest(rows, trees, sample, seed) if len(rows) else None
 
@@ -210,7 +214,7 @@ def rate(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, base numbers, base_failed, anomaly, kept."""
     scored, _, cut = train(docs, labels, **options)
     verdict = F.lit(True) if cut is None else F.col("anomaly") < cut
-    return scored.drop("stats").withColumn("kept", ~F.col("base_failed") & verdict)
+    return scored.drop("stats", "draw").withColumn("kept", ~F.col("base_failed") & verdict)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -52,6 +52,20 @@ def test_forest_isolates_outliers():
     assert score[500:].min() > score[:500].max()
 
 
+def test_pool_is_a_sample_of_rows(make, monkeypatch):
+    """More rows than the trees draw: every vector enters the pool by its share, not by its hash."""
+    clean = [(i, f"{prose(i % 40, 60)} {prose(i, 3)}") for i in range(1800)]
+    junk = [(5000 + i, f"{prose(i, 60)} {'# ' * (20 + 10 * (i % 8))}") for i in range(200)]
+    stats = quality.statistics(make(clean + junk))
+    forest = quality.fit(stats, trees=20, sample=16)
+    seen = []
+    monkeypatch.setattr(quality, "Forest", lambda rows, *a: seen.append(rows))
+    quality.fit(stats, trees=20, sample=16)
+    (pool,) = seen
+    assert len(pool) == 320 and 0.84 < (pool == 0).all(axis=1).mean() < 0.96
+    assert forest.score(np.zeros((1, 4)))[0] < forest.score(pool[(pool > 0).any(axis=1)]).min()
+
+
 def test_conflicting_and_missing_labels(spark, make):
     docs = make([(i, prose(i, 60)) for i in range(20)] + [(50, "## " * 100)])
     labels = spark.createDataFrame([(50, 0), (50, 1), (1, 1), (2, None), (None, 1)], "doc_id long, quality int")
