@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import parts, words_col
 
 ZERO = "00000000"
-LEVELS = 4       # level k deals a share of 4**-k of the band to its lexicons: for short to very long texts
+LEVELS = 7       # level k deals a share of 4**-k of the band to its lexicons: for short to very long texts
 PER_LEVEL = 10   # lexicons of a level; a term of the share belongs to one of them
 SUBSETS = LEVELS * PER_LEVEL
 
@@ -86,22 +86,26 @@ def _hex(h: Column) -> Column:
     return F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
 
 
-def likeness(a: str, b: str, least: int = 3) -> Column:
-    """Largest share of equal hashes over neighbouring levels, among their lexicons of which either text has a term.
+def likeness(a: str, b: str, least: int = 3, dense: int = 3) -> Column:
+    """Largest share of equal hashes over neighbouring levels or the sparsest one alone, among their lexicons of
+    which either text has a term.
 
     The levels whose lexicons hold one or two terms of these texts tell most, two of them together against
-    chance; with few such lexicons they count as if there were ``least``.  Equal fingerprints give 1.
+    chance; with few such lexicons they count as if there were ``least``, from level ``dense`` on as if half had a
+    term, as a chance term that both texts hold says little there.  Equal fingerprints give 1.
     """
     def share(k: int) -> Column:
-        at = F.sequence(F.lit(k * PER_LEVEL), F.lit((k + 2) * PER_LEVEL - 1))
+        first, last = k * PER_LEVEL, min((k + 2) * PER_LEVEL, SUBSETS)
+        at = F.sequence(F.lit(first), F.lit(last - 1))
+        few = least if k < dense else (last - first) // 2
         pairs = F.transform(at, lambda i: F.struct(F.substring(F.col(a), i * 8 + 1, F.lit(8)).alias("x"),
                                                    F.substring(F.col(b), i * 8 + 1, F.lit(8)).alias("y")))
         return F.aggregate(pairs, F.struct(F.lit(0).alias("same"), F.lit(0).alias("used")), lambda s, p: F.struct(
             (s["same"] + ((p["x"] == p["y"]) & (p["x"] != ZERO)).cast("int")).alias("same"),
             (s["used"] + ((p["x"] != ZERO) | (p["y"] != ZERO)).cast("int")).alias("used")),
-            lambda s: s["same"] / F.greatest(s["used"], F.lit(least)))
+            lambda s: s["same"] / F.greatest(s["used"], F.lit(few)))
 
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[share(k) for k in range(LEVELS - 1)]))
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*[share(k) for k in range(LEVELS)]))
 
 
 def _ranges(docs: DataFrame, n: int) -> Column:

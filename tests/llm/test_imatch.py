@@ -37,6 +37,13 @@ def test_likeness(make):
     assert len({r.fingerprint for r in got.values()}) == 80
 
 
+def test_likeness_of_long_texts(make):
+    rows = [(i, prose(i, 10_000 + 500 * i)) for i in range(21)]
+    got = imatch.fingerprints(make(rows), idf_low=0.0, idf_high=20.0).collect()
+    close, far = [r.near_edited for r in got], [r.near_next for r in got]
+    assert sum(close) / len(close) > 0.25 > 0.15 > sum(far) / len(far)
+
+
 def test_rows_follow_by_id_then_hash(make, awkward):
     rows = [r for r in awkward if len(r[1] or "") < 6000]
     got = imatch.fingerprints(make(rows), ranges=4).collect()
