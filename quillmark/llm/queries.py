@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.llm import imatch, language, mixing, ngram_join, packing, pitman_yor, quality, records, secrets, suffix_dedup
+from quillmark.llm import (bin_slack, fim, imatch, language, merkle, mixing, ngram_join, packing, pitman_yor, quality, records,
+                           secrets, suffix_dedup)
 from quillmark.session import fresh_path
 from quillmark.sources.tables import table
 
@@ -66,6 +67,25 @@ def op10_imatch(spark, sf):
     return imatch.fingerprints(table(spark, sf, "documents"))
 
 
+def op11_merkle_manifest(spark, sf):
+    """Leaf, proof and fold of every document; one id in five is verified with its text in lower case."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(hit, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf, "documents"), {"text": text})
+
+
+def op12_bin_slack(spark, sf):
+    """Every piece and its place in the sequences."""
+    return bin_slack.pack_documents(table(spark, sf, "documents"))
+
+
+def op13_fill_in_middle(spark, sf):
+    """Form and digests of every document's output and of the text restored from it."""
+    rows = fim.restore(fim.transform(table(spark, sf, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_isolation_forest": op2_isolation_forest,
@@ -77,6 +97,102 @@ QUERIES = {
     "op8_entropy_balancing": op8_entropy_balancing,
     "op9_suffix_array": op9_suffix_array,
     "op10_imatch": op10_imatch,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bin_slack": op12_bin_slack,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE: dict[str, str] = {}
+
+# ---------------------------------------------------------------- DuckDB oracles
+
+def _with(ctes: list[tuple[str, str]], last: str) -> str:
+    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in ctes) + f"\n{last}"
+
+
+def _hash(*parts: str) -> str:
+    return "sha256(" + " || ".join(parts) + ")"
+
+
+def _tree_ctes(name: str, lowest: str, levels: int) -> list[tuple[str, str]]:
+    """Levels of the hash trees over ``lowest`` (src, pos, h); level k has (src, pos, h, sib), sib the digests of the node's run.
+
+    A tree that is down to one node keeps it at every further level, with no run.
+    """
+    out = [(f"{name}0", f"SELECT src, pos, h, count(*) OVER (PARTITION BY src) AS n FROM ({lowest})")]
+    for k in range(levels):
+        out.append((f"{name}_run{k}", f"SELECT src, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM {name}{k} WHERE n > 1 GROUP BY ALL"))
+        out.append((f"{name}{k + 1}", f"""SELECT *, count(*) OVER (PARTITION BY src) AS n FROM (
+            SELECT src, run AS pos, sha256(array_to_string(hs, '')) AS h FROM {name}_run{k}
+            UNION ALL SELECT src, pos, h FROM {name}{k} WHERE n = 1)"""))
+    return out
+
+
+def _climb(source: str, name: str, levels: int, out: str) -> list[tuple[str, str]]:
+    """``source`` (src, pos, cur, proof, ...) carried through the levels: cur folded with the siblings, proof appended."""
+    ctes, at = [], source
+    for k in range(levels):
+        ctes.append((f"{out}{k}", f"""SELECT a.* REPLACE (a.pos // 16 AS pos,
+              CASE WHEN r.hs IS NULL THEN a.cur ELSE sha256(array_to_string(list_concat(list_concat(
+                   r.hs[1:a.pos % 16], [a.cur]), r.hs[a.pos % 16 + 2:]), '')) END AS cur,
+              CASE WHEN r.hs IS NULL THEN a.proof ELSE a.proof || array_to_string(r.hs[1:a.pos % 16], '')
+                   || array_to_string(r.hs[a.pos % 16 + 2:], '') END AS proof)
+            FROM {at} a LEFT JOIN {name}_run{k} r ON r.src = a.src AND r.run = a.pos // 16"""))
+        at = f"{out}{k}"
+    return ctes
+
+
+def _merkle_sql(levels: int = 6, source_levels: int = 4) -> str:
+    """Trees of up to 16 ** levels documents a source and 16 ** source_levels sources."""
+    def framed(c: str, value: str | None = None) -> str:
+        value = value or f"CAST({c} AS VARCHAR)"
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = [framed(c) for c in merkle.COLUMNS[:-1]]
+    return _with([
+        ("crc_table", """WITH RECURSIVE b(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+            SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM b WHERE k < 8)
+            SELECT list(c ORDER BY i) AS t FROM b WHERE k = 8"""),
+        ("ids", """SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+            string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])), 4294967295) % 5 = 0 AS hit
+            FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table"""),
+        ("leaves", f"""SELECT d.doc_id, coalesce('=' || source, '') AS src, {_hash(*head, framed('text'))} AS h,
+            CASE WHEN coalesce(hit, false) THEN {_hash(*head, framed('text', lower))} ELSE {_hash(*head, framed('text'))} END AS other
+            FROM documents d LEFT JOIN ids USING (doc_id)"""),
+        ("placed", "SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaves"),
+        *_tree_ctes("a", "SELECT src, pos, h FROM placed", levels),
+        ("subroots", f"SELECT src AS name, h, row_number() OVER (ORDER BY encode(src)) - 1 AS pos FROM a{levels}"),
+        *_tree_ctes("b", "SELECT '' AS src, pos, h FROM subroots", source_levels),
+        ("start", "SELECT doc_id, src, pos, h AS leaf, other AS cur, '' AS proof FROM placed"),
+        *_climb("start", "a", levels, "up"),
+        ("middle", f"""SELECT u.* REPLACE (s.pos AS pos, '' AS src), s.h AS subroot FROM up{levels - 1} u
+            JOIN subroots s ON s.name = u.src"""),
+        *_climb("middle", "b", source_levels, "over"),
+    ], f"""SELECT o.doc_id, o.leaf, o.subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.cur AS folded_root,
+        o.cur = r.h AS verified FROM over{source_levels - 1} o, b{source_levels} r""")
+
+
+FIM_SQL = """WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || CAST(doc_id AS VARCHAR)) AS hex FROM documents),
+h AS (
+  SELECT *, len(units) AS n, CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2,
+         CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4 FROM u),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+         array_to_string(units[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p"""
+
+ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op13_fill_in_middle": FIM_SQL,
+}
