@@ -50,6 +50,18 @@ def weighted_scores(ct: DataFrame) -> DataFrame:
     )
 
 
+def weighted_f1(cells: DataFrame, by: list[str]) -> DataFrame:
+    """K1 for many predictions at once: (*by, f1) from cells (*by, y, p, n)."""
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("bigint")
+    rows = cells.select(*by, F.explode(F.array(
+        F.struct(F.col("y").alias("c"), F.col("n").alias("sup"), none.alias("prd"), hit.alias("tp")),
+        F.struct(F.col("p").alias("c"), none.alias("sup"), F.col("n").alias("prd"), none.alias("tp")))).alias("x")).select(*by, "x.*")
+    per = rows.groupBy(*by, "c").agg(*[F.sum(c).alias(c) for c in ("sup", "prd", "tp")])
+    share = 2 * F.col("tp") / (F.col("sup") + F.col("prd")) * F.col("sup")
+    return per.groupBy(*by).agg((F.sum(share) / F.sum("sup")).alias("f1"))
+
+
 def report(ct: DataFrame) -> DataFrame:
     """K2: per-class rows plus accuracy, macro avg and weighted avg (classification report)."""
     s = class_stats(ct)
