@@ -1,17 +1,13 @@
-"""Registered model queries (J1-J9, I7, I8, D11) on document text.
+"""Registered queries of the complement naive Bayes (J1, J2, J4, J6, J10) on document text.
 
 Task: predict ``documents.lang`` from text.  Documents are split with the
 exact stratified split; models are fit on train + val (S1) and scored on
-test.  Complement NB (predictions, logits, report, grid search) has DuckDB oracles;
-the decompositions and clusterings are checked by rows only.
+test.  Predictions, logits, report and grid search have DuckDB oracles.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.numeric import round_sig, sql_round_sig
@@ -23,8 +19,6 @@ from quillmark.plans import text as tp
 from quillmark.session import stage
 
 MIN_DF, MAX_DF = tp.MIN_DF, tp.MAX_DF
-SVD_K = 100  # the distributed solver makes about 2 k passes over the fit rows; see the README for larger k
-SEEDS = 5
 
 
 def _fit_test(spark, sf):
@@ -143,95 +137,6 @@ def q_cnb_mllib(spark, sf):
     return _rounded(_report(spark, m.transform(t), enc))
 
 
-def q_svm_cv(spark, sf):
-    f, t, enc = vectors(spark, sf)
-    n = f.count()
-    cv = md.svm_search(f, n).fit(f)
-    rep = _report(spark, cv.bestModel.transform(t), enc)
-    return rep.withColumn("best_cv_f1", F.lit(float(max(cv.avgMetrics))))
-
-
-def q_gbt_cv(spark, sf):
-    f, t, enc = vectors(spark, sf)
-    cv = md.gbt_search({"learning_rate": md.GBT_GRID["learning_rate"]}).fit(f)
-    rep = _report(spark, cv.bestModel.transform(t), enc)
-    return rep.withColumn("best_cv_f1", F.lit(float(max(cv.avgMetrics))))
-
-
-def lsa(spark, sf, k=SVD_K):
-    """I7 + I8: SVD of the fit TF-IDF matrix, projections of both sides, L2 norm; each staged once."""
-    f, t, _ = vectors(spark, sf)
-    keep = ["doc_id", "label", "y", "features"]
-    f, t = stage(f.select(*keep), "lsa_fit"), stage(t.select(*keep), "lsa_test")
-    n_docs, dim = f.count(), len(f.first()["features"])
-    v, s = md.truncated_svd(f, max(1, min(k, dim, n_docs)))
-    fp = stage(md.normalize(md.project(f, v), "lsa", "lsa_n").drop("features"), "lsa_fit_projected")
-    tp_ = stage(md.normalize(md.project(t, v), "lsa", "lsa_n").drop("features"), "lsa_test_projected")
-    return f, fp, tp_, v.toArray(), s.toArray()
-
-
-def _relations(spark, checks: dict[str, bool]):
-    return spark.createDataFrame([(k, bool(v)) for k, v in checks.items()], "relation string, holds boolean")
-
-
-def _unit(df) -> bool:
-    """Every normalised row has length 1 (or 0 where the row has no term)."""
-    from pyspark.ml.functions import vector_to_array
-    n = F.aggregate(vector_to_array("lsa_n"), F.lit(0.0), lambda a, x: a + x * x)
-    return df.where((F.abs(n - 1) > 1e-9) & (n > 0)).isEmpty()
-
-
-def q_lsa(spark, sf):
-    """Relations that any truncated SVD of the fitted matrix satisfies, checked on the result."""
-    from pyspark.ml.functions import vector_to_array
-    f, fp, tp_, v, s = lsa(spark, sf)
-    cells = F.aggregate(vector_to_array("lsa"), F.lit(0.0), lambda a, x: a + x * x)
-    energy = fp.agg(F.sum(cells)).first()[0]
-    ratio = md.explained_variance_ratio(f, fp)
-    n_docs = f.count()
-    return _relations(spark, {
-        "components are orthonormal": np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-6),
-        "singular values fall": bool((np.diff(s) <= 1e-9).all()),
-        "projected energy is the sum of squared singular values": abs(energy - (s * s).sum()) <= 1e-6 * energy,
-        "explained variance is a share": 0 < ratio <= 1 + 1e-9,
-        "components are as many as asked or as the rank allows": len(s) == min(SVD_K, v.shape[0], n_docs)
-        or (len(s) < SVD_K and ratio > 0.999),
-        "fit rows have unit length": _unit(fp),
-        "test rows have unit length": _unit(tp_),
-    })
-
-
-def q_kmeans(spark, sf):
-    """Clusters of the test documents; every row lies at its nearest centre and the best of the starts is kept."""
-    from pyspark.ml.functions import vector_to_array
-    _, fp, tp_, _, _ = lsa(spark, sf)
-    m = md.kmeans_best_of(fp, "lsa_n", k=md.KMEANS["k"], n_init=md.KMEANS["n_init"], seed0=42)
-    x = vector_to_array("lsa_n")
-    far = [F.aggregate(F.zip_with(x, F.lit(c), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, d: a + d)
-           for c in m.clusterCenters()]
-    at = F.array(*far)
-    return m.transform(tp_).select("doc_id", F.col("label").alias("lang"),
-                                   (at[F.col("cluster")] <= F.array_min(at) + 1e-9).alias("nearest"))
-
-
-def q_seed_scores(spark, sf):
-    """J9 + K5-K8 + D11: scores of ``SEEDS`` clusterings (best of n_init starts each) on test, mean and population std."""
-    _, fp, tp_, _, _ = lsa(spark, sf)
-    fp = fp.select("lsa_n").persist()  # every start iterates over it; a lost part is read again from the stage
-    parts = []
-    for seed in range(SEEDS):
-        m = md.kmeans_best_of(fp, "lsa_n", k=md.KMEANS["k"], n_init=md.KMEANS["n_init"], seed0=100 * seed)
-        ct = stage(ev.contingency(m.transform(tp_), "y", "cluster"), "seed_cells")
-        one = F.broadcast(ev.silhouette_on_codes(ct).withColumn("_k", F.lit(1)))  # one row each
-        parts.append(ev.cluster_scores(ct).withColumn("_k", F.lit(1)).join(one, "_k").drop("_k").withColumn("seed", F.lit(seed)))
-    fp.unpersist()
-    allp = reduce(DataFrame.unionByName, parts)
-    metrics = ["homogeneity", "completeness", "v_measure", "ari", "silhouette"]
-    long = allp.select("seed", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"))
-                                                   for m in metrics])).alias("x")).select("seed", "x.*")
-    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-
-
 # ---------------------------------------------------------------- DuckDB oracles
 
 def _weight_ctes() -> dict:
@@ -280,10 +185,9 @@ def _batch_sql() -> str:
         FROM sc2 s JOIN best b USING (doc_id) GROUP BY s.doc_id""")
 
 
-def _report_sql() -> str:
-    r = lambda e: sql_round_sig(e, 9)
-    return tp._with({
-        **_cnb_ctes(False),
+def report_ctes() -> dict:
+    """Per-class counts and scores of a table ``best`` (lang, pred)."""
+    return {
         "cell": "SELECT lang AS y, pred AS p, count(*) AS n FROM best GROUP BY ALL",
         "pc": """SELECT c, sum(sup) AS support, sum(prd) AS predicted, sum(tp) AS tp FROM (
                  SELECT y AS c, n AS sup, 0 AS prd, CASE WHEN y = p THEN n ELSE 0 END AS tp FROM cell
@@ -291,11 +195,23 @@ def _report_sql() -> str:
         "st": """SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS pr,
                  CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rc,
                  CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f FROM pc""",
-    }, f"""SELECT c AS class, {r('pr')} AS precision, {r('rc')} AS recall, {r('f')} AS f1, CAST(support AS BIGINT) AS support FROM st
-        UNION ALL SELECT 'accuracy', NULL, NULL, {r('sum(tp) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM st
-        UNION ALL SELECT 'macro avg', {r('avg(pr)')}, {r('avg(rc)')}, {r('avg(f)')}, CAST(sum(support) AS BIGINT) FROM st
-        UNION ALL SELECT 'weighted avg', {r('sum(pr * support) / sum(support)')}, {r('sum(rc * support) / sum(support)')},
-        {r('sum(f * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM st""")
+    }
+
+
+def _rounded_sql(e: str) -> str:
+    return sql_round_sig(e, 9)
+
+
+REPORT_ROWS = f"""SELECT CAST(c AS VARCHAR) AS class, {_rounded_sql('pr')} AS precision, {_rounded_sql('rc')} AS recall, {_rounded_sql('f')} AS f1,
+        CAST(support AS BIGINT) AS support FROM st
+        UNION ALL SELECT 'accuracy', NULL, NULL, {_rounded_sql('sum(tp) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM st
+        UNION ALL SELECT 'macro avg', {_rounded_sql('avg(pr)')}, {_rounded_sql('avg(rc)')}, {_rounded_sql('avg(f)')}, CAST(sum(support) AS BIGINT) FROM st
+        UNION ALL SELECT 'weighted avg', {_rounded_sql('sum(pr * support) / sum(support)')}, {_rounded_sql('sum(rc * support) / sum(support)')},
+        {_rounded_sql('sum(f * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM st"""
+
+
+def _report_sql() -> str:
+    return tp._with({**_cnb_ctes(False), **report_ctes()}, REPORT_ROWS)
 
 
 _FOLDS = f"""SELECT doc_id, lang AS label, CAST((row_number() OVER (PARTITION BY lang
@@ -340,9 +256,6 @@ QUERIES = {
     "q_cnb_grid": q_cnb_grid,
     "q_folds": q_folds,
     "q_batch_score": q_batch_score,
-    "q_lsa": q_lsa,
-    "q_kmeans": q_kmeans,
-    "q_seed_scores": q_seed_scores,
 }
 
 ORACLE = {
@@ -353,9 +266,4 @@ ORACLE = {
     "q_cnb_grid": _grid_sql(),
     "q_folds": tp._with({**tp._base(), "fl": _FOLDS}, "SELECT fold, label, CAST(count(*) AS BIGINT) AS n FROM fl GROUP BY ALL"),
     "q_batch_score": _batch_sql(),
-    "q_lsa": "SELECT relation, TRUE AS holds FROM (VALUES " + ", ".join(f"('{x}')" for x in (
-        "components are orthonormal", "singular values fall", "projected energy is the sum of squared singular values",
-        "explained variance is a share", "components are as many as asked or as the rank allows", "fit rows have unit length",
-        "test rows have unit length")) + ") t(relation)",
-    "q_kmeans": tp._with(tp._base(), "SELECT doc_id, lang, TRUE AS nearest FROM tst"),
 }

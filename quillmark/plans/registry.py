@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["history", "dataset", "profile", "evaluation", "text", "models", "boosting", "io", "lang", "shape"]
+MODULES = ["history", "dataset", "profile", "evaluation", "text", "models", "boosting", "svm", "clusters", "io", "lang", "shape"]
 
 
 def _mods():
