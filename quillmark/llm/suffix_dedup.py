@@ -9,35 +9,40 @@ of one anchor form a stretch of the text (at most ``2 * window - core`` bytes).
    stretches are counted before anything is shuffled.
 2. An anchor hash met once holds no repeat.  A stretch met twice or more is
    repeated as a whole.  Only different stretches under one anchor hash need sorting.
-3. These are cut into blocks aligned at the anchor; the suffixes at block
-   borders of many stretches are sorted by the linear grouping construction
-   (``gsaca``).  Suffixes next to each other that share all blocks of a window
-   are where windows can repeat, and there the windows are compared whole (128-bit hashes).
-4. An anchor hash with more than ``hot`` different stretches is not gathered:
-   its windows are compared by hash in a grouped count, an exact way for any size.
-5. The repeated windows become covered intervals, joined back to the texts.
+3. These are cut into *slices*: the windows that start in one range of offsets from the anchor.  All of them hold the
+   bytes from the range's last start to the end of its first window, the middle.  Equal windows lie in slices of equal
+   middles, so a slice is filed under the hash of its middle and consists of few other bytes: those
+   left and right of it.
+4. Slices of one middle are sorted: each is a sequence of its left bytes, one symbol for the middle, its right bytes and
+   an end of its own, and a window is a suffix's first ``range`` symbols.  The linear grouping construction
+   (``gsaca``) sorts the suffixes, and a window repeats exactly if its suffix shares these symbols with a neighbour in the order.
+5. A middle with more than ``crowd`` different slices is not sorted at once: its slices are halved.  The halves have longer
+   middles, and a range of one start has the window itself as middle, so this ends with small groups whatever the texts.
+6. The repeated windows become covered intervals, joined back to the texts.
 
 Whole windows of the input are compared, never what is left of it, and matches do not
 cross documents.
 
 Defined cases: a null text is an empty one; texts shorter than the window keep
-everything; repeated rows are copies of each other and lose everything they
-can; a null ``doc_id`` is kept; an empty table gives an empty result.
+everything; texts of any length are cut into the same short stretches; repeated rows are copies of each other and lose
+everything they can; a null ``doc_id`` is kept; extra columns are left out, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Rolling, mix, texts_of
+from quillmark.llm.common import Rolling, texts_of
 from quillmark.llm.gsaca import suffix_array
 from quillmark.session import stage
 
@@ -123,11 +128,25 @@ def _counted(spans: DataFrame) -> DataFrame:
     return some.repartition("anchor").groupBy("anchor", "stretch").agg(F.sum("n").alias("n"), *place)
 
 
-PART = "anchor long, stretch long, first int, last int, data binary"
+SLICE = "anchor long, stretch long, lo int, hi int, first int, last int, middle long, left binary, right binary"
 
 
-def _cut(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Bytes of the wanted stretches, read from one row that holds each."""
+def slices(data: bytes, first: int, last: int, window: int, core: int, span: int) -> Iterator[tuple]:
+    """(lo, hi, first, last, middle, left, right) of a stretch whose windows start at first..last from the anchor.
+
+    Its bytes begin at ``first``.  ``lo`` to ``hi`` is the range, ``first`` to ``last`` the stretch's own windows in it.
+    """
+    lo = -(window - core) + (first + window - core) // span * span
+    while lo <= last:
+        hi = lo + span - 1
+        a, b = max(lo, first), min(hi, last)
+        left, middle, right = (data[x - first: y - first] for x, y in ((a, hi), (hi, lo + window), (lo + window, b + window)))
+        yield lo, hi, a, b, int(np.uint64(xxhash.xxh3_64_intdigest(middle)).astype(np.int64)), left, right
+        lo += span
+
+
+def _sliced(rows: DataFrame, wanted: DataFrame, window: int, core: int, span: int) -> DataFrame:
+    """Slices of the wanted stretches, read from one row that holds each."""
     by_row = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "stretch", "at", "first", "last")).alias("w"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,68 +154,72 @@ def _cut(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             out = []
             for text, w in zip(b["text"], b["w"]):
                 data = (text or "").encode()
-                out += [(x["anchor"], x["stretch"], x["first"], x["last"],
-                         data[x["at"] + x["first"]: x["at"] + x["last"] + window]) for x in w]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PART.split(", ")])
-
-    return rows.join(by_row, "rid").select("text", "w").mapInPandas(run, PART)
-
-
-def repeated_windows(parts: pd.DataFrame, window: int, core: int, block: int) -> list[np.ndarray]:
-    """Per stretch, the window starts (from its first byte) that repeat in another stretch of the table."""
-    data = [np.frombuffer(d, dtype=np.uint8) for d in parts["data"]]
-    lead = (-parts["first"].to_numpy()) % block  # bytes in front of the first border, counted from the anchor
-    whole = [(len(d) - k) // block for d, k in zip(data, lead)]
-    blocks = np.concatenate([d[k: k + w * block] for d, k, w in zip(data, lead, whole)]).reshape(-1, block)
-    words = np.ascontiguousarray(blocks).view(np.uint64)
-    code = np.full(len(words), block, dtype=np.uint64)
-    for k in range(words.shape[1]):
-        code = mix(code * np.uint64(BASES[1]) + words[:, k])
-    _, ids = np.unique(code, return_inverse=True)
-    # one sequence of all stretches, each closed by an end symbol of its own
-    n, count = len(data), np.array(whole)
-    stop = np.cumsum(count + 1)
-    begin = stop - count - 1
-    text = np.empty(stop[-1] if n else 0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), count + 1)
-    inner = np.ones(len(text), dtype=bool)
-    inner[stop - 1] = False
-    text[inner] = ids.ravel() + n
-    text[stop - 1] = np.arange(n)
-    order = suffix_array(text)
-    # the smallest number of whole blocks that any window holds behind its first border
-    full = (window - block + 1) // block
-    room = stop[owner] - 1 - np.arange(len(text)) >= full
-    prefix = np.zeros(len(text), dtype=np.uint64)
-    rolled = rollings()[0].windows(text, full)
-    prefix[: len(rolled)] = rolled
-    a, b = order[:-1], order[1:]
-    same = room[a] & room[b] & (prefix[a] == prefix[b])
-    near = np.zeros(len(order), dtype=bool)
-    near[:-1] |= same
-    near[1:] |= same
-    hits = order[near]  # borders whose window-long prefix occurs again
-    # the windows whose first border is such a border
-    start = (lead[owner[hits]] + (hits - begin[owner[hits]]) * block)[:, None] - np.arange(block)[None, :]
-    own = np.repeat(owner[hits], block).reshape(start.shape)
-    size = np.array([len(d) for d in data])
-    ok = (start >= 0) & (start + window <= size[own])
-    own, start = own[ok], start[ok]
-    first = np.cumsum(size) - size
-    joined = np.concatenate(data) if n else np.zeros(0, dtype=np.uint8)
-    marks = np.stack([r.windows(joined, window)[first[own] + start] for r in rollings()], axis=1) if len(own) else None
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * n
-    if marks is None:
-        return out
-    _, group, times = np.unique(marks, axis=0, return_inverse=True, return_counts=True)
-    again = times[group.ravel()] > 1
-    own, start = own[again], start[again]
-    by = np.lexsort((start, own))
-    own, start = own[by], start[by]
-    names, at = np.unique(own, return_index=True)
-    for k, x in zip(names.tolist(), np.split(start, at[1:])):
-        out[k] = x
-    return out
+                for x in w:
+                    part = data[x["at"] + x["first"]: x["at"] + x["last"] + window]
+                    out += [(x["anchor"], x["stretch"], *c) for c in slices(part, x["first"], x["last"], window, core, span)]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in SLICE.split(", ")])
+                    out = []
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SLICE.split(", ")])
+
+    return rows.join(by_row, "rid").select("text", "w").mapInPandas(run, SLICE)
+
+
+def _halved(found: DataFrame, window: int) -> DataFrame:
+    """The halves of slices that have windows of their own, filed under their longer middles."""
+    lo, hi, a, b, left, right = (F.col(c) for c in ("lo", "hi", "first", "last", "left", "right"))
+    mid = F.floor((lo + hi) / 2).cast("int")
+    cut = F.octet_length(left) - (hi - mid)  # left bytes in front of the first half's middle
+    more = mid + 1 - lo                      # right bytes that the second half's middle takes in
+
+    def named(*own: Column) -> Column:
+        return F.struct(*[c.alias(n) for c, n in zip(own, ("lo", "hi", "first", "last", "middle", "left", "right"))])
+
+    front = named(lo, mid, a, F.least(b, mid), F.xxhash64("middle", F.lit(0), F.substring(left, cut + 1, hi - mid)),
+                  F.substring(left, F.lit(1), cut), F.substring(right, F.lit(1), F.least(b, mid) - lo))
+    back = named(mid + 1, hi, F.greatest(a, mid + 1), b, F.xxhash64("middle", F.lit(1), F.substring(right, F.lit(1), more)),
+                 F.substring(left, F.greatest(a, mid + 1) - a + 1, F.octet_length(left)), F.substring(right, more + 1, F.octet_length(right)))
+    both = F.filter(F.array(F.when(a <= mid, front), F.when(b > mid, back)), lambda x: x.isNotNull())
+    return found.select("anchor", "stretch", F.explode(both).alias("s")).select("anchor", "stretch", "s.*")
+
+
+def repeats(group: pd.DataFrame) -> pd.DataFrame:
+    """Windows of slices that another slice of the same group, middle and range holds, found by suffix sorting.
+
+    ``group`` (group, lo, hi, first, last, left, right), one range width; returns (row, start) with ``row`` from 0.
+    """
+    width = group["hi"].to_numpy() - group["lo"].to_numpy() + 1
+    out = []
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        some = group.iloc[rows]
+        n = len(some)
+        left, right = some["left"].tolist(), some["right"].tolist()
+        before = np.array([len(x) for x in left])
+        size = before + np.array([len(x) for x in right]) + 2
+        stop = np.cumsum(size)
+        begin = stop - size
+        # symbols: an end of its own for each slice, then bytes, then one for each middle
+        text = np.empty(stop[-1], dtype=np.int64)
+        text[:] = np.frombuffer(b"".join(x + b"\0" + y + b"\0" for x, y in zip(left, right)), dtype=np.uint8)
+        text += n
+        text[begin + before] = n + 256 + some["group"].to_numpy()
+        text[stop - 1] = np.arange(n)
+        order = suffix_array(text)
+        owner = np.repeat(np.arange(n), size)
+        first, last = some["first"].to_numpy(), some["last"].to_numpy()
+        start = np.arange(len(text)) - begin[owner] + first[owner]
+        order = order[start[order] <= last[owner[order]]]  # the suffixes that are windows; neighbours stay neighbours
+        held = np.lib.stride_tricks.sliding_window_view(text, int(w)) if len(text) >= w else np.empty((0, int(w)), np.int64)
+        same = np.zeros(max(len(order) - 1, 0), dtype=bool)
+        for k in range(0, len(same), 8192):
+            same[k: k + 8192] = (held[order[k: k + 8192][: len(same) - k]] == held[order[k + 1: k + 8193]]).all(axis=1)
+        near = np.zeros(len(order), dtype=bool)
+        near[:-1] |= same
+        near[1:] |= same
+        hits = order[near]
+        out.append(pd.DataFrame({"row": rows[owner[hits]], "start": start[hits]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"row": [], "start": []}, dtype=np.int64)
 
 
 def _intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -209,66 +232,69 @@ def _intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(lo.tolist(), hi.tolist()))
 
 
-VERDICT = "anchor long, stretch long, lo array<int>, hi array<int>"
+FILED = ["anchor", "middle", "lo", "hi"]  # what equal windows' slices have in common
+SPREAD = "anchor long, middle long, lo int, hi int, mark long, from array<int>, to array<int>"
 
 
-def _sorted_verdicts(parts: DataFrame, buckets: int, window: int, core: int, block: int) -> DataFrame:
-    """Covered intervals (relative to the anchor) of different stretches, found by suffix sorting bucket by bucket."""
+def _sorted_verdicts(different: DataFrame, buckets: int, window: int) -> DataFrame:
+    """Covered intervals (relative to the anchor) of different slices, found by suffix sorting bucket by bucket."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["anchor", "stretch"]).sort_values(["anchor", "stretch"], ignore_index=True)
-        found = repeated_windows(group, window, core, block)
-        spans = [_intervals(x + f, window) for x, f in zip(found, group["first"])]
-        out = group[["anchor", "stretch"]].copy()
-        out["lo"], out["hi"] = [[i[0] for i in s] for s in spans], [[i[1] for i in s] for s in spans]
-        return out[[bool(s) for s in spans]]
-
-    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    return keyed.groupBy("bucket").applyInPandas(run, VERDICT)
-
+        group = group.sort_values([*FILED, "mark"], ignore_index=True)
+        group["group"] = group.groupby(FILED, sort=False).ngroup()
+        found = repeats(group).sort_values(["row", "start"])
+        rows, at = np.unique(found["row"].to_numpy(dtype=np.int64), return_index=True)
+        if not len(rows):
+            return pd.DataFrame(columns=[*FILED, "mark", "from", "to"], dtype=object)
+        spans = [_intervals(x, window) for x in np.split(found["start"].to_numpy(dtype=np.int64), at[1:])]
+        out = group.loc[rows, [*FILED, "mark"]].copy()
+        out["from"], out["to"] = [[i[0] for i in s] for s in spans], [[i[1] for i in s] for s in spans]
+        return out
 
-def _hashed_verdicts(parts: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many stretches: windows are counted by 128-bit hash, nothing is gathered."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for anchor, stretch, first, data in zip(b["anchor"], b["stretch"], b["first"], b["data"]):
-                x = np.frombuffer(data, dtype=np.uint8)
-                a, c = (r.windows(x, window).view(np.int64) for r in rollings())
-                out.append(pd.DataFrame({"anchor": anchor, "stretch": stretch, "start": np.arange(len(a)) + first,
-                                         "a": a, "c": c}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["anchor", "stretch", "start", "a", "c"])
-
-    windows = parts.dropDuplicates(["anchor", "stretch"]).mapInPandas(
-        run, "anchor long, stretch long, start int, a long, c long")
-    again = windows.groupBy("a", "c").count().where("count > 1").select("a", "c")
-    hits = windows.join(again, ["a", "c"], "left_semi").groupBy("anchor", "stretch").agg(
-        F.sort_array(F.collect_set("start")).alias("lo"))
-    return hits.select("anchor", "stretch", "lo", F.transform("lo", lambda x: x + window).alias("hi"))
-
-
-def covered(docs: DataFrame, window: int = 400, core: int = 100, block: int = 16, hot: int = 500,
-            bucket_stretches: int = 1000) -> DataFrame:
-    """(rid, lo, hi): byte intervals of repeated windows of each text, unsorted and overlapping."""
+    keyed = different.withColumn("bucket", F.pmod(F.xxhash64(*FILED), F.lit(buckets)))
+    return keyed.groupBy("bucket").applyInPandas(run, SPREAD)
+
+
+def _verdicts(parts: DataFrame, window: int, crowd: int, bucket_slices: int) -> DataFrame:
+    """(anchor, stretch, spans): covered intervals, relative to the anchor, of stretches that differ under one anchor."""
+    pending, out = parts, []
+    while True:
+        pending = stage(pending.withColumn("mark", F.xxhash64("middle", "first", "last", "left", "right")), "suffix_slices")
+        kinds = pending.groupBy(*FILED, "mark").agg(F.count("*").alias("n"), F.min(F.struct("first", "last", "left", "right")).alias("s"))
+        kinds = stage(kinds, "suffix_kinds")
+        per = kinds.groupBy(*FILED).agg(F.count("*").alias("different"), F.sum("n").alias("all")).where("all > 1")
+        per = stage(per.withColumn("halve", (F.col("different") > crowd) & (F.col("hi") > F.col("lo"))), "suffix_middles")
+        one = kinds.where("n > 1").select(*FILED, "mark", F.array("s.first").alias("from"), F.array(F.col("s.last") + window).alias("to"))
+        sort = kinds.join(per.where("different > 1 and not halve").select(*FILED), FILED).select(*FILED, "mark", "s.*")
+        sort = stage(sort, "suffix_different")
+        found = one.unionByName(_sorted_verdicts(sort, max(1, -(-sort.count() // bucket_slices)), window))
+        out.append(stage(pending.select(*FILED, "mark", "stretch").join(found, [*FILED, "mark"])
+                         .select("anchor", "stretch", F.arrays_zip("from", "to").alias("spans")), "suffix_found"))
+        if per.where("halve").isEmpty():
+            break
+        # what a slice met twice covers is known; its windows still serve as partners of others
+        pending = _halved(pending.join(per.where("halve").select(*FILED), FILED), window)
+    every = reduce(DataFrame.unionByName, out)
+    return every.groupBy("anchor", "stretch").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def covered(docs: DataFrame, window: int = 400, core: int = 100, span: int = 43, crowd: int = 300,
+            bucket_slices: int = 1000) -> DataFrame:
+    """(rid, spans): byte intervals of repeated windows of each text, unsorted and overlapping."""
     rows = _rows(docs)
     spans = stage(_spans(rows, window, core), "suffix_spans")
     by_anchor = Window.partitionBy("anchor")
     counted = (_counted(spans).withColumn("total", F.sum("n").over(by_anchor))
                .withColumn("different", F.count("*").over(by_anchor)).where("total > 1"))
     counted = stage(counted, "suffix_repeats")
-    whole = counted.where("n > 1").select("anchor", "stretch", F.array("first").alias("lo"),
-                                          F.array(F.col("last") + window).alias("hi"))
+    whole = counted.where("n > 1").select(
+        "anchor", "stretch", F.array(F.struct(F.col("first").alias("from"), (F.col("last") + window).alias("to"))).alias("spans"))
     mixed = counted.where("different > 1")
-    parts = stage(_cut(rows, mixed.select("anchor", "stretch", "rid", "at", "first", "last"), window)
-                  .join(mixed.where(F.col("different") > hot).select("anchor").distinct()
-                        .withColumn("hot", F.lit(True)), "anchor", "left"), "suffix_parts")
-    buckets = max(1, -(-mixed.count() // bucket_stretches))
-    verdicts = (_sorted_verdicts(parts.where("hot is null").drop("hot"), buckets, window, core, block)
-                .unionByName(_hashed_verdicts(parts.where("hot").drop("hot"), window)).unionByName(whole))
-    verdicts = stage(verdicts, "suffix_verdicts")
+    parts = _sliced(rows, mixed.select("anchor", "stretch", "rid", "at", "first", "last"), window, core, span)
+    verdicts = _verdicts(parts, window, crowd, bucket_slices).join(whole.select("anchor", "stretch"), ["anchor", "stretch"], "left_anti")
+    verdicts = stage(verdicts.unionByName(whole), "suffix_verdicts")
     hits = spans.select("anchor", "stretch", "rid", "at").join(verdicts, ["anchor", "stretch"])
-    pairs = F.explode(F.arrays_zip(F.transform("lo", lambda x: x + F.col("at")).alias("lo"),
-                                   F.transform("hi", lambda x: x + F.col("at")).alias("hi")))
-    return hits.select("rid", pairs.alias("i")).groupBy("rid").agg(F.collect_set("i").alias("spans"))
+    placed = F.transform("spans", lambda x: F.struct((x["from"] + F.col("at")).alias("lo"), (x["to"] + F.col("at")).alias("hi")))
+    return hits.select("rid", placed.alias("i")).groupBy("rid").agg(F.flatten(F.collect_set("i")).alias("spans"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:

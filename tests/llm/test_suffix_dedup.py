@@ -56,8 +56,8 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("options", [dict(window=100, core=30, block=8), dict(window=100, core=60, block=16, hot=2),
-                                     dict(window=61, core=20, block=16, bucket_stretches=20)])
+@pytest.mark.parametrize("options", [dict(window=100, core=30, span=11), dict(window=100, core=60, span=16, crowd=2),
+                                     dict(window=61, core=20, span=42, crowd=5, bucket_slices=20)])
 def test_removed_bytes(make, awkward, options):
     rows = planted() + [r for r in awkward if len(r[1] or "") < 6000]
     got = suffix_dedup.dedup(make(rows), **options).collect()
@@ -68,5 +68,16 @@ def test_removed_bytes(make, awkward, options):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
 
 
+def test_slices_grow_with_the_stretches(spark, make):
+    """One passage just shorter than the window in many texts: every middle is crowded, no window repeats."""
+    line = prose(2, 40)[:95]
+    rows = [(k, f"{prose(1000 + k, 15)} {line} {prose(3000 + k, 20)}") for k in range(300)]
+    got = suffix_dedup.dedup(make(rows), window=100, core=30, span=35, crowd=20).agg({"n_removed": "sum", "*": "count"}).first()
+    assert tuple(sorted(got)) == (0, 300)
+    longer = [(k, f"{prose(1000 + k, 15)} {line}{line[:40]} {prose(3000 + k, 20)}") for k in range(300)]
+    got = suffix_dedup.dedup(make(longer), window=100, core=30, span=35, crowd=20).collect()
+    assert {r.n_spans for r in got} == {1} and min(r.n_removed for r in got) >= 135
+
+
 def test_empty_table(make):
     assert suffix_dedup.dedup(make([(1, "a")]).limit(0)).count() == 0
