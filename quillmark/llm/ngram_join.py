@@ -6,18 +6,22 @@ A document is its set of distinct n-word shingles; two sets link when
 
 Signatures.  All shingles are ordered by their estimated number in the corpus, rarest
 first.  Rare shingles sign alone.  Frequent ones are split by hash into
-``classes`` classes and sign in pairs of the same class, which are far rarer than
+classes and sign in pairs of the same class, which are far rarer than
 the shingles themselves.  A prefix of the order is taken that holds
 
     (rare shingles) + sum over classes (shingles - 1, at least 0)  >=  slack + 1.
 
 At most ``slack`` of them are missing in a partner, so at least one rare
 shingle or one class with two shingles is left: linked sets share a signature.
-The prefix therefore grows where frequent classes use pairs.  Only sets of fewer
+The prefix therefore grows where frequent classes use pairs.  The number of classes
+grows with the set (``classes`` below 1,024 shingles, four times as many from there on, and so
+on), which keeps the pairs in proportion to the set; a set whose partners may have another number of
+classes signs for both.  Only sets of fewer
 than ``(classes + 1) / percent**2`` shingles might not reach that sum; these
 sign by single shingles as well.
 
-The frequencies come from a sketch of fixed size over all documents.  Its
+The frequencies come from a sketch over all documents, with about as many counters as the corpus
+has shingles and at most ``2**bits``.  Its
 estimates only choose the order and the classes, so a wrong estimate costs time,
 never a link.
 
@@ -94,18 +98,36 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def counters(docs: DataFrame, most: int, least: int = 16) -> int:
+    """Bits of the sketch: about one counter for each shingle (six bytes of text), within bounds."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(most, max(least, (size // 6).bit_length()))
+
+
 def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """Occurrences of shingles by hash bucket: ``2**bits`` counts whatever the corpus size.
+    """Occurrences of shingles by hash bucket, ``2**bits`` counts of at most 255.
 
     Each task counts its documents; the compressed slices are added up in two
     levels, so no group holds more than about the square root of the tasks.
     """
+    width = (1 << bits) // SLICES
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        table, sets = np.zeros(1 << bits, dtype=np.uint64), Sets(n)
+        table, sets, held = np.zeros(1 << bits, dtype=np.uint8), Sets(n), []
+
+        def put() -> None:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            table[at] = np.minimum(table[at].astype(np.int64) + times, 255)
+            held.clear()
+
         for b in batches:
             for g in sets.grams(b.column("text").to_pylist()):
-                np.add.at(table, _bucket(g, bits), np.uint64(1))
+                held.append(_bucket(g, bits))
+                if sum(map(len, held[-64:])) > 1_000_000 or len(held) == 4096:
+                    put()
+            if held:
+                put()
         if not table.any():
             return
         pack = zstandard.ZstdCompressor(level=1)
@@ -115,22 +137,26 @@ def frequencies(docs: DataFrame, n: int, bits: int) -> np.ndarray:
             "counts": pa.array([pack.compress(x.tobytes()) for x in np.split(table, SLICES)], pa.binary())})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // SLICES, dtype=np.uint64)
+        total = np.zeros(width, dtype=np.uint32)
         for c in group["counts"]:
-            total += np.frombuffer(zstandard.decompress(c), dtype=np.uint64)
-        packed = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+            total += np.frombuffer(zstandard.decompress(c), dtype=np.uint8)
+        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 255).astype(np.uint8).tobytes())
         return pd.DataFrame({"part": [group["part"].iloc[0]], "counts": [packed]})
 
     each = texts_of(docs, F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, salt int, counts binary")
     salt = F.floor(F.sqrt(F.col("salt").cast("double"))).cast("int")  # groups of growing size, about 2 * sqrt(tasks) each
     some = each.groupBy("part", salt.alias("salt")).applyInPandas(add, "part int, counts binary")
-    got = some.groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    table = np.zeros(1 << bits, dtype=np.uint64)
-    width = (1 << bits) // SLICES
-    for r in got:
-        table[r["part"] * width: (r["part"] + 1) * width] = np.frombuffer(
-            zstandard.decompress(bytes(r["counts"])), dtype=np.uint64)
-    return np.minimum(table, 2**32 - 1).astype(np.uint32)
+    table = np.zeros(1 << bits, dtype=np.uint8)
+    for r in some.groupBy("part").applyInPandas(add, "part int, counts binary").toLocalIterator():
+        table[r["part"] * width: (r["part"] + 1) * width] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), dtype=np.uint8)
+    return table
+
+
+def levels(n: int, percent: int) -> list[int]:
+    """Numbers of classes, as powers of four of the smallest, for which a set of n shingles and its partners sign."""
+    def level(m: int) -> int:
+        return max(0, ((m // 256).bit_length() - 1) // 2)
+    return list(range(level(-(-n * percent // 100)), level(n * 100 // percent) + 1))
 
 
 def signatures(h: np.ndarray, freq: np.ndarray, frequent: int, percent: int, classes: int) -> np.ndarray:
@@ -148,17 +174,17 @@ def signatures(h: np.ndarray, freq: np.ndarray, frequent: int, percent: int, cla
     need = slack + 1 - rare
     if need > 0:
         tail = h[rare:]
-        kind = (tail % np.uint64(classes)).astype(np.int64)
-        _, first = np.unique(kind, return_index=True)
-        adds = np.ones(len(tail), dtype=np.int64)
-        adds[first] = 0
-        upto = int(np.searchsorted(np.cumsum(adds), need)) + 1
-        tail, kind = tail[:upto], kind[:upto]
-        for k in np.unique(kind):
-            x = tail[kind == k]
-            i, j = np.triu_indices(len(x), 1)
-            out.append(mix(mix(x[i] + np.uint64(2)) + x[j]))
-    if n * percent * percent < (classes + 1) * 10_000:  # too few shingles for the sum to be certain
+        for level in levels(n, percent):
+            kind = (tail % np.uint64(classes << 2 * level)).astype(np.int64)
+            _, first = np.unique(kind, return_index=True)
+            adds = np.ones(len(tail), dtype=np.int64)
+            adds[first] = 0
+            upto = int(np.searchsorted(np.cumsum(adds), need)) + 1
+            by = np.argsort(kind[:upto], kind="stable")
+            for x in np.split(tail[:upto][by], np.flatnonzero(np.diff(kind[:upto][by])) + 1):
+                i, j = np.triu_indices(len(x), 1)
+                out.append(mix(mix(x[i] + np.uint64(2 + 7 * level)) + x[j]))
+    if n * percent * percent < ((classes << 2 * levels(n, percent)[-1]) + 1) * 10_000:  # too few shingles for the sum to be certain
         out.append(mix(h[: slack + 1] + np.uint64(3)))
     return np.unique(np.concatenate(out))
 
@@ -294,15 +320,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
                  "join_links")
 
 
-def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int = 8, bits: int = 22,
+def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int = 8, bits: int = 26,
                  rare_limit: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, root, rid): one row per document; root names its component.
 
     A shingle counts as frequent above ``rare_limit`` documents plus four times the sketch's mean load.
     """
     spark = docs.sparkSession
+    bits = counters(docs, bits)
     table = frequencies(docs, n, bits)
-    frequent = int(rare_limit + 4 * table.mean())
+    frequent = min(250, int(rare_limit + 4 * table.mean()))
     freq = spark.sparkContext.broadcast(table)
     signed = stage(_signed(docs, n, percent, classes, freq, frequent, bits), "join_signed")
 

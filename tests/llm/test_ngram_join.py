@@ -130,3 +130,32 @@ def test_empty_table(make):
     none = make([(1, "a b c")]).limit(0)
     assert ngram_join.near_classes(none).count() == 0
     assert ngram_join.one_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_large_sets_share_a_signature_for_any_number_of_classes(percent):
+    r = np.random.default_rng(percent)
+    for size in (980, 1024, 1100, 4090, 4200):
+        every = np.unique(r.integers(0, 2**63, 2 * size).astype(np.uint64))
+        r.shuffle(every)
+        for keep in (size * percent // 100 + 1, size):
+            a = np.sort(every[:size])
+            b = np.sort(every[size - keep: size + (0 if keep < size else size * (100 - percent) // percent)])
+            sign = [ngram_join.signatures(x, np.full(len(x), 200, np.uint8), 10, percent, 8) for x in (a, b)]
+            assert len(np.intersect1d(*sign)), (size, keep)
+
+
+def test_signatures_grow_with_the_set():
+    for n in (1000, 5000, 40_000):
+        h = np.sort(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
+        assert len(ngram_join.signatures(h, np.full(n, 200, np.uint8), 10, 80, 8)) <= 6 * n
+
+
+def test_sketch_counts(make):
+    rows = [(i, "a b c d e f g" if i < 300 else prose(i, 30)) for i in range(330)]
+    sets, bits = ngram_join.Sets(5), 16
+    table = ngram_join.frequencies(make(rows).repartition(3), 5, bits)
+    common = next(iter(sets(["a b c d e f g"])))
+    assert table.dtype == np.uint8 and (table[ngram_join._bucket(common, bits)] == 255).all()
+    rare = next(iter(sets([prose(310, 30)])))
+    assert np.median(table[ngram_join._bucket(rare, bits)]) == 1
