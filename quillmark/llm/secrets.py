@@ -1,8 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
-1. Candidates: runs of key characters, at least 20 long, or 12 with a digit,
-   with position and the text around them.  A run ``name=value`` is a candidate
-   ``value`` whose name belongs to the context.
+1. Candidates, with position and the text around them: whatever a credential name assigns (behind ``=`` or ``:``, up to
+   the closing quote, or to white space where there is none), of any length; and runs of key characters, at least 20
+   long, or 12 with a digit.  A run ``name=value`` is a candidate ``value`` whose name belongs to the context.
 2. Features of every candidate: length; character classes, changes between
    them and the mean log-probability of its character transitions in prose;
    share covered by dictionary words; signs of a path, address or number; signs
@@ -21,7 +21,8 @@ fitted on at most ``sample`` labelled findings a class (those with the smallest
 hash); every candidate of every text is scored.
 
 Defined cases: a null or empty text has no candidate; a null ``doc_id`` is
-kept; repeated rows give repeated findings; without labels of both kinds
+kept; repeated rows give repeated findings; a text of any length is scanned in time that grows with it, each of its
+candidates being a row of its own; extra columns are left out of a scan, whatever their names; without labels of both kinds
 nothing can be trained and a finding is a secret if ``confirmed`` says so; an
 empty table gives an empty result.
 """
@@ -33,17 +34,22 @@ import math
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.session import stage
 
 # Characters of keys, names of credentials, formats beyond doubt.
 KEY = "A-Za-z0-9+/_=@:.-"
-CANDIDATE = f"(?<![{KEY}])(?:[{KEY}]{{20,}}+|(?=[A-Za-z+/_=@:.-]*[0-9])[{KEY}]{{12,}}+)"
 CREDENTIAL = (r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|"
               r"private[_-]?key|client[_-]?id)")
-ASSIGNED = CREDENTIAL + r"[A-Za-z0-9_]*[ ]*[=:][ ]*[\"']?$"
+SPACE = " \\t\\n\\x0B\\f\\r"
+NAMED = (rf"[A-Za-z0-9_.-]{{0,32}}?(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|"
+         rf"private[_-]?key|client[_-]?id)(?:s|[A-Z0-9_-][A-Za-z0-9_-]{{0,32}})?[\"']?[ \t]{{0,4}}[=:]{{1,2}}[ \t]{{0,4}}")
+VALUE = rf"(?:\"[^\"\n]++|'[^'\n]++|[^{SPACE}\"'=:][^{SPACE}\"']*+)"
+CANDIDATE = f"(?<![{KEY}])(?:{NAMED}{VALUE}|[{KEY}]{{20,}}+|(?=[A-Za-z+/_=@:.-]*[0-9])[{KEY}]{{12,}}+)"
+ASSIGNED = CREDENTIAL + r"[A-Za-z0-9_-]*[\"']?[ \t]*[=:]+[ \t]*[\"']?$"
+PASSWORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret)[\"']?[ \t]*[=:]+[ \t]*[\"']?$"
 VENDOR = (r"^((AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|"
           r"AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{24,})$")
 ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}(:\d+)?|[^@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|https?:.*|[+(]?\d[\d.()-]*)$"
@@ -56,34 +62,41 @@ FEATURES = ["length", "digits", "uppers", "lowers", "others", "hex", "changes",
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, start, value, before, after): every candidate; ``start`` counts code points from 0."""
+    """(doc_id, rid, start, value, before, after): every candidate; ``start`` counts code points from 0.
+
+    Every candidate is a row with its own length and its gap's; a window over the text's candidates adds them up to places.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"),
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.monotonically_increasing_id().alias("row"),
                        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("runs"),
-                       F.split("text", CANDIDATE, -1).alias("gaps")).where("size(runs) > 0")
-    # each candidate follows its gap: a running sum of both lengths gives the places
-    rows = rows.select("doc_id", "rid", "runs", F.expr(f"""transform(gaps, g -> struct(
+                       F.split("text", CANDIDATE, -1).alias("gaps"))
+    rows = rows.select("doc_id", "rid", "row", "runs", F.expr(f"""transform(gaps, g -> struct(
         char_length(g) AS n, right(g, {CONTEXT}) AS tail, left(g, {CONTEXT}) AS head))""").alias("gaps"))
-    rows = rows.select("doc_id", "rid", F.posexplode(F.expr("""
+    # an outer explode: no filter on the runs is pushed below it, which would scan every text twice
+    rows = rows.select("doc_id", "rid", "row", F.posexplode_outer(F.expr("""
         transform(runs, (r, i) -> struct(r AS run, gaps[i].tail AS before, gaps[i + 1].head AS after, gaps[i].n AS gap))
-        """)).alias("k", "c"), F.expr("""
-        aggregate(slice(runs, 1, size(runs) - 1), struct(array(gaps[0].n) AS at, 0 AS k), (s, r) -> struct(
-            array_append(s.at, element_at(s.at, -1) + char_length(r) + gaps[s.k + 1].n) AS at, s.k + 1 AS k)).at
-        """).alias("at"))
-    name = F.regexp_extract("c.run", r"^([A-Za-z_][A-Za-z_-]*[=:]+)(?=.{6})", 1)
-    rows = rows.select("doc_id", "rid", F.expr("at[k]").alias("place"), "c.*", name.alias("name"))
-    value = F.regexp_replace(F.expr("substring(run, char_length(name) + 1)"), r"[.:=]+$", "")
-    return rows.select("doc_id", "rid", (F.col("place") + F.char_length("name")).cast("long").alias("start"),
-                       value.alias("value"), F.concat("before", "name").alias("before"), "after")
+        """)).alias("k", "c")).where("c is not null")
+    rows = stage(rows.select("doc_id", "rid", "row", "k", "c.*"), "secret_runs")
+    upto = F.sum(F.col("gap") + F.char_length("run")).over(Window.partitionBy("row").orderBy("k"))
+    name = F.coalesce(F.regexp_extract("run", f"^({NAMED}[\"']?)(?=.)", 1), F.lit(""))
+    name = F.when(name != "", name).otherwise(F.regexp_extract("run", r"^([A-Za-z_][A-Za-z_-]*[=:]+)(?=.{6})", 1))
+    rows = rows.select("doc_id", "rid", (upto - F.char_length("run")).alias("place"), "run", "before", "after", name.alias("name"))
+    value = F.regexp_replace(F.expr("substring(run, char_length(name) + 1)"), r"[.:=,;)]+$", "")
+    found = rows.select("doc_id", "rid", (F.col("place") + F.char_length("name")).cast("long").alias("start"),
+                        value.alias("value"), F.concat("before", "name").alias("before"), "after")
+    return found.where("value <> ''")
 
 
 def confirmed(found: DataFrame) -> DataFrame:
-    """Labels of findings whose format leaves no doubt: vendor keys and assigned high-entropy values against
-    plain words, numbers and addresses.  (doc_id, start, label)"""
+    """Labels of findings whose format leaves no doubt: vendor keys, assigned high-entropy values and what a password's or
+    secret's name assigns in quotes or at length, against plain words, numbers and addresses that nothing assigns.
+    (doc_id, start, label)"""
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.char_length("value") >= 16)
-    secret = F.col("value").rlike(VENDOR) | (mixed & F.col("before").rlike(ASSIGNED))
-    plain = F.col("value").rlike("^([A-Za-z]?[a-z]+|[A-Z]+)$") | F.col("value").rlike(ADDRESS)
+    assigned, quoted = F.col("before").rlike(ASSIGNED), F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")
+    word = F.col("before").rlike(PASSWORD) & ~F.col("value").rlike(ADDRESS) & (quoted | (F.char_length("value") >= 8))
+    secret = F.col("value").rlike(VENDOR) | (mixed & assigned) | word
+    plain = (F.col("value").rlike("^([A-Za-z]?[a-z]+|[A-Z]+)$") | F.col("value").rlike(ADDRESS)) & ~F.col("before").rlike(ASSIGNED)
     return found.withColumn("label", F.when(secret, 1).when(plain, 0)).where("label is not null").select(
         "doc_id", "start", "label")
 

@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 
 from quillmark.llm import secrets
 from tests.llm.conftest import prose
 
-RUN = re.compile(rf"(?<![{secrets.KEY}])(?:[{secrets.KEY}]{{20,}}|(?=[A-Za-z+/_=@:.-]*[0-9])[{secrets.KEY}]{{12,}})")
+RUN = re.compile(secrets.CANDIDATE)
 
 
 def hexes(r, n):
@@ -51,7 +52,7 @@ def test_planted_secrets(make):
 
 
 def test_candidates_equal_a_python_scan(make, awkward):
-    rows = awkward + corpus()[0] + [(500, "a1" * 40 + " x=" + "b2" * 9 + "." + " é" + "c3" * 8), (501, "key=" + "9f" * 10)]
+    rows = awkward + corpus()[0] + [(502, 'password = "x" token:y'), (500, "a1" * 40 + " x=" + "b2" * 9 + "." + " é" + "c3" * 8), (501, "key=" + "9f" * 10)]
     got = secrets.candidates(make(rows)).collect()
     assert len(got) == sum(len(RUN.findall(t or "")) for _, t in rows)
     for r in got:
@@ -62,6 +63,29 @@ def test_candidates_equal_a_python_scan(make, awkward):
                 r.after[:5].lstrip(".:="))
 
 
+def test_assigned_values_of_any_length(make):
+    rows, secret = corpus()
+    short = {900: ('password = "hunter2x"', "hunter2x"), 901: ('{"pwd": "S3cr3tP4s", "n": 1}', "S3cr3tP4s"),
+             902: ("secret: correcthorse", "correcthorse"), 903: ("password=Tr0ub4dor!x$9%kk and more", "Tr0ub4dor!x$9%kk"),
+             904: ("export DB_PASSWORD='p w;d'", "p w;d")}
+    prose_rows = [(950, f"{prose(1, 30)} the secretary and the author: nothing more {prose(2, 9)}")]
+    rows = rows + [(i, f"{prose(i, 20)} {t} {prose(i + 1, 9)}") for i, (t, _) in short.items()] + prose_rows
+    got = secrets.scan(make(rows)).collect()
+    assert {(r.doc_id, r.value) for r in got if r.is_secret and r.doc_id >= 900} == {(i, v) for i, (_, v) in short.items()}
+    assert {(r.doc_id, r.value) for r in got if r.is_secret and r.doc_id < 900} == set(secret.items())
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start: r.start + len(r.value)] == r.value for r in got)
+
+
+def test_many_candidates_in_one_text(make):
+    """Time grows with the text: 50,000 candidates in one."""
+    text = " ".join(f"k{i:06d}abcdef{i % 97}" for i in range(50_000))
+    begin = time.time()
+    got = secrets.candidates(make([(1, text)])).agg({"start": "max", "*": "count"}).first()
+    assert got["count(1)"] == 50_000 and got["max(start)"] == text.rindex(" ") + 1
+    assert time.time() - begin < 60
+
+
 def test_hand_labels_decide(spark, make):
     """The same format labelled as harmless is removed."""
     r = random.Random(9)
