@@ -320,7 +320,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
                  "join_links")
 
 
-def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int = 8, bits: int = 26,
+def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int = 8, bits: int = 25,
                  rare_limit: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, root, rid): one row per document; root names its component.
 
@@ -331,7 +331,9 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int =
     table = frequencies(docs, n, bits)
     frequent = min(250, int(rare_limit + 4 * table.mean()))
     freq = spark.sparkContext.broadcast(table)
+    del table
     signed = stage(_signed(docs, n, percent, classes, freq, frequent, bits), "join_signed")
+    freq.destroy()  # the staged signatures are all that is needed of it
 
     shared = (signed.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node", "rare")
               .repartition("sig").dropDuplicates(["sig", "node"]))
