@@ -31,29 +31,39 @@ def _stem() -> F.Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
 
 
-def read_price_csvs(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV under ``path`` -> (symbol, date, close, open, high, low, volume, file)."""
-    raw = (spark.read.schema(RAW_SCHEMA).option("header", "false").option("mode", "PERMISSIVE")
-           .csv(path).select("*", F.col("_metadata.file_name").alias("file"), _stem().alias("symbol")))
-    d = F.try_to_timestamp(F.col("Date"), F.lit("yyyy-MM-dd"))
-    return raw.select(
-        "symbol", "file", F.to_date(d).alias("date"),
-        *[price_cell(c).alias(c.lower()) for c in ["Close", "Open", "High", "Low"]],
-        volume_cell("Volume").alias("volume"),
-    )
+def read_price_files(spark: SparkSession, path: str, most_columns: int = 32) -> DataFrame:
+    """Every ``<SYMBOL>.csv`` under ``path``, each under its own header line.
+
+    Lines are read once.  A line that names all of ``RAW_COLS`` is its file's header; the small (file, columns) table is
+    joined to the lines, which are parsed as cells and picked by the place of their name.  Returns (symbol, file,
+    columns, date, close, open, high, low, volume); ``columns`` is null and nothing is parsed where a file has no header.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), _stem().alias("symbol"), "value")
+    cells = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(most_columns)), {"mode": "PERMISSIVE"})
+    lines = lines.withColumn("cells", F.array(*[F.trim(cells[f"c{i}"]) for i in range(most_columns)]))
+    wanted = F.array(*[F.lit(c) for c in RAW_COLS])
+    heads = (lines.where(F.size(F.array_except(wanted, "cells")) == 0).groupBy("file")
+             .agg(F.min(F.filter("cells", lambda c: c.isNotNull())).alias("columns")))
+    rows = lines.join(heads.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"), "left")
+    cell = {c: F.when(F.col("columns").isNotNull(), F.try_element_at("cells", F.array_position("columns", c).cast("int"))) for c in RAW_COLS}
+    rows = rows.select("symbol", "file", "columns", *[x.alias(c) for c, x in cell.items()])
+    return rows.select("symbol", "file", "columns", F.to_date(F.try_to_timestamp(F.col("Date"), F.lit("yyyy-MM-dd"))).alias("date"),
+                       *[price_cell(c).alias(c.lower()) for c in ["Close", "Open", "High", "Low"]],
+                       volume_cell("Volume").alias("volume"))
 
 
 def clean_prices(parsed: DataFrame, blacklist=BLACKLIST) -> tuple[DataFrame, DataFrame]:
     """Valid rows of good files minus the blacklist, and the quarantine table.
 
-    A file is quarantined when none of its lines has a parsable date (an
-    unreadable header layout in the source data).  The blacklist is a fixed
-    parameter list (broadcast, size known).
+    A file is quarantined when none of its lines has a parsable date; the reason tells a missing header (where
+    ``parsed`` knows ``columns``).  The blacklist is a fixed parameter list (broadcast, size known).
     """
     valid = parsed.where(F.col("date").isNotNull())
-    files = parsed.select("file", "symbol").distinct()
+    headed = "columns" in parsed.columns
+    files = parsed.select("file", "symbol", *(["columns"] if headed else [])).distinct()
     good = valid.select("file").distinct()
-    quarantine = files.join(good, "file", "left_anti").withColumn("reason", F.lit("no parsable row"))
+    reason = F.when(F.col("columns").isNull(), "no header").otherwise("no parsable row") if headed else F.lit("no parsable row")
+    quarantine = files.join(good, "file", "left_anti").withColumn("reason", reason).drop("columns")
     bl = parsed.sparkSession.createDataFrame([(s,) for s in blacklist], "symbol string")
     keep = valid.join(F.broadcast(bl), "symbol", "left_anti").drop("file")
     return keep, quarantine
@@ -84,6 +94,35 @@ def write_price_csvs(bars: DataFrame, path: str, extra_symbols: DataFrame | None
         .write.mode("overwrite").partitionBy("symbol").option("header", "false").csv(path))
 
 
+def write_price_files(bars: DataFrame, path: str, orders: list[tuple[str, list[str], bool]], extra_symbols: DataFrame) -> None:
+    """Bars as one ``<SYMBOL>.csv`` a symbol, in the source format.
+
+    ``orders`` (condition, columns, header) gives the symbols of a condition their column order and header line.
+    Spark writes a folder a symbol with one file; the driver then gives each file its name (one move a symbol, a
+    bounded number).
+    """
+    spark = bars.sparkSession
+    fmt = lambda c: F.concat(F.lit("kr "), F.format_number(F.floor(F.col(c) * 100 + 0.5) / 100, 2))
+    cell = {c: F.concat(F.lit('"'), fmt(c.lower()), F.lit('"')) for c in RAW_COLS[1:5]}
+    cell |= {"Date": F.date_format("date", "yyyy-MM-dd"), "Volume": F.concat(F.lit('"'), F.format_number(F.col("volume"), 0), F.lit('"'))}
+    symbols = bars.select("symbol").distinct()
+    lines = symbols.unionByName(extra_symbols.select("symbol")).distinct().select(
+        "symbol", F.lit(0).alias("o"), F.concat(F.lit("Price history "), F.col("symbol")).alias("value"))
+    for condition, columns, header in orders:
+        if header:
+            lines = lines.unionByName(symbols.where(condition).select("symbol", F.lit(1).alias("o"), F.lit(",".join(columns)).alias("value")))
+        lines = lines.unionByName(bars.where(condition).select("symbol", F.lit(2).alias("o"), F.concat_ws(",", *[cell[c] for c in columns]).alias("value")))
+    folders = f"{path}-folders"
+    lines.repartition("symbol").sortWithinPartitions("symbol", "o", "value").drop("o").write.partitionBy("symbol").text(folders)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(Path(path))
+    for found in fs.globStatus(Path(f"{folders}/symbol=*/part-*")):
+        name = found.getPath().getParent().getName().removeprefix("symbol=")
+        if not fs.rename(found.getPath(), Path(f"{path}/{name}.csv")):
+            raise OSError(f"cannot name the price file of {name}")
+
+
 def read_price_dir(spark: SparkSession, path: str) -> DataFrame:
     """Variant for a ``symbol=<S>/part-*.csv`` layout: symbol from the partition folder."""
     # recursive lookup turns partition discovery off: the symbol is taken from the path as written
