@@ -17,6 +17,7 @@ from quillmark.operators import evaluate as ev
 from quillmark.operators import text as tx
 from quillmark.plans import text as tp
 from quillmark.session import stage
+from quillmark.sources import ingest as ing
 
 # The grid of the boosted trees.
 GRID = {
@@ -83,14 +84,21 @@ def _copies(spark):
     return spark.sparkContext.defaultParallelism
 
 
+def _grid(spark, sf, data=None):
+    """The searched grid; kept for the application, so that the refit does not search again."""
+    inputs = [f"{sf.rstrip('/')}/documents.parquet"]
+    return ing.kept(spark, "gbt_grid", inputs, (GRID, ROUNDS, DEPTH, FOLDS, MIN_SHARE, MAX_SHARE),
+                    lambda: _searched(data or Data(spark, sf, copies=_copies(spark))))
+
+
 def q_gbt_grid(spark, sf):
     """Mean weighted F1 over five folds of every grid point, best first."""
-    return _searched(Data(spark, sf, copies=_copies(spark))).drop("point")
+    return _grid(spark, sf).drop("point")
 
 
 def _refit(spark, sf):
     data = Data(spark, sf, copies=_copies(spark))
-    top = _searched(data).where("rank = 1").first().asDict()
+    top = _grid(spark, sf, data).where("rank = 1").first().asDict()
     return data, data.train(bo.fits_of([{c: top[c] for c in GRID}], [bo.NO_FOLD]), FINAL_ROUNDS)
 
 

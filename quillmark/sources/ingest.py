@@ -10,6 +10,7 @@ name.  Files without a single valid row are quarantined.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.functions.parsing import price_cell, volume_cell
+from quillmark.session import run_folder
 
 RAW_COLS = ["Date", "Close", "Open", "High", "Low", "Volume"]
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLS])
@@ -163,3 +165,26 @@ def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     if not fs.exists(hpath):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def fingerprint(spark: SparkSession, inputs: list[str], *parameters) -> str:
+    """md5 of the parameters and of every input file's path, size and time of change."""
+    Path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    seen = [repr(parameters)]
+    for name in inputs:
+        fs = Path(name).getFileSystem(conf)
+        files = fs.listFiles(Path(name), True)  # metadata of the files alone
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+        seen += sorted(found)
+    return hashlib.md5("\n".join(seen).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, name: str, inputs: list[str], parameters: tuple, build) -> DataFrame:
+    """The result of ``build``, written once an application for these parameters and this state of the inputs.
+
+    A changed, added or removed input file gives another fingerprint, so the result is built anew.
+    """
+    return load_or_build(spark, f"{run_folder(spark)}/kept-{name}-{fingerprint(spark, inputs, *parameters)}", build)
