@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["history", "dataset", "profile", "evaluation", "text", "models", "boosting", "svm", "clusters", "io", "arrivals", "lang", "shape"]
+MODULES = ["history", "dataset", "profile", "evaluation", "text", "models", "boosting", "svm", "scoring", "clusters", "io", "arrivals", "lang", "shape"]
 
 
 def _mods():
