@@ -24,6 +24,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from quillmark.operators import evaluate as ev
 from quillmark.operators import models as md
+from quillmark.operators import sketch_svm as sv
 from quillmark.operators import text as tx
 
 
@@ -66,6 +67,14 @@ def fit_centres(rows: DataFrame, vector: str = "vector", label: str = "label") -
     return Model("centres", classes, {}, {"centres": centres.select(F.col(label).cast("string").alias("label"), "centre")})
 
 
+def keep_svm(classes: list[str], idf: DataFrame, weights: np.ndarray, sketch: sv.Sketch) -> Model:
+    """A trained machine of one degree as a model; ``weights`` (features, 1, classes), one row of the table a class."""
+    rows = [(c, [float(x) for x in weights[:, 0, i]]) for i, c in enumerate(classes)]
+    table = idf.sparkSession.createDataFrame(rows, "label string, w array<double>")
+    options = {"degree": str(sketch.degrees[0]), "width": str(sketch.width), "gamma": repr(float(sketch.gamma))}
+    return Model("svm", classes, options, {"idf": idf, "weights": table})
+
+
 # ----------------------------------------------------------------- scoring
 
 def _cnb(model: Model, rows: DataFrame) -> DataFrame:
@@ -95,7 +104,18 @@ def _centres(model: Model, rows: DataFrame) -> DataFrame:
     return vector_logits(rows, make, c.shape[1])
 
 
-SCORERS: dict[str, Callable[[Model, DataFrame], DataFrame]] = {"cnb": _cnb, "centres": _centres}
+def _svm(model: Model, rows: DataFrame) -> DataFrame:
+    docs = rows.select(F.col("row_id").alias("doc_id"), F.col("input").alias("text"))
+    cells = tx.tfidf(tx.doc_terms(docs, stop_words=tx.STOP_WORDS), model.tables["idf"])
+    blank = [F.lit(0).alias("y"), F.lit(0).alias("fold"), F.lit(1.0).alias("w")]
+    at = {r["label"]: r["w"] for r in model.tables["weights"].collect()}  # one array a class
+    o = model.options
+    w = np.array([at[c] for c in model.classes]).T[:, None, :]
+    got = sv.predict(sv.rows_of(docs.select("doc_id", *blank), cells), [w], sv.Sketch([int(o["degree"])], int(o["width"]), float(o["gamma"])))
+    return got.select(F.col("doc_id").alias("row_id"), F.col("scores").alias("logits"))
+
+
+SCORERS: dict[str, Callable[[Model, DataFrame], DataFrame]] = {"cnb": _cnb, "centres": _centres, "svm": _svm}
 
 
 def score(model: Model, rows: DataFrame) -> DataFrame:

@@ -124,3 +124,23 @@ def test_losses_equal_numpy(spark):
             held = (p["fold"] == fits.fold[f]).to_numpy()
             assert np.isclose(got[d, f].loss, np.mean(np.array(hinge)[~held]))
             assert got[d, f].eval_loss is None if not held.any() else np.isclose(got[d, f].eval_loss, np.mean(np.array(hinge)[held]))
+
+
+def test_saved_machine_equals_the_trained_one(spark, sf):
+    from quillmark.plans import scoring as ps
+    from quillmark.plans import svm as sp
+
+    data = sp.Data(spark, sf)
+    sketch = sv.Sketch([2], 128, data.gamma)
+    w = sv.train(data.fit, sv.fits_of([1], [sv.NO_FOLD]), len(data.classes), data.n, sketch, rounds=1)
+    want = {r.doc_id: r for r in sv.predict(data.test(), w, sketch).collect()}
+    path = fresh_path(spark, "svm")
+    sc.save(sc.keep_svm(data.classes, data.idf, w[0], sketch), spark, path)
+    model = sc.load(spark, path)
+    turned = model._replace(classes=model.classes[::-1])  # the weights follow the names
+    for m in (model, turned):
+        got = {r.row_id: r for r in sc.score(m, ps.inputs(spark, sf, "text", "test")).collect()}
+        assert got.keys() == want.keys() and len({tuple(r.logits) for r in got.values()}) > 1
+        for i, r in want.items():
+            assert np.allclose(got[i].logits if m is model else got[i].logits[::-1], r.scores)
+            assert got[i].label == data.classes[r.p]
