@@ -38,9 +38,9 @@ def null_profile(df: DataFrame, cols=None) -> DataFrame:
                   *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols])
 
 
-def _range_of(x: Column, bounds: Column, step: int) -> Column:
-    """Number of sorted ``bounds`` below ``x``: every ``step``-th first, then the block that holds it."""
-    coarse = F.size(F.filter(F.expr(f"filter(_bd, (b, i) -> i % {step} = {step - 1})"), lambda b: b < x)) * step
+def _range_of(x: Column, bounds: Column, every: Column, step: int) -> Column:
+    """Number of sorted ``bounds`` below ``x``: first by ``every`` ``step``-th of them, then in the block that holds it."""
+    coarse = F.size(F.filter(every, lambda b: b < x)) * step
     return coarse + F.size(F.filter(F.slice(bounds, coarse + 1, F.lit(step)), lambda b: b < x))
 
 
@@ -56,8 +56,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_ranges: int =
     cuts = [i / n_ranges for i in range(1, n_ranges)]
     # One row holding ~n_ranges cut points (fixed size, independent of the data volume).
     bounds = vc.agg(F.percentile_approx("x", cuts, accuracy).alias("_bd"), F.lit(1).alias("_k"))
+    bounds = bounds.withColumn("_every", F.expr("filter(_bd, (b, i) -> i % 32 = 31)"))
     vc = (vc.withColumn("_k", F.lit(1)).join(F.broadcast(bounds), "_k")
-          .withColumn("rg", _range_of(F.col("x"), F.col("_bd"), 32)).drop("_k", "_bd"))
+          .withColumn("rg", _range_of(F.col("x"), F.col("_bd"), F.col("_every"), 32)).drop("_k", "_bd", "_every"))
     rg = vc.groupBy("rg").agg(F.sum("c").alias("rc"))
     # At most n_ranges rows: the un-partitioned running sum stays tiny.
     rg = rg.select("rg", (F.sum("rc").over(Window.orderBy("rg")) - F.col("rc")).alias("roff"), "rc",
@@ -86,6 +87,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_ranges: int =
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of one numeric column."""
+    df = stage(df.select(col), "described")  # the aggregate and the value counts read one column, once
     x = F.col(col)
     base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                   F.min(x).alias("min"), F.max(x).alias("max"))

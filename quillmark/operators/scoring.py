@@ -53,8 +53,8 @@ def load(spark: SparkSession, path: str) -> Model:
 def fit_cnb(docs: DataFrame, idf: DataFrame, alpha: float, norm: bool) -> Model:
     """Complement naive Bayes over TF-IDF of ``docs`` (doc_id, text, label): its idf and parameter tables."""
     train = tx.tfidf(tx.doc_terms(docs, stop_words=tx.STOP_WORDS), idf).join(docs.select("doc_id", "label"), "doc_id")
-    params = md.cnb_logged(train.groupBy("label", "term").agg(F.sum("weight").alias("fc")), [], [alpha])
-    classes = [r["label"] for r in docs.select("label").distinct().orderBy("label").collect()]  # a handful of names
+    classes = md.class_names(docs)
+    params = md.cnb_logged(train.groupBy("label", "term").agg(F.sum("weight").alias("fc")), [], [alpha], classes)
     return Model("cnb", classes, {"norm": str(norm).lower()}, {"idf": idf, "params": params.drop("labels")})
 
 
@@ -81,7 +81,7 @@ def _cnb(model: Model, rows: DataFrame) -> DataFrame:
     docs = rows.select(F.col("row_id").alias("doc_id"), F.col("input").alias("text"))
     cells = tx.tfidf(tx.doc_terms(docs, stop_words=tx.STOP_WORDS), model.tables["idf"])
     params = model.tables["params"].withColumn("labels", F.array(*[F.lit(c) for c in model.classes]))
-    got = md.cnb_scores(cells, params, [], [model.options["norm"] == "true"])
+    got = md.cnb_scores(cells, params, [], [model.options["norm"] == "true"], len(model.classes))
     return got.select(F.col("doc_id").alias("row_id"), "logits")
 
 

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark.functions.calendar import parse_ts
 from quillmark.functions.numeric import round_sig, sql_round_sig
 from quillmark.operators import langid as li
+from quillmark.plans import dataset as dp
 from quillmark.plans import text as tp
+from quillmark.sources import tables
+from quillmark.sources.oracle import with_views
 
 DIG = 9
 
@@ -55,6 +59,34 @@ def q_title_lang(spark, sf):
                                       round_sig(F.col("par_label_score"), DIG).alias("title_lang_score"))
 
 
+# B1: sums in another order differ in the last digits, so the moving means are rounded for the comparison
+_ROUNDED = [c for c in dp.HIST_COLS if c.startswith("ewm_")]
+_MESSAGE = ["id", "title", "body", "category", "issuerId", "symbol", "name", "is_next_day", "next_day", "is_positive",
+            "is_negative", "label"]
+
+
+def q_labelled_table(spark, sf):
+    """B1, F1: the whole projection of the labelled table: message, language, issuer, trading-day, history and label columns.
+
+    The languages are those the trigram model finds in title and body; the scores are given as two arrays, best first.
+    """
+    fit, _ = tp._fit_apply(spark, sf)
+    model, priors = li.fit(fit.withColumn("lang", F.concat(F.lit("__label__"), "lang")))
+    rows = dp.labelled(spark, sf).drop("weighted_label").withColumn(
+        "publishedTime", F.date_format("publishedTime", "yyyy-MM-dd'T'HH:mm:ss"))
+    d = li.language_columns(rows, model, priors, texts=tables.messages(spark, sf))
+    best = li.top_languages(F.col("weighted_scores"), 1000)
+    return d.select(
+        *_MESSAGE, "publishedTime", F.date_format(parse_ts("publishedTime"), "yyyy-MM-dd HH:mm:ss").alias("publishedTime_dt"),
+        "title_clean", "title_lang", round_sig(F.col("title_lang_score"), DIG).alias("title_lang_score"),
+        "par_len", "par_label", F.transform("par_label_score", lambda x: round_sig(x, 7)).alias("par_label_score"),
+        best.alias("weighted_langs"),
+        F.transform(best, lambda k: round_sig(F.element_at("weighted_scores", k), 7)).alias("weighted_scores"),
+        "weighted_label", round_sig(F.col("weighted_label_conf"), 7).alias("weighted_label_conf"),
+        F.col("n_paragraphs").cast("long").alias("n_paragraphs"),
+        *[round_sig(F.col(c), DIG).alias(c) if c in _ROUNDED else F.col(c) for c in dp.HIST_COLS])
+
+
 # ---------------------------------------------------------------- DuckDB oracles
 
 SPLIT = r"string_split_regex(text, '\r?\n+')"
@@ -77,17 +109,17 @@ def _model_ctes() -> dict:
     }
 
 
-def _score_ctes(src: str) -> dict:
-    """Paragraph scoring of CTE ``src(doc_id, par, ptext, par_len)`` -> ``scored``."""
+def _score_ctes(src: str, pre: str = "") -> dict:
+    """Paragraph scoring of CTE ``src(doc_id, par, ptext, par_len)`` -> ``scored``, all names after ``pre``."""
     return {
-        "ttri": f"""SELECT doc_id, par, tri, count(*) AS n FROM
+        f"{pre}ttri": f"""SELECT doc_id, par, tri, count(*) AS n FROM
                     (SELECT doc_id, par, unnest({_tri('lower(ptext)')}) AS tri FROM {src}) GROUP BY ALL""",
-        "sc": """SELECT t.doc_id, t.par, m.lang, sum(t.n * m.logp) + any_value(p.logprior) AS score
-                 FROM ttri t JOIN model m USING (tri) JOIN priors p ON p.lang = m.lang GROUP BY t.doc_id, t.par, m.lang""",
-        "best": "SELECT doc_id, par, arg_max(lang, score) AS par_label, max(score) AS m FROM sc GROUP BY doc_id, par",
-        "scored": f"""SELECT b.doc_id, b.par, any_value(b.par_label) AS par_label,
+        f"{pre}sc": f"""SELECT t.doc_id, t.par, m.lang, sum(t.n * m.logp) + any_value(p.logprior) AS score
+                 FROM {pre}ttri t JOIN model m USING (tri) JOIN priors p ON p.lang = m.lang GROUP BY t.doc_id, t.par, m.lang""",
+        f"{pre}best": f"SELECT doc_id, par, arg_max(lang, score) AS par_label, max(score) AS m FROM {pre}sc GROUP BY doc_id, par",
+        f"{pre}scored": f"""SELECT b.doc_id, b.par, any_value(b.par_label) AS par_label,
                       1.0 / sum(exp(s.score - b.m)) AS par_label_score, any_value(tp.par_len) AS par_len
-                      FROM best b JOIN sc s USING (doc_id, par) JOIN {src} tp USING (doc_id, par)
+                      FROM {pre}best b JOIN {pre}sc s USING (doc_id, par) JOIN {src} tp USING (doc_id, par)
                       GROUP BY b.doc_id, b.par""",
     }
 
@@ -120,7 +152,53 @@ def _title_ctes() -> dict:
     }
 
 
+def _labelled_sql() -> str:
+    body = """SELECT doc_id, list(par_len ORDER BY par) AS par_len, list('__label__' || par_label ORDER BY par) AS par_label,
+              list(par_label_score ORDER BY par) AS par_label_score FROM scored GROUP BY doc_id"""
+    found = """SELECT p.doc_id, sum(np) AS n_paragraphs, '__label__' || arg_max(par_label, ws) AS weighted_label,
+               max(ws) / sum(ln) AS weighted_label_conf, list('__label__' || par_label ORDER BY ws DESC, par_label) AS weighted_langs,
+               list(ws / total ORDER BY ws DESC, par_label) AS weighted_scores
+               FROM per p JOIN (SELECT doc_id, sum(ln) AS total FROM per GROUP BY doc_id) USING (doc_id) GROUP BY p.doc_id"""
+    ctes = {
+        **dp._labelled_ctes(), **_model_ctes(),
+        "bodies": "SELECT md5(body) AS doc_id, any_value(body) AS text FROM messages WHERE body IS NOT NULL GROUP BY 1",
+        "tpar": f"""SELECT doc_id, par, ptext, length(ptext) AS par_len FROM
+                    (SELECT doc_id, unnest({SPLIT}) AS ptext, unnest(range(len({SPLIT}))) AS par FROM bodies)
+                    WHERE length(ptext) > 0""",
+        **_score_ctes("tpar"),
+        "per": """SELECT doc_id, par_label, sum(par_len * par_label_score) AS ws, sum(par_len) AS ln, count(*) AS np
+                  FROM scored GROUP BY ALL""",
+        "found": found, "arrays": body,
+        "ttl": r"""SELECT md5(title) AS doc_id, 0 AS par,
+                   trim(regexp_replace(lower(any_value(title)), '[^\p{L}\p{N}]+', ' ', 'g')) AS ptext
+                   FROM messages WHERE title IS NOT NULL GROUP BY 1""",
+        "tlen": "SELECT *, length(ptext) AS par_len FROM ttl",
+        **_score_ctes("tlen", "t_"),
+    }
+    def rounded(c, d):
+        return f"list_transform({c}, lambda x: {sql_round_sig('x', d)})"
+
+    none = "CAST([] AS {}[])"
+    return with_views(f"""SELECT {', '.join('l.' + c for c in _MESSAGE)},
+        strftime(l.publishedTime, '%Y-%m-%dT%H:%M:%S') AS publishedTime,
+        strftime(l.publishedTime, '%Y-%m-%d %H:%M:%S') AS publishedTime_dt,
+        ttl.ptext AS title_clean, coalesce('__label__' || ts.par_label, '{li.NO_LABEL}') AS title_lang,
+        {sql_round_sig('ts.par_label_score', DIG)} AS title_lang_score,
+        coalesce(a.par_len, {none.format('BIGINT')}) AS par_len, coalesce(a.par_label, {none.format('VARCHAR')}) AS par_label,
+        coalesce({rounded('a.par_label_score', 7)}, {none.format('DOUBLE')}) AS par_label_score,
+        coalesce(f.weighted_langs, {none.format('VARCHAR')}) AS weighted_langs,
+        coalesce({rounded('f.weighted_scores', 7)}, {none.format('DOUBLE')}) AS weighted_scores,
+        coalesce(f.weighted_label, '{li.NO_LABEL}') AS weighted_label,
+        {sql_round_sig('f.weighted_label_conf', 7)} AS weighted_label_conf,
+        CAST(coalesce(f.n_paragraphs, 0) AS BIGINT) AS n_paragraphs,
+        {', '.join(f"{sql_round_sig('l.' + c, DIG)} AS {c}" if c in _ROUNDED else 'l.' + c for c in dp.HIST_COLS)}
+        FROM lab l LEFT JOIN ttl ON ttl.doc_id = md5(l.title) LEFT JOIN t_scored ts ON ts.doc_id = ttl.doc_id
+        LEFT JOIN found f ON f.doc_id = md5(l.body) LEFT JOIN arrays a ON a.doc_id = md5(l.body)""",
+        "bars", "issuers", "messages", extra=ctes)
+
+
 QUERIES = {
+    "q_labelled_table": q_labelled_table,
     "q_paragraph_lang": q_paragraph_lang,
     "q_lang_top3": q_lang_top3,
     "q_lang_mix": q_lang_mix,
@@ -131,6 +209,7 @@ _S = ", ".join(f"'{x}'" for x in li.TOP_LANGS)
 _S3 = ", ".join(f"'{x}'" for x in li.TOP3_LANGS)
 
 ORACLE = {
+    "q_labelled_table": _labelled_sql(),
     "q_paragraph_lang": tp._with(_doc_ctes(), f"""SELECT d.doc_id, t.lang, d.weighted_label,
         {sql_round_sig('d.weighted_label_conf', DIG)} AS weighted_label_conf, CAST(d.n_paragraphs AS BIGINT) AS n_paragraphs
         FROM doc d JOIN tst t USING (doc_id)"""),

@@ -37,10 +37,11 @@ def _weights(df, idf):
 def _cnb_logits(spark, sf, norm):
     """(doc_id, lang, labels, logits, pred) of every test document; one without any vocabulary term scores 0 everywhere."""
     fit, test = _fit_test(spark, sf)
-    idf = _idf(fit)
-    train = _weights(fit, idf).join(fit.select("doc_id", "label"), "doc_id")
-    pred = md.cnb_sql(train, _weights(test, idf), alpha=1.0, norm=norm)
-    classes = sorted(r["label"] for r in fit.select("label").distinct().collect())
+    terms = stage(tx.doc_terms(fit, stop_words=tx.STOP_WORDS), "fit_terms")
+    idf = stage(tx.idf_table(terms, tp._n(fit), min_df=MIN_DF, max_df=MAX_DF), "idf")
+    train = tx.tfidf(terms, idf).join(fit.select("doc_id", "label"), "doc_id")
+    classes = md.class_names(fit)
+    pred = md.cnb_sql(train, _weights(test, idf), alpha=1.0, norm=norm, classes=classes)
     return test.select("doc_id", F.col("label").alias("lang")).join(pred, "doc_id", "left").select(
         "doc_id", "lang", F.array(*[F.lit(c) for c in classes]).alias("labels"),
         F.coalesce("logits", F.array(*[F.lit(0.0) for _ in classes])).alias("logits"),

@@ -36,6 +36,19 @@ def q_category_names(spark, sf):
     return m.select("id", "category_id").join(lookup, "category_id", "left")
 
 
+def q_category_lookup(spark, sf):
+    """C4: English and local category name of every message; ids that the lookup lacks keep their message."""
+    m = tables.messages(spark, sf).select("id", category_id("category").alias("category_id"))
+    names = tables.categories(spark, sf).withColumnRenamed("osl_id", "category_id")
+    return m.join(names, "category_id", "left")
+
+
+def q_key_mismatches(spark, sf):
+    """Messages whose ``id`` is not their ``messageId``."""
+    return tables.message_keys(spark, sf).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("id").eqNullSafe(F.col("messageId"))).alias("n_mismatches"))
+
+
 def q_null_profile(spark, sf):
     m = tables.messages(spark, sf)
     return pf.null_profile(m, ["title", "body", "category", "publishedTime", "weighted_label"])
@@ -127,6 +140,8 @@ def _wc(c: str) -> str:
 QUERIES = {
     "q_category_id": q_category_id,
     "q_category_names": q_category_names,
+    "q_category_lookup": q_category_lookup,
+    "q_key_mismatches": q_key_mismatches,
     "q_null_profile": q_null_profile,
     "q_describe": q_describe,
     "q_rows_per_symbol": q_rows_per_symbol,
@@ -147,6 +162,13 @@ ORACLE = {
         LEFT JOIN (SELECT CAST(json_extract({_CAT_JSON}, '$[0].id') AS INTEGER) AS category_id,
                           any_value(json_extract_string({_CAT_JSON}, '$[0].category_en')) AS category_en
                    FROM messages GROUP BY 1 HAVING category_id IS NOT NULL) l USING (category_id)""", "messages"),
+    "q_category_lookup": with_views(
+        f"""SELECT m.id, m.category_id, c.category_en, c.category_no FROM
+        (SELECT id, CAST(json_extract({_CAT_JSON}, '$[0].id') AS INTEGER) AS category_id FROM messages) m
+        LEFT JOIN categories c ON c.osl_id = m.category_id""", "categories", "messages"),
+    "q_key_mismatches": with_views(
+        "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count_if(id IS DISTINCT FROM messageId) AS BIGINT) AS n_mismatches "
+        "FROM message_keys", "message_keys"),
     "q_null_profile": with_views(
         "SELECT CAST(count(*) AS BIGINT) AS n_rows, "
         + ", ".join(f"CAST(count_if({c} IS NULL) AS BIGINT) AS null_{c}"

@@ -17,6 +17,12 @@ SELECT 'S' || (l_suppkey % 10) AS symbol, CAST(l_shipdate AS DATE) AS date,
 FROM (SELECT *, l_extendedprice / l_quantity AS px FROM lineitem) GROUP BY 1, 2""",
     "issuers": """
 SELECT c_custkey AS issuerId, c_name AS name, 'S' || (c_custkey % 13) AS symbol FROM customer""",
+    "categories": """
+SELECT CAST(n_nationkey + 1002 AS INTEGER) AS osl_id, n_name AS category_en, r_name || ' / ' || n_name AS category_no
+FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "message_keys": """
+SELECT o_orderkey AS id, l_orderkey AS messageId FROM orders
+LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey""",
     "messages": """
 SELECT o_orderkey AS id, o_custkey AS issuerId, o_orderpriority AS title,
        CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE text END AS body,

@@ -64,6 +64,21 @@ def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category names by id (English and local); ids 1000 and 1001 are not in it."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        (F.col("n_nationkey") + 1002).cast("int").alias("osl_id"), F.col("n_name").alias("category_en"),
+        F.concat("r_name", F.lit(" / "), "n_name").alias("category_no"))
+
+
+def message_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the key their lines carry (``messageId``), null where there is none."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("messageId")).distinct()
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return o.join(lines, F.col("id") == F.col("messageId"), "left")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock-exchange messages: one per order, body text from ``documents``.
 
