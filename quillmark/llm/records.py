@@ -74,11 +74,12 @@ def unframe(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
 
 
 def write_records(docs: DataFrame, folder: str, end: int = 2, path: str | None = None, width: int = 2,
-                  files: int | None = None) -> None:
+                  files: int | None = None, file_bytes: int = 128 << 20) -> None:
     """Writes every document's ids and the end id below ``folder``/data in ascending ``doc_id`` order.
 
-    ``files`` (default: the session's shuffle partitions) sets how many ranges
-    of ids, hence files, the corpus is cut into; ``width`` 2 holds ids below 65,536.
+    ``files`` sets how many ranges of ids, hence files, the corpus is cut into; by default as many as keep a
+    file at about ``file_bytes`` of text (its ids take about half of that), and at least the session's shuffle
+    partitions.  ``width`` 2 holds ids below 65,536.
     """
     path = path or tokens.byte_bpe()
 
@@ -91,7 +92,10 @@ def write_records(docs: DataFrame, folder: str, end: int = 2, path: str | None =
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["record"])
 
     rows = texts_of(docs, F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(files or parts(docs.sparkSession), "doc_id")
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(parts(docs.sparkSession), -(-size // file_bytes))
+    rows = rows.repartitionByRange(files, "doc_id")
     (rows.sortWithinPartitions("doc_id", "text").mapInArrow(run, "record binary")
      .select(F.col("record").cast("string")).write.option("lineSep", LINE_END.decode()).text(f"{folder}/data"))
 
@@ -127,20 +131,23 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ids, and the other columns of ``wanted``) for rows of the index, read by offset in any order."""
+    """(doc_id, ids, and the other columns of ``wanted``) for rows of the index, read by offset in any order.
+
+    A file meets the rows wanted of it once, so its bytes travel once however many they are.  A file that
+    is not there raises ``ValueError``.
+    """
     extra = [c for c in wanted.columns if c not in {x.split()[0] for x in INDEX.split(", ")}]
     kinds = "".join(f", `{c}` {wanted.schema[c].dataType.simpleString()}" for c in extra)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [unframe(data, at)[:2] for data, at in zip(b.pop("content"), b["offset"])]
-            out = pd.DataFrame({"doc_id": pd.array([g[0] for g in got], dtype="Int64"), "ids": [g[1] for g in got]})
-            yield out.join(b[extra])
-
-    cut = F.expr("substring(content, int(offset) + 1, int(length))")
-    rows = (_files(spark, folder).join(wanted.select("file", "offset", "length", *extra), "file")
-            .withColumn("content", cut).withColumn("offset", F.lit(0)))
-    return rows.select("content", "offset", *extra).mapInPandas(run, f"doc_id long, ids array<long>{kinds}")
+    def run(files: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        data = files["content"].iloc[0] if len(files) else b""
+        got = [unframe(data, at)[:2] for at in rows["offset"]]
+        out = pd.DataFrame({"doc_id": pd.array([g[0] for g in got], dtype="Int64"), "ids": [g[1] for g in got]})
+        return out.join(rows[extra].reset_index(drop=True))
+
+    rows = wanted.select("file", "offset", *extra)
+    files = _files(spark, folder).join(rows.select("file").distinct(), "file", "left_semi")
+    return files.groupBy("file").cogroup(rows.groupBy("file")).applyInPandas(run, f"doc_id long, ids array<long>{kinds}")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:

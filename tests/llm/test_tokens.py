@@ -97,3 +97,16 @@ def test_empty_tables(spark, make):
     none = make([(1, "a")]).limit(0)
     assert packing.pack_documents(none).count() == 0
     assert records.encode(none, fresh_path(spark, "records-test")).count() == 0
+
+
+def test_files_follow_the_bytes_and_wanted_rows_may_repeat(spark, make):
+    rows = [(i, prose(i, 200)) for i in range(60)]
+    folder = fresh_path(spark, "records-test")
+    records.encode(make(rows), folder, file_bytes=3000)
+    index = records.read_index(spark, folder)
+    assert index.select("file").distinct().count() > records.parts(spark)
+    wanted = index.where("doc_id % 3 = 0").selectExpr("*", "cast(doc_id AS string) AS mark")
+    got = records.read_records(spark, folder, wanted.union(wanted)).collect()
+    size = {r.doc_id: r.n_tokens for r in index.collect()}
+    assert sorted(r.doc_id for r in got) == sorted(2 * [i for i in range(60) if i % 3 == 0])
+    assert all(r.mark == str(r.doc_id) and len(r.ids) == size[r.doc_id] for r in got)
