@@ -161,15 +161,21 @@ class Model:
         return self.languages[k], float(p[k])
 
 
+def sample_rates(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """Share of each language's rows that enters the sample: half of it by the languages' sizes, half the same for each."""
+    total = sum(counts.values())
+    return {x: min(1.0, sample / 2 / total + sample / 2 / len(counts) / n) for x, n in counts.items()}
+
+
 def train(docs: DataFrame, learn: Column, bits: int = 16, sample: int = 12_000, shard_rows: int = 1200,
           rounds: int = 3, updates: int = 1200, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02,
           l2: float = 0.02) -> Model:
-    """Model from the rows of ``docs`` (text, lang) for which ``learn`` is true or null.
+    """Model from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` is true or null.
 
     The sample is dealt to shards of about ``shard_rows``; a shard makes at least ``updates`` steps a round,
     passing over its rows as often as that takes.
     """
-    known = _learning(texts_of(docs, F.col("text").cast("string"), F.col("lang").cast("string"), learn.alias("_learn")),
+    known = _learning(texts_of(docs, "doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), learn.alias("_learn")),
                       F.col("_learn")).drop("_learn")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)
@@ -178,9 +184,11 @@ def train(docs: DataFrame, learn: Column, bits: int = 16, sample: int = 12_000,
     idf = np.log((total + 1) / (df + 1)) + 1
     if len(languages) < 2:
         return Model(languages, bits, idf, np.zeros((1 << bits, len(languages))), 1.0)
-    # the sample: rows whose hash lies below a limit, about ``sample`` of them
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(3), "text"), 32)
-    some = known.withColumn("_place", place).where(F.col("_place") < int(min(1.0, sample / total) * 2**32))
+    # a row enters by its own hash, so copies of a text enter one by one
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "text"), 32)
+    limits = F.create_map(*[x for lang, rate in sample_rates(counts, sample).items()
+                            for x in (F.lit(lang), F.lit(int(rate * 2**32)).cast("long"))])
+    some = known.withColumn("_place", place).where(F.col("_place") < limits[F.col("lang")])
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     index = {x: k for k, x in enumerate(languages)}
 

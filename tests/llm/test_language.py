@@ -68,3 +68,19 @@ def test_nothing_to_learn(make):
     one = language.identify(make([(i, "some text", "en", "s") for i in range(8)])).collect()
     assert {r.lang_pred for r in one} == {"en"}
     assert language.identify(make([(1, "a")]).limit(0)).count() == 0
+
+
+def test_rare_languages_keep_rows():
+    rates = language.sample_rates({"en": 10_000_000, "fo": 500, "no": 100_000}, 12_000)
+    assert rates["fo"] == 1.0
+    assert sum(rates[x] * n for x, n in (("en", 10_000_000), ("fo", 500), ("no", 100_000))) <= 12_000
+    assert language.sample_rates({"en": 300, "no": 40}, 12_000) == {"en": 1.0, "no": 1.0}
+
+
+def test_copies_enter_one_by_one(make):
+    """A text that holds most rows neither fills the sample nor stays out of it as a whole."""
+    rows = [(i, "the same text of many copies", "en") for i in range(3000)]
+    rows += [(5000 + i, f"et annet dokument nummer {i}", "no") for i in range(3000)]
+    docs = make([(i, t, lang, "s") for i, t, lang in rows])
+    got = language.predict(docs.limit(6000), language.train(docs, F.lit(True), bits=10, sample=400, updates=50)).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.99
