@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import WORD_PATTERN
 from quillmark.session import stage
 
-BROADCAST_ROWS = 1_000_000  # (source, size) groups; beyond it the groups are joined by a shuffle
-
 
 def target_sizes(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5,
                  most: float = 2.0) -> dict[str | None, float]:
@@ -189,9 +187,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def _with_copies(rows: DataFrame, given: DataFrame) -> DataFrame:
-    small = given.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Spark broadcasts the staged groups only where their size is below the session's limit."""
     more = F.coalesce(F.col("_order") <= F.col("last"), F.lit(False)).cast("long")
-    return (rows.join(F.broadcast(given) if small else given, ["_source", "_size"])
+    return (rows.join(given, ["_source", "_size"])
             .withColumn("_copies", F.col("base") + more).drop("base", "last"))
 
 
@@ -200,7 +198,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     slim, given, sizes, target = plan(docs, **options)
     by = docs.sparkSession.createDataFrame([(s, sizes[s], float(target[s])) for s in sizes],
                                            "_source string, source_size long, target double")
-    got = _with_copies(slim, given).join(F.broadcast(by), "_source")
+    got = _with_copies(slim, given).join(by, "_source")
     source = F.when(F.col("_source") != "", F.expr("substring(_source, 2)"))
     return got.select("doc_id", source.alias("source"), F.col("_size").alias("size"), "source_size", "target",
                       F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
