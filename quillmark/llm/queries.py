@@ -103,6 +103,37 @@ QUERIES = {
 }
 
 
+def base_rule_numbers(spark, sf):
+    """The columns of op2 that SQL expresses."""
+    return op2_isolation_forest(spark, sf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                  "base_failed")
+
+
+def base_unigram(spark, sf):
+    """The columns of op6 that SQL expresses; the base score to four places, as its sum runs in another order."""
+    return op6_pitman_yor(spark, sf).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
+                                            F.round("base_score", 4).alias("base_score"))
+
+
+def base_mix_targets(spark, sf):
+    """The columns of op8 that SQL expresses."""
+    return op8_entropy_balancing(spark, sf).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def base_edits(spark, sf):
+    """The columns of op10 that SQL expresses."""
+    return op10_imatch(spark, sf).select("doc_id", "n_chars", "edited_sha256")
+
+
+# the operators' own rows, cut to the columns that DuckDB can hold against them
+BASE_QUERIES = {
+    "base_rule_numbers": base_rule_numbers,
+    "base_unigram": base_unigram,
+    "base_mix_targets": base_mix_targets,
+    "base_edits": base_edits,
+}
+
+
 # ---------------------------------------------------------------- DuckDB oracles
 
 def _with(ctes: list[tuple[str, str]], last: str) -> str:
@@ -141,6 +172,19 @@ def _climb(source: str, name: str, levels: int, out: str) -> list[tuple[str, str
     return ctes
 
 
+def _crc_ctes(parts: int, wanted: int) -> list[tuple[str, str]]:
+    """``ids`` (doc_id, hit): whether the crc32 of the decimal id leaves ``wanted`` when divided by ``parts``."""
+    return [
+        ("crc_table", """WITH RECURSIVE b(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+            SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM b WHERE k < 8)
+            SELECT list(c ORDER BY i) AS t FROM b WHERE k = 8"""),
+        ("ids", f"""SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+            string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])), 4294967295) % {parts} = {wanted} AS hit
+            FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table"""),
+    ]
+
+
 def _merkle_sql(levels: int = 6, source_levels: int = 4) -> str:
     """Trees of up to 16 ** levels documents a source and 16 ** source_levels sources."""
     def framed(c: str, value: str | None = None) -> str:
@@ -150,13 +194,7 @@ def _merkle_sql(levels: int = 6, source_levels: int = 4) -> str:
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     head = [framed(c) for c in merkle.COLUMNS[:-1]]
     return _with([
-        ("crc_table", """WITH RECURSIVE b(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
-            SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM b WHERE k < 8)
-            SELECT list(c ORDER BY i) AS t FROM b WHERE k = 8"""),
-        ("ids", """SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
-            string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
-            lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])), 4294967295) % 5 = 0 AS hit
-            FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table"""),
+        *_crc_ctes(5, 0),
         ("leaves", f"""SELECT d.doc_id, coalesce('=' || source, '') AS src, {_hash(*head, framed('text'))} AS h,
             CASE WHEN coalesce(hit, false) THEN {_hash(*head, framed('text', lower))} ELSE {_hash(*head, framed('text'))} END AS other
             FROM documents d LEFT JOIN ids USING (doc_id)"""),
@@ -196,3 +234,50 @@ ORACLE: dict[str, str] = {
     "op11_merkle_manifest": _merkle_sql(),
     "op13_fill_in_middle": FIM_SQL,
 }
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_WORDS = f"regexp_extract_all(coalesce(text, ''), {_WORD})"
+
+BASE_ORACLE: dict[str, str] = {
+    "base_rule_numbers": _with([
+        ("d", f"SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents"),
+        ("lines", f"SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM d"),
+        ("windows", """SELECT doc_id, i, ws[i:i + 2] AS w FROM
+            (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)"""),
+        ("twice", "SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS c FROM windows) WHERE c > 1"),
+        ("repeated", """SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) t(k) GROUP BY doc_id"""),
+        ("numbers", """SELECT d.doc_id, len(ws) AS n_words,
+            CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+            FROM d JOIN lines USING (doc_id) LEFT JOIN repeated r USING (doc_id)"""),
+    ], "SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM numbers"),
+    "base_unigram": _with([
+        *_crc_ctes(5, 1),
+        ("d", f"""SELECT doc_id, coalesce(hit, false) AS held_out, list_append(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}), ' ') AS ts
+            FROM documents LEFT JOIN ids USING (doc_id)"""),
+        ("tokens", "SELECT doc_id, held_out, unnest(ts) AS t FROM d"),
+        ("counts", "SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY t"),
+        ("totals", "SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM counts"),
+    ], """SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+        round(sum(log10((coalesce(c, 0) + 0.5::DOUBLE) / (n::DOUBLE + 0.5::DOUBLE * (v + 1)))), 4) AS base_score
+        FROM tokens LEFT JOIN counts USING (t), totals GROUP BY doc_id, held_out"""),
+    # the targets fill up to one level per weight: sources below it are full
+    "base_mix_targets": _with([
+        ("d", f"SELECT doc_id, source, len({_WORDS}) AS size FROM documents"),
+        ("s", """SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+            [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source"""),
+        ("r", """SELECT *, 2.0::DOUBLE * source_size / weight AS full_at, CAST(sum(2 * source_size) OVER w AS BIGINT) - 2 * source_size AS full_size,
+            CAST(sum(weight) OVER w AS BIGINT) - weight AS full_weight, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) AS total,
+            CAST(sum(weight) OVER () AS BIGINT) AS weights FROM s
+            WINDOW w AS (ORDER BY source_size::DOUBLE / weight, source ROWS UNBOUNDED PRECEDING)"""),
+        ("level", """SELECT min_by((total - full_size) / (weights - full_weight), full_at) AS u FROM r
+            WHERE (total - full_size) / (weights - full_weight) <= full_at"""),
+    ], """SELECT doc_id, size, source_size, round(least(2.0::DOUBLE * source_size, weight * u), 3) AS target
+        FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, level"""),
+    "base_edits": """SELECT doc_id, length(text) AS n_chars,
+        sha256(left(text, length(text) - length(text) // 2) || left(next, length(text) // 2)) AS edited_sha256 FROM (
+        SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next
+        FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""",
+}

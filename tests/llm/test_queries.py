@@ -53,3 +53,12 @@ def test_query_matches_oracle(spark, sf, name):
     duck_columns, duck = duck_rows(duck_tables(sf), queries.ORACLE[name])
     assert columns == duck_columns
     assert Counter(rows) == Counter(duck)
+
+
+@pytest.mark.parametrize("name", sorted(queries.BASE_ORACLE))
+def test_base_columns_match_oracle(spark, sf, name):
+    assert set(queries.BASE_ORACLE) == set(queries.BASE_QUERIES)
+    columns, rows = spark_rows(queries.BASE_QUERIES[name](spark, sf))
+    duck_columns, duck = duck_rows(duck_tables(sf), queries.BASE_ORACLE[name])
+    assert columns == duck_columns
+    assert Counter(rows) == Counter(duck)
