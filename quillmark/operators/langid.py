@@ -3,13 +3,18 @@
 A character-trigram multinomial model is fit with ``groupBy(lang, trigram)``
 on labelled documents; paragraphs are scored by joining their trigram counts
 to the model table and summing log probabilities per language.  Document
-scores weight paragraph labels by paragraph length.  No UDFs: trigrams come
-from ``transform(sequence(...), substring)`` and every step is a join or an
-aggregate, so it runs over whole texts on any number of executors.
+scores weight paragraph labels by paragraph length.  Trigrams are counted a batch of
+paragraphs at a time, in time linear in their length, and named by their three code points
+in one number; every step between is a join or an aggregate, so it runs over
+whole texts on any number of executors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +25,33 @@ PARAGRAPH_RE = r"\r?\n+"
 TOP_LANGS = ["en", "no"]
 TOP3_LANGS = ["en", "no", "sv"]
 NO_LABEL = "None"
-
-
-def _trigrams_of(text: str) -> Column:
-    """Overlapping 3-character substrings of column ``text`` (empty for shorter strings)."""
-    return F.expr(f"CASE WHEN length({text}) >= 3 THEN transform(sequence(1, length({text}) - 2), "
-                  f"i -> substring({text}, i, 3)) ELSE array() END")
+CHAR_BITS = 21              # a code point
+AT_ONCE = 2_000_000         # characters counted at a time
+SENT_TRIGRAMS = 500_000     # a model of up to so many trigrams is sent to all tasks
+
+
+def count_trigrams(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, trigram, count) of the overlapping 3-character pieces of texts; ``owner`` names who a text counts for."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    chars, at = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4"), return_inverse=True)
+    k, owners = len(chars), int(owner.max(initial=0)) + 1
+    if owners * k ** 3 >= 2 ** 63 and len(texts) > 1:  # the numbers below would not fit
+        names, own = np.unique(owner, return_inverse=True)
+        if len(names) < owners:
+            found, tri, n = count_trigrams(texts, own)
+            return names[found], tri, n
+        half = len(texts) // 2
+        parts = [count_trigrams(texts[:half], owner[:half]), count_trigrams(texts[half:], owner[half:])]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    inside, stop = np.ones(len(at), dtype=bool), np.cumsum(size)
+    inside[stop[size > 0] - 1] = False
+    inside[stop[size > 1] - 2] = False
+    first = np.flatnonzero(inside)
+    number = ((np.repeat(owner, size)[first] * k + at[first]) * k + at[first + 1]) * k + at[first + 2]
+    number, n = np.unique(number, return_counts=True)
+    chars, k = chars.astype(np.int64), max(k, 1)
+    tri = chars[number // k ** 2 % k] << 2 * CHAR_BITS | chars[number // k % k] << CHAR_BITS | chars[number % k]
+    return number // k ** 3, tri, n
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep=()) -> DataFrame:
@@ -34,11 +60,31 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep
             .where(F.length("ptext") > 0).withColumn("par_len", F.length("ptext")))
 
 
-def trigram_counts(paras: DataFrame, keys: list[str]) -> DataFrame:
-    """Trigram counts per paragraph key (map-side partial count before the shuffle)."""
+def trigram_parts(paras: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, tri, n): trigram counts per paragraph key; a key has a row for each batch that holds it."""
     low = paras.select(*keys, F.lower("ptext").alias("_p"))
-    return (low.select(*keys, F.explode(_trigrams_of("_p")).alias("tri"))
-            .groupBy(*keys, "tri").agg(F.count(F.lit(1)).alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("_p").to_pylist()
+            place: dict[tuple, int] = {}
+            owner = np.array([place.setdefault(k, len(place)) for k in zip(*[b.column(k).to_pylist() for k in keys])], dtype=np.int64)
+            first = np.unique(owner, return_index=True)[1]
+            cut = np.cumsum([len(t) for t in texts]) // AT_ONCE
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cut)) + 1):
+                if len(part):
+                    own, tri, n = count_trigrams(texts[part[0]: part[-1] + 1], owner[part])
+                    at = pa.array(first[own])
+                    yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in keys], pa.array(tri), pa.array(n)],
+                                                     names=[*keys, "tri", "n"])
+
+    kinds = [f"`{k}` {low.schema[k].dataType.simpleString()}" for k in keys]
+    return low.mapInArrow(run, ", ".join([*kinds, "tri long", "n long"]))
+
+
+def trigram_counts(paras: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, tri, n): trigram counts per paragraph key (counted in batches before the shuffle)."""
+    return trigram_parts(paras, keys).groupBy(*keys, "tri").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang"):
@@ -78,15 +124,20 @@ def score_paragraphs(paras: DataFrame, model: DataFrame, priors: DataFrame, id_c
     gets no label.
     """
     keys = [id_col, "par"]
-    tc = trigram_counts(paras, keys)
-    s = (tc.join(model, "tri").groupBy(*keys, lang).agg(F.sum(F.col("n") * F.col("logp")).alias("ll"))
-         .join(F.broadcast(priors), lang).select(*keys, lang, (F.col("ll") + F.col("logprior")).alias("score")))
-    best = s.groupBy(*keys).agg(
-        F.max("score").alias("m"),
-        F.max_by(lang, F.struct("score", lang)).alias("par_label"),
-        F.collect_list("score").alias("_s"))
-    post = F.lit(1.0) / F.aggregate(F.col("_s"), F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("m")))
-    return (best.select(*keys, "par_label", post.alias("par_label_score"))
+    prior = {r[lang]: r["logprior"] for r in priors.collect()}  # one row a language
+    names = sorted(r[lang] for r in model.select(lang).distinct().where(F.col(lang).isNotNull()).collect() if r[lang] in prior) or [NO_LABEL]
+    # one row a trigram with all languages
+    wide = stage(model.groupBy("tri").agg(*[F.max(F.when(F.col(lang) == x, F.col("logp"))).alias(f"l{i}") for i, x in enumerate(names)]),
+                 "trigram_model")
+    if wide.count() <= SENT_TRIGRAMS:
+        wide = F.broadcast(wide)
+    per = trigram_parts(paras, keys).join(wide, "tri").groupBy(*keys).agg(
+        *[F.sum(F.col("n") * F.col(f"l{i}")).alias(f"l{i}") for i in range(len(names))])
+    scores = F.array(*[F.struct((F.col(f"l{i}") + F.lit(prior.get(x, 0.0))).alias("score"), F.lit(x).alias("lang"))
+                       for i, x in enumerate(names)])
+    best = per.select(*keys, F.filter(scores, lambda x: x["score"].isNotNull()).alias("_s")).withColumn("_b", F.array_max("_s"))
+    post = F.lit(1.0) / F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + F.exp(x["score"] - F.col("_b.score")))
+    return (best.where("_b is not null").select(*keys, F.col("_b.lang").alias("par_label"), post.alias("par_label_score"))
             .join(paras.select(*keys, "par_len"), keys))
 
 
