@@ -68,7 +68,7 @@ def read(log: DataFrame, store: str) -> DataFrame:
 def write_json(rows: DataFrame, path: str, block_rows: int = 10_000) -> None:
     """Results (KEY, row_id, logits, label_id) as double-encoded documents of about ``block_rows`` rows."""
     sizes = rows.groupBy(*KEY).agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))  # one row a key
-    dealt = rows.join(sizes, KEY).withColumn("_block", F.pmod(F.xxhash64("row_id"), F.col("_blocks")))
+    dealt = rows.join(F.broadcast(sizes), KEY).withColumn("_block", F.pmod(F.xxhash64("row_id"), F.col("_blocks")))
     cells = dealt.groupBy(*KEY, "_block").agg(F.array_sort(F.collect_list(F.struct("row_id", "logits", "label_id"))).alias("r"))
     cell = F.struct(F.col("r")["logits"].alias("logits"), F.col("r")["label_id"].alias("label_ids"), F.col("r")["row_id"].alias("row_ids"))
     inner = F.to_json(F.create_map("model", F.create_map("field", F.create_map("dataset", cell))))
@@ -82,8 +82,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     tree = F.from_json(inner, f"map<string, map<string, map<string, {CELL}>>>")
     docs = spark.read.text(path).where(F.trim("value") != "").select(F.explode(tree).alias("model", "m"))
     cells = docs.select("model", F.explode("m").alias("field", "f")).select("model", "field", F.explode("f").alias("dataset", "c"))
-    rows = cells.select(*KEY, "c.row_ids", F.posexplode(F.arrays_zip(F.col("c.logits").alias("logits"), F.col("c.label_ids").alias("label_ids"))).alias("at", "r"))
-    return rows.select(*KEY, F.coalesce(F.try_element_at("row_ids", F.col("at") + 1), F.col("at").cast("long")).alias("row_id"),
+    size = F.greatest(F.size("c.logits"), F.size("c.label_ids"))
+    # a row takes its own id along, not the ids of its whole document; without ids the zip stays without them
+    ids = F.when(F.col("c.row_ids").isNotNull(), F.slice("c.row_ids", F.lit(1), F.greatest(size, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    rows = cells.select(*KEY, F.posexplode(F.arrays_zip(F.col("c.logits").alias("logits"), F.col("c.label_ids").alias("label_ids"),
+                                                        ids.alias("row_ids"))).alias("at", "r"))
+    return rows.select(*KEY, F.coalesce("r.row_ids", F.col("at").cast("long")).alias("row_id"),
                        F.col("r.logits").alias("logits"), F.col("r.label_ids").alias("label_id"))
 
 
