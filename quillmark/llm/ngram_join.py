@@ -25,11 +25,13 @@ has shingles and at most ``2**bits``.  Its
 estimates only choose the order and the classes, so a wrong estimate costs time,
 never a link.
 
-Candidates.  Equal sets are one node.  Nodes under a signature are first compared
+Candidates.  Equal sets are one node, and signatures with the same nodes are one, so a passage that many
+sets share is compared once and not for each of its shingles.  Nodes under a signature are first compared
 with one hub (a star, not all pairs).  Verified links merge nodes; what is still
 in different components under one signature is then compared pairwise, inside a
 join whose condition holds the size bound and a bound on the difference of two
-parity maps (256 bits, and a map as wide as the set for larger ones), so only likely pairs leave it.  Every surviving pair is
+parity maps (256 bits, and a map as wide as the set for larger ones, folded to 4,096 bits), so only likely pairs
+leave it.  Every surviving pair is
 verified on the whole sets.  A pair that is not compared lies in one component already,
 so the components are exactly those of all links.
 
@@ -284,27 +286,39 @@ def _near(percent: int) -> Column:
             & (differ * (100 + percent) <= (a + b) * (100 - percent)))
 
 
-def _widely_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may link by their wide maps too.
+def _wide_near(a: Column, b: Column, percent: int) -> Column:
+    """Whether two structs (n, wide) may link by their wide maps.
 
     Maps of two lengths are compared after folding the longer one (the exclusive or of its halves is the
-    map of half the length); sets without a wide map and lengths further apart stay.
+    map of half the length); sets without a wide map and lengths further apart may.
     """
     def bits(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
 
-    def folded(x: Column) -> Column:
-        half = (F.size(x) / 2).cast("int")
-        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+    def half(x: Column) -> Column:
+        size = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+
+    x, y = a["wide"], b["wide"]
+    differ = (F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(half(x), y))
+              .when(2 * F.size(x) == F.size(y), bits(x, half(y))).otherwise(0))
+    return x.isNull() | y.isNull() | (differ * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
+
+
+def _folded(wide: Column, words: int = 64) -> Column:
+    """A wide map of at most so many words: word j is the exclusive or of every ``words``-th one from j on."""
+    def word(j: Column) -> Column:
+        return F.aggregate(F.filter(wide, lambda _, k: k % words == j), F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v))
 
+    return F.when(F.size(wide) <= words, wide).when(wide.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word))
+
+
+def _widely_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their whole wide maps too."""
     wide = nodes.where("wide is not null").select("node", F.struct("n", "wide").alias("w"))
     both = (pairs.join(wide.select(F.col("node").alias("a"), F.col("w").alias("x")), "a", "left")
             .join(wide.select(F.col("node").alias("b"), F.col("w").alias("y")), "b", "left"))
-    x, y = F.col("x.wide"), F.col("y.wide")
-    differ = (F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(folded(x), y))
-              .when(2 * F.size(x) == F.size(y), bits(x, folded(y))).otherwise(0))
-    near = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    return both.where(x.isNull() | y.isNull() | near).select("a", "b")
+    return both.where(_wide_near(F.col("x"), F.col("y"), percent)).select("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -338,11 +352,13 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int =
     shared = (signed.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node", "rare")
               .repartition("sig").dropDuplicates(["sig", "node"]))
     shared.createOrReplaceTempView("quillmark_shared")
+    # signatures with the same nodes become one; should other sets of nodes get the same name, they are only compared as well
     shared = stage(spark.sql("""
-        SELECT sig, node, hub.node AS hub FROM (
-            SELECT sig, node, min(struct(rare, node)) OVER (PARTITION BY sig) AS hub,
+        SELECT name AS sig, node, hub.node AS hub FROM (
+            SELECT node, min(struct(rare, node)) OVER (PARTITION BY sig) AS hub,
+                   bit_xor(xxhash64(node)) OVER (PARTITION BY sig) AS name,
                    count(*) OVER (PARTITION BY sig) AS members FROM quillmark_shared)
-        WHERE members > 1"""), "join_shared")
+        WHERE members > 1""").distinct(), "join_shared")
     spark.catalog.dropTempView("quillmark_shared")
     nodes = stage(signed.where("sigs is not null").join(shared.select("node").distinct(), "node", "left_semi")
                   .groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("map").alias("map"),
@@ -363,11 +379,13 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, classes: int =
     roots = components(links, "join_roots")
 
     # what a node carries under each of its signatures: one shuffle by signature serves both sides
-    about = maps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "map")
+    about = (nodes.withColumn("w", F.struct("n", _folded(F.col("wide")).alias("wide"))).join(roots, "node", "left")
+             .select("node", F.coalesce("root", "node").alias("root"), "n", "map", "w"))
     rest = shared.join(about, "node")
     pairs = (rest.alias("a").join(rest.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node"))
                                   & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") != F.col("b.hub"))
-                                  & (F.col("b.node") != F.col("a.hub")) & _near(percent))
+                                  & (F.col("b.node") != F.col("a.hub")) & _near(percent)
+                                  & _wide_near(F.col("a.w"), F.col("b.w"), percent))
              .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
     more = _verified(docs, pairs, nodes, n, percent)
     roots = components(links.union(more), "join_roots")

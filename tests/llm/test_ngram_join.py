@@ -159,3 +159,47 @@ def test_sketch_counts(make):
     assert table.dtype == np.uint8 and (table[ngram_join._bucket(common, bits)] == 255).all()
     rare = next(iter(sets([prose(310, 30)])))
     assert np.median(table[ngram_join._bucket(rare, bits)]) == 1
+
+
+def test_a_shared_passage_signs_once(make, monkeypatch):
+    passage, seen, real = prose(31, 300), {}, ngram_join.stage
+
+    def kept(df, name):
+        seen[name] = real(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(ngram_join, "stage", kept)
+    rows = [(k, f"{prose(500 + k, 40 + k)} {passage}") for k in range(20)]
+    got = ngram_join.near_classes(make(rows), n=3, percent=70, classes=4).collect()
+    want, _ = brute(rows, 3, 70)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=key) == sorted(want, key=key)
+    shared = seen["join_shared"]
+    groups = [frozenset(r.nodes) for r in shared.groupBy("sig").agg({"node": "collect_set"}).toDF("sig", "nodes").collect()]
+    assert shared.select("node").distinct().count() > 1 and len(groups) == len(set(groups))
+
+
+def test_folded_maps_bound_the_difference_in_the_join(spark):
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(9)
+    rows, links = [], []
+    for size in (200, 300, 511, 512, 900, 5000, 9000):
+        for keep in (0.3, 0.75, 0.97):
+            a = np.unique(r.integers(1, 2**63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([r.choice(a, int(len(a) * keep), replace=False),
+                                          r.integers(1, 2**63, int(len(a) * (1 - keep))).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            wide = [None if (m := ngram_join.wide_map(x)) is None else m.view(np.int64).tolist() for x in (a, b)]
+            rows.append((len(rows), (len(a), wide[0]), (len(b), wide[1])))
+            links.append((100 * common >= 90 * (len(a) + len(b) - common), keep, size))
+    struct = "struct<n:int,wide:array<long>>"
+    df = spark.createDataFrame(rows, f"i int, a {struct}, b {struct}")
+    a, b = (F.struct(F.col(f"{c}.n"), ngram_join._folded(F.col(f"{c}.wide")).alias("wide")) for c in "ab")
+    got = df.select("i", a.alias("a"), b.alias("b")).select(
+        "i", F.greatest(F.size("a.wide"), F.size("b.wide")).alias("words"),
+        ngram_join._wide_near(F.col("a"), F.col("b"), 90).alias("near")).orderBy("i").collect()
+    for x, (linked, keep, size) in zip(got, links):
+        assert (x.words or 0) <= 64 and (x.near or not linked)
+        assert x.near if size < 250 else not x.near or keep > 0.9 or size > 4096
+    whole = ngram_join.wide_map(np.arange(1, 9001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    folded = spark.createDataFrame([(whole.view(np.int64).tolist(),)], "w array<long>").select(ngram_join._folded(F.col("w"))).first()[0]
+    assert folded == np.bitwise_xor.reduce(whole.reshape(-1, 64)).view(np.int64).tolist()
