@@ -1,9 +1,10 @@
 """Language-model scores under a hierarchical Pitman-Yor model.
 
-Restaurants: a token's context is the ending of the token before it.  The 256
-classes of its last two bytes (plus one for the start of a text) are the lowest
-restaurants; the 16 classes of the last byte are their parents, shared by 16 of
-them each; above them stand one root restaurant and a uniform base over the V learned
+Restaurants: a token's context is the token before it, the start of a text being one
+more; every context has its own restaurant, however many there are.  Contexts with the same
+ending back off together: the parent of a context is one of 256 classes of its last two
+bytes (plus one for the start), the parent of a class one of 16 classes of the last byte; above
+them stand one root restaurant and a uniform base over the V learned
 tokens and one unknown token.  Tables of a restaurant are customers of its parent.
 
 Seating is sampled by Gibbs: a sweep takes every customer (``steps`` times, on average) from
@@ -11,19 +12,21 @@ its table and seats it again, at an old table by its size less the
 discount, at a new one by the parent's predictive probability; tables that open or
 close add or remove a customer upstairs.  Dishes of many customers move a sixteenth of them at
 a time, drawn per table, so the work of a sweep follows customers for rare dishes and tables for
-frequent ones.  Dishes meet only in the restaurants'
+frequent ones.  A pair of tokens seen once always has a table to itself and is kept as a count.
+Dishes meet only in the restaurants'
 totals, so a sweep runs over buckets of dishes in parallel with the totals of the
-sweep before.  After the burn-in every sweep is a sample, and the predictive probabilities are
+sweep before.  Totals of classes are a few hundred numbers; those of contexts follow the
+vocabulary, so they lie in places by the context's hash, which sum what the buckets
+of dishes send and answer each with the contexts that it has.  After the burn-in every sweep is a sample, and the predictive probabilities are
 averaged over the samples.
 
 Data flow: one pass over the texts turns batches of documents into distinct
-(token, context) cells with learning counts, packed by bucket of the token's hash, and
-the documents' cell numbers.  Counts, seating and answers live in the buckets; each
-batch gets back one probability per distinct cell.  A frequent token has at most 257
-cells a batch, so no bucket is hot; the state of a bucket is bounded by the number of
-buckets, which follows the corpus.
+(token, context) pairs with learning counts, packed by bucket of the token's hash, and
+the documents' pair numbers.  Counts, seating and answers live in the buckets; each
+batch gets back what its distinct pairs, cells (token and class) and words have there and puts the
+probabilities together.  Pairs of a frequent token are at most as many as there are words.
 
-Tokens are named by 55 bits of a 64-bit hash.
+Tokens are named by 55 bits of a 64-bit hash, contexts by the first 40 of these.
 
 Defined cases: a null text is an empty one (its only token is the end); a null
 ``doc_id`` is learned from; repeated rows count and are scored each; with nothing to
@@ -33,6 +36,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +52,7 @@ from quillmark.session import drop_path, fresh_path, stage
 
 CLASSES, PARENTS = 257, 17          # class 256 (parent 16) is the start of a text
 WORD_BITS, CLASS_BITS = 55, 9
+CONTEXT_BITS = 40                   # the first bits of a word's hash; 0 is the start of a text
 END = np.uint64(0x5EED << CLASS_BITS)  # the key of the end; a word's hash meets it with probability 2**-55
 
 
@@ -113,32 +118,94 @@ class Tokens:
         return keys | context, count
 
 
+class Pairs:
+    """Distinct pairs of a token and the token before it, in order of word, class and context."""
+
+    def __init__(self, keys: list[np.ndarray], count: np.ndarray):
+        """From the cell keys of texts, which are taken, and tokens per text; ``at`` is the pair of each token."""
+        taken, keys = keys, np.concatenate(keys)
+        taken.clear()
+        word = keys >> np.uint64(CLASS_BITS)
+        words = np.unique(word)
+        word = np.searchsorted(words, word).astype(np.uint32)
+        starts = np.zeros(len(keys), dtype=bool)
+        starts[np.cumsum(count) - count] = True
+        class_of = np.zeros(len(words), dtype=np.uint64)
+        before = np.concatenate([[np.uint32(0)], word[:-1]])
+        class_of[before[~starts]] = (keys & np.uint64((1 << CLASS_BITS) - 1))[~starts]
+        del keys
+        codes, code = np.unique(class_of << np.uint64(CONTEXT_BITS) | context_of(words), return_inverse=True)
+        codes = np.append(codes, np.uint64((CLASSES - 1) << CONTEXT_BITS))  # the start, after all others
+        before = code.astype(np.uint32)[before]
+        before[starts] = len(codes) - 1
+        pair = word.astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= before
+        del word, before
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.ones(len(pair), dtype=bool)
+        new[1:] = pair[1:] != pair[:-1]
+        pair = pair[new]
+        self.at = np.empty(len(order), dtype=np.uint32)
+        self.at[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        own = codes[pair & np.uint64(0xFFFFFFFF)]
+        self.keys = words[pair >> np.uint64(32)] << np.uint64(CLASS_BITS) | own >> np.uint64(CONTEXT_BITS)
+        self.context = own & np.uint64((1 << CONTEXT_BITS) - 1)
+
+
+def context_of(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(WORD_BITS - CONTEXT_BITS)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where runs of equal values begin, length of each)."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+    return first, np.diff(np.append(first, len(values)))
+
+
+def _pack_pairs(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    first, n = _runs(keys)
+    return _pack_cells(keys[first], n.astype(np.uint32), *more)
+
+
+def _unpack_pairs(data: bytes) -> tuple[np.ndarray, ...]:
+    keys, n, *more = _unpack_cells(data)
+    return np.repeat(keys, n), *more
+
+
+def _steps(places: np.ndarray) -> np.ndarray:
+    """Ascending numbers as their differences, which shrink well."""
+    return np.diff(places, prepend=places.dtype.type(0))
+
+
 READ = "kind string, batch string, bucket int, data binary"
 
 
 def _read(rows: DataFrame, buckets: int, at_once: int, step: int) -> DataFrame:
-    """Packed cells by bucket (kind cells) and packed documents (kind docs) of every batch of texts."""
-    def batch(keys: np.ndarray, count: np.ndarray, ids: list, held: np.ndarray) -> Iterator[tuple]:
+    """Packed pairs by bucket (kind cells) and packed documents (kind docs) of every batch of texts."""
+    def batch(keys: list, counts: list, ids: list, held_parts: list) -> Iterator[tuple]:
         name = uuid.uuid4().hex  # written once, with its rows
-        cells, at = np.unique(keys, return_inverse=True)
-        learned = np.bincount(at[np.repeat(~held, count)], minlength=len(cells)).astype(np.uint32)
+        count, held = np.concatenate(counts), np.concatenate(held_parts)
+        pairs = Pairs(keys, count)
+        learned = np.bincount(pairs.at[np.repeat(~held, count)], minlength=len(pairs.keys)).astype(np.uint32)
         null = np.array([i is None for i in ids], dtype=bool)
-        docs = pack(at.astype(np.uint32), count.astype(np.uint32), np.array([i or 0 for i in ids], dtype=np.int64),
+        docs = pack(pairs.at, count.astype(np.uint32), np.array([i or 0 for i in ids], dtype=np.int64),
                     null, held)
         yield "docs", name, 0, docs
-        place = _bucket(cells, buckets)
+        place = _bucket(pairs.keys, buckets)
         cut = np.searchsorted(place, np.arange(buckets + 1))
         for k in range(buckets):
             a, b = cut[k], cut[k + 1]
             if a < b:
-                yield "cells", name, k, _pack_cells(cells[a:b], learned[a:b])
+                yield "cells", name, k, _pack_pairs(pairs.keys[a:b], pairs.context[a:b], learned[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held_parts = Tokens(), []
         keys, counts, ids, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(batch(np.concatenate(keys), np.concatenate(counts), ids, np.concatenate(held_parts)))
+            rows = list(batch(keys, counts, ids, held_parts))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary()))],
                 names=[c.split()[0] for c in READ.split(", ")])
@@ -167,6 +234,16 @@ def _bucket(cells: np.ndarray, buckets: int) -> np.ndarray:
     return ((cells >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
+def _width(buckets: int) -> int:
+    """Buckets whose contexts lie in one place: about as many as there are places, so what they send stays few rows."""
+    return math.isqrt(max(buckets - 1, 0)) + 1
+
+
+def _context_bucket(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each context: that of its own word."""
+    return _bucket(contexts << np.uint64(64 - CONTEXT_BITS), buckets)
+
+
 class Seating:
     """Tables of many dishes: the dish of each table, in order, and its customers."""
 
@@ -181,6 +258,23 @@ class Seating:
     def customers(self) -> np.ndarray:
         return np.bincount(self.dish, weights=self.size, minlength=self.dishes).astype(np.int64)
 
+    def part(self, dishes: np.ndarray) -> Seating:
+        """Tables of some dishes (ascending), which are numbered anew."""
+        number = np.full(self.dishes, -1)
+        number[dishes] = np.arange(len(dishes))
+        own = number[self.dish]
+        mine = own >= 0
+        return Seating(own[mine], self.size[mine], len(dishes))
+
+    def put(self, dishes: np.ndarray, seats: Seating) -> None:
+        """Tables of some dishes take the place of those they had."""
+        others = np.ones(self.dishes, dtype=bool)
+        others[dishes] = False
+        stay = others[self.dish]
+        dish = np.concatenate([self.dish[stay], dishes[seats.dish]])
+        order = np.argsort(dish, kind="stable")
+        self.dish, self.size = dish[order], np.concatenate([self.size[stay], seats.size])[order]
+
     def _pick(self, weight: np.ndarray, dishes: np.ndarray, rng) -> np.ndarray:
         """One table of each of these dishes, by weight."""
         upto = np.cumsum(weight)
@@ -216,6 +310,14 @@ class Seating:
         leaves with chance 1 / ``groups`` in each of ``groups`` grouped steps.
         """
         customers = self.customers  # no move changes them; a lone customer always opens its own table again
+        several = np.flatnonzero(customers > 1)
+        if not len(several):
+            return
+        if 2 * len(several) <= self.dishes:
+            seats = self.part(several)
+            seats.move(new[several], discount, steps, rng, groups)
+            self.put(several, seats)
+            return
         large = np.flatnonzero(customers > groups)
         for _ in range(steps):
             for k in range(groups):
@@ -280,15 +382,20 @@ class Seating:
     def follow(self, wanted: np.ndarray, new: np.ndarray, discount: float, rng) -> None:
         """Customers leave or enter until every dish has as many as the tables downstairs."""
         while True:
-            less = np.flatnonzero(self.customers > wanted)
-            if not len(less):
-                break
-            self.leave(less, rng)
-        while True:
-            more = np.flatnonzero(self.customers < wanted)
-            if not len(more):
-                break
-            self.enter(more, new, discount, rng)
+            gap = wanted - self.customers
+            open_ = np.flatnonzero(gap)
+            if not len(open_):
+                return
+            if 2 * len(open_) <= self.dishes:
+                seats = self.part(open_)
+                seats.follow(wanted[open_], new[open_], discount, rng)
+                self.put(open_, seats)
+                return
+            less, more = np.flatnonzero(gap < 0), np.flatnonzero(gap > 0)
+            if len(less):
+                self.leave(less, rng)
+            if len(more):
+                self.enter(more, new, discount, rng)
 
 
 def first_seating(customers: np.ndarray, new: np.ndarray, discount: float, rng) -> Seating:
@@ -312,10 +419,15 @@ def first_seating(customers: np.ndarray, new: np.ndarray, discount: float, rng)
 
 
 class Totals:
-    """What dishes share: customers and tables by restaurant, learned tokens N, types V, discounts, strengths."""
+    """What dishes share: customers and tables by restaurant, learned tokens N, types V, discounts, strengths.
+
+    Levels 0 to 2 are the root and the classes; level 3, the contexts, has only its discount and strength here and the
+    customers and tables of the start of a text.
+    """
 
     def __init__(self, customers: list[np.ndarray], tables: list[np.ndarray], n: int, v: int, discounts: list[float],
-                 strengths: list[float]):
+                 strengths: list[float], start: tuple[float, float] = (0.0, 0.0)):
+        self.start = start
         self.customers, self.tables, self.n, self.v = customers, tables, n, v
         self.discounts, self.strengths = discounts, strengths
 
@@ -387,9 +499,65 @@ def _sweep(d: Dishes, t: Totals, seats: list[Seating] | None, steps: int, rng) -
     return [low, mid, top]
 
 
+class Bucket:
+    """Learned pairs of a bucket seen more than once, and its cells with the number of pairs seen once.
+
+    ``cell`` and ``context`` are numbers of a pair's cell and of its context among those of the bucket.
+    """
+
+    def __init__(self, d: Dishes, once: np.ndarray, cell: np.ndarray, context: np.ndarray, count: np.ndarray, contexts: int):
+        self.d, self.once, self.cell, self.context, self.count, self.contexts = d, once, cell, context, count, contexts
+
+    def pack(self) -> bytes:
+        pairs = np.bincount(self.cell, minlength=len(self.once))
+        return _pack_cells(self.d.keys, self.once.astype(np.uint32), pairs.astype(np.uint32), self.context.astype(np.uint32),
+                           self.count.astype(np.uint32), np.array([self.contexts]))
+
+    @staticmethod
+    def unpack(data: bytes) -> Bucket:
+        keys, once, pairs, context, count, contexts = _unpack_cells(data)
+        once, cell = once.astype(np.int64), np.repeat(np.arange(len(pairs)), pairs)
+        return Bucket(Dishes(keys, once + pairs), once, cell, context.astype(np.int64), count.astype(np.int64), int(contexts[0]))
+
+    def served(self, tables: np.ndarray) -> np.ndarray:
+        """Customers of each cell: the tables that its pairs have."""
+        return self.once + np.bincount(self.cell, weights=tables, minlength=len(self.once)).astype(np.int64)
+
+    def sent(self, tables: np.ndarray) -> np.ndarray:
+        """Tables by context, of pairs seen more than once."""
+        return np.bincount(self.context, weights=tables, minlength=self.contexts).astype(np.int64)
+
+
+def _sweep_pairs(b: Bucket, t: Totals, tables: np.ndarray, seats: list[Seating] | None, steps: int, rng) -> list[Seating]:
+    """One Gibbs sweep of a bucket from the contexts up; ``tables`` are those of its contexts in all buckets."""
+    d = b.d
+    if seats is None:
+        n1 = np.bincount(d.up, minlength=len(d.up_word))
+        n0 = np.bincount(d.up_word, minlength=len(d.words))
+        _, up = d.predict(t, n0, np.minimum(n0, 1), n1, np.minimum(n1, 1))
+        n2, t2 = d.counts, np.ones(len(d.counts))
+    else:
+        pairs, low, mid, top = seats
+        _, up = d.predict(t, top.customers, top.tables, mid.customers, mid.tables)
+        n2, t2 = low.customers, low.tables
+    new2 = t.new(2)[d.kind] * up[d.up]
+    cell = (n2 - t.discounts[2] * t2 + new2) / t.room(2)[d.kind]
+    new3 = (t.strengths[3] + t.discounts[3] * tables[b.context]) * cell[b.cell]
+    if seats is None:
+        pairs = first_seating(b.count, new3, t.discounts[3], rng)
+        d.counts = b.served(pairs.tables)
+        return [pairs, *_sweep(d, t, None, steps, rng)]
+    pairs.move(new3, t.discounts[3], steps, rng)
+    low.follow(b.served(pairs.tables), new2, t.discounts[2], rng)
+    return [pairs, *_sweep(d, t, [low, mid, top], steps, rng)]
+
+
 STATE = "kind string, bucket int, idx int, value double, data binary"
 
 
+MERGED = "kind string, bucket int, idx int, value double, batch string, data binary"
+
+
 def _sums(prefix: str, values: np.ndarray) -> list[tuple]:
     return [(prefix, -1, int(i), float(values[i]), None) for i in np.flatnonzero(values)]
 
@@ -398,22 +566,92 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """Learned cells of a bucket with their counts, and the bucket's part of the corpus totals."""
-    parts = [_unpack_cells(x) for x in group["data"]]
-    keys = np.concatenate([p[0] for p in parts])
-    counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    cells, at = np.unique(keys, return_inverse=True)
-    counts = np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64)
-    d = Dishes(cells, counts)
+def _merge(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """A bucket's pairs with their counts, the pairs of each batch, and the bucket's part of the totals.
+
+    Rows: ``all`` (every pair with its count, learned or not), ``cells`` (a ``Bucket``), ``wants`` (by batch, numbers of its
+    pairs), ``link`` (to the place of a context: customers, tables of pairs seen once, number of other pairs).
+    """
+    mine = int(group["bucket"].iloc[0])
+    read = [_unpack_pairs(x) for x in group["data"]]
+    keys, context, learned = (np.concatenate([p[i] for p in read]) for i in range(3))
+    order = np.lexsort((context, keys))
+    keys, context = keys[order], context[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (context[1:] != context[:-1])])
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    count = np.bincount(number, weights=learned).astype(np.int64)
+    keys, context = keys[new], context[new]
+    cut = np.cumsum([0] + [len(p[0]) for p in read])
+    rows = [("all", mine, 0, 0.0, None, _pack_pairs(keys, count.astype(np.uint32)))]
+    rows += [("wants", mine, 0, 0.0, name, pack(_steps(number[x:y].astype(np.uint32))))
+             for name, x, y in zip(group["batch"], cut, cut[1:])]
+    keys, context, count = keys[count > 0], context[count > 0], count[count > 0]
+    words, word, kind = _split(keys)
+    first, of_cell = _runs(keys)
+    cell = np.repeat(np.arange(len(first)), of_cell)
+    many = count > 1
+    once = np.bincount(cell[~many], minlength=len(first))
+    names, at = np.unique(context[many], return_inverse=True)
+    ranks = word[first].astype(np.uint64) << np.uint64(CLASS_BITS) | kind[first].astype(np.uint64)  # words by number
+    d = Dishes(ranks, of_cell)
+    rows.append(("cells", mine, 0, 0.0, None, Bucket(d, once, cell[many], at, count[many], len(names)).pack()))
+    names, at = np.unique(context, return_inverse=True)
+    sums = [np.bincount(at, weights=x, minlength=len(names)).astype(np.uint32) for x in (count, ~many, many)]
+    place = _context_bucket(names, buckets) // _width(buckets)
+    cut = np.searchsorted(place, np.arange(buckets + 1))
+    rows += [("link", k, mine, 0.0, None, pack(_steps(names[x:y]), *[z[x:y] for z in sums]))
+             for k, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
     n1, n0 = np.bincount(d.up, minlength=len(d.up_word)), np.bincount(d.up_word, minlength=len(d.words))
-    once = [int((y == k).sum()) for y in (n0, n1, counts) for k in (1, 2)]
-    rows = [("cells", int(group["bucket"].iloc[0]), 0, 0.0, _pack_cells(cells, counts))]
-    rows += _sums("once", np.array(once)) + _sums("size", np.array([counts.sum(), len(d.words)]))
-    rows += _sums("types2", np.bincount(d.kind, minlength=CLASSES))
-    rows += _sums("types1", np.bincount(d.up_kind, minlength=PARENTS))
-    rows += _sums("customers2", np.bincount(d.kind, weights=counts, minlength=CLASSES))
+    counts = [int((y == k).sum()) for y in (n0, n1, of_cell, count) for k in (1, 2)]
+    more = _sums("once", np.array(counts)) + _sums("size", np.array([count.sum(), len(words)]))
+    more += _sums("types2", np.bincount(d.kind, minlength=CLASSES))
+    more += _sums("types1", np.bincount(d.up_kind, minlength=PARENTS))
+    more += _sums("customers2", np.bincount(d.kind, weights=of_cell, minlength=CLASSES))
+    rows += [(*r[:4], None, r[4]) for r in more]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in MERGED.split(", ")])
+
+
+def _places(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Contexts of a place (tables of pairs seen once, how many in which bucket) and what the buckets have of them.
+
+    ``named`` holds the contexts that are words of a bucket and their customers, ``list`` holds the numbers of the contexts that a bucket has in pairs seen more than once, ``ask`` a table for each pair.
+    """
+    mine = int(group["bucket"].iloc[0])
+    links = [unpack(x) for x in group["data"]]
+    steps, customers, once, many = zip(*links)
+    names, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps]), return_inverse=True)
+    customers, once = (np.bincount(at, weights=np.concatenate(x), minlength=len(names)).astype(np.int64)
+                       for x in (customers, once))
+    of = _context_bucket(names, buckets)
+    cut, size = _runs(of)
+    rows = [("place", mine, 0, 0.0, pack(once, of[cut], size, names[:1]))]
+    rows += [("named", int(of[a]), 0, 0.0, pack(_steps(names[a: a + n]), customers[a: a + n])) for a, n in zip(cut, size)]
+    if names[0] == 0:
+        rows += _sums("start", customers[:1])
+    first = 0
+    for bucket, own in zip(group["idx"], many):
+        number = at[first: first + len(own)][own > 0]
+        first += len(own)
+        if len(number):
+            rows.append(("list", mine, int(bucket), 0.0, pack(_steps(number.astype(np.uint32)))))
+            rows.append(("ask", mine, int(bucket), 0.0, pack(own[own > 0])))
+    return _frame(rows)
+
+
+def _context_totals(group: pd.DataFrame) -> pd.DataFrame:
+    """Tables of the contexts that are words of a bucket (``context``), and of those that it has in pairs (``weight``)."""
+    mine = int(group["bucket"].iloc[0])
+    of = {kind: dict(zip(x["idx"], x["data"])) for kind, x in group.groupby("kind")}
+    tables, buckets, size, least = unpack(of["place"][0])
+    numbers = {k: np.cumsum(unpack(x)[0], dtype=np.int64) for k, x in of.get("list", {}).items()}
+    for k, number in numbers.items():
+        tables[number] += unpack(of["ask"][k])[0]  # a bucket has a context once
+    stop = np.cumsum(size)
+    rows = [("context", int(k), 0, 0.0, pack(tables[b - n: b])) for k, b, n in zip(buckets, stop, size)]
+    if least[0] == 0:
+        rows += _sums("start", tables[:1])
+    rows += [("weight", int(k), mine, 0.0, pack(tables[number].astype(np.uint32))) for k, number in numbers.items()]
     return _frame(rows)
 
 
@@ -430,106 +668,154 @@ def _discount(once: float, twice: float) -> float:
     return min(max(once / (once + 2 * twice), 0.05), 0.95) if once + twice else 0.5
 
 
-def learn(cells: DataFrame, burn: int, samples: int, steps: int, seed: int) -> tuple[DataFrame, list[Totals], Totals]:
-    """(samples by bucket, totals of each sample, corpus totals).
+def learn(merged: DataFrame, burn: int, samples: int, steps: int, seed: int, buckets: int) -> tuple[DataFrame, DataFrame, list[Totals], Totals]:
+    """(pairs of each batch, model by bucket, totals of each sample, corpus totals).
 
     Every sweep reads the written state of the one before and writes its own; the older one is deleted.
     """
-    spark = cells.sparkSession
-    merged = stage(cells.groupBy("bucket").applyInPandas(_merge, STATE), "lm_cells")
-    got = _collected(merged, {"once": 6, "size": 2, "types2": CLASSES, "types1": PARENTS, "customers2": CLASSES})
+    spark = merged.sparkSession
+    links = merged.where("kind = 'link'").select("bucket", "idx", "data")
+    places = stage(links.groupBy("bucket").applyInPandas(lambda x: _places(x, buckets), STATE), "lm_places")
+    got = _collected(merged.drop("batch").union(places), {
+        "once": 8, "size": 2, "types2": CLASSES, "types1": PARENTS, "customers2": CLASSES, "start": 1})
     n, v = int(got["size"][0]), int(got["size"][1])
-    discounts = [_discount(*got["once"][2 * k: 2 * k + 2]) for k in range(3)]
+    discounts = [_discount(*got["once"][2 * k: 2 * k + 2]) for k in range(4)]
     # before the first seating: as if every dish had one table in each restaurant that serves it
     middle = np.bincount(_parent(np.arange(CLASSES)), weights=got["types2"], minlength=PARENTS)
     totals = Totals([np.array([got["types1"].sum()]), middle, got["customers2"]],
-                    [np.array([float(v)]), got["types1"], got["types2"]], n, v, discounts, [1.0, 1.0, 1.0])
-    corpus = totals
+                    [np.array([float(v)]), got["types1"], got["types2"]], n, v, discounts, [1.0] * 4)
+    corpus, began = totals, got["start"][0]
+    fixed = places.where("kind in ('place', 'list')")
+    own = merged.where("kind = 'cells'").select("kind", "bucket", "idx", "value", "data")
+
+    def totals_of(asks: DataFrame) -> DataFrame:
+        return stage(fixed.union(asks).groupBy("bucket").applyInPandas(_context_totals, STATE), "lm_contexts")
+
+    contexts = totals_of(places.where("kind = 'ask'"))
     state, kept, every = None, [], []
     for k in range(1 + burn + samples):
         given = spark.sparkContext.broadcast(totals)
-        first, sampled = k == 0, k > burn
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for bucket, data, seated in zip(b["bucket"], b["data"], b["seats"]):
-                    rng = np.random.default_rng([seed, k, bucket])
-                    d, t = Dishes(*_unpack_cells(data)), given.value
-                    if not len(d.keys):
-                        continue
-                    seats = None
-                    if not first:
-                        x = unpack(seated)
-                        seats = [Seating(np.repeat(np.arange(len(c)), c), s.astype(np.int64), len(c))
-                                 for c, s in zip(x[::2], x[1::2])]
-                    low, mid, top = _sweep(d, t, seats, steps, rng)
-                    rows = [("seats", bucket, 0, 0.0, pack(*[a for s in (low, mid, top)
-                                                             for a in (s.tables.astype(np.uint32), s.size.astype(np.uint32))]))]
-                    if sampled:
-                        counts = (low.tables, mid.customers, mid.tables, top.customers, top.tables)
-                        rows.append(("sample", bucket, k, 0.0, pack(*[c.astype(np.uint32) for c in counts])))
-                    rows += _sums("tables2", np.bincount(d.kind, weights=low.tables, minlength=CLASSES))
-                    rows += _sums("customers1", np.bincount(d.up_kind, weights=mid.customers, minlength=PARENTS))
-                    rows += _sums("tables1", np.bincount(d.up_kind, weights=mid.tables, minlength=PARENTS))
-                    rows += _sums("root", np.array([top.customers.sum(), top.tables.sum()]))
-                    yield _frame(rows)
-
-        own = merged.where("kind = 'cells'").select("bucket", "data")
-        seats = (own.select("bucket", F.lit(None).cast("binary").alias("seats")) if first
-                 else spark.read.parquet(state).where("kind = 'seats'").select("bucket", F.col("data").alias("seats")))
+        sampled = k > burn
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            bucket = int(group["bucket"].iloc[0])
+            of = {kind: x for kind, x in group.groupby("kind")}
+            b, t = Bucket.unpack(of["cells"]["data"].iloc[0]), given.value
+            if not len(b.d.keys):
+                return _frame([])
+            weights = of["weight"].sort_values("idx")["data"] if "weight" in of else []
+            tables = np.concatenate([np.zeros(0), *(unpack(x)[0] for x in weights)])
+            rng, seats = np.random.default_rng([seed, k, bucket]), None
+            if "seats" in of:
+                x = unpack(of["seats"]["data"].iloc[0])
+                seats = [Seating(np.repeat(np.arange(len(c)), c), z.astype(np.int64), len(c)) for c, z in zip(x[::2], x[1::2])]
+            seats = _sweep_pairs(b, t, tables, seats, steps, rng)
+            pairs, low, mid, top = seats
+            rows = [("seats", bucket, 0, 0.0, pack(*[a for z in seats
+                                                     for a in (z.tables.astype(np.uint32), z.size.astype(np.uint32))]))]
+            if sampled:
+                counts = (pairs.tables, low.customers, low.tables, mid.customers, mid.tables, top.customers, top.tables)
+                rows.append(("sample", bucket, k, 0.0, pack(*[c.astype(np.uint32) for c in counts])))
+            sent, first = b.sent(pairs.tables).astype(np.uint32), 0
+            if "weight" in of:  # in the order of the contexts, as their tables came
+                for place, x in zip(of["weight"]["idx"].sort_values(), weights):
+                    size = len(unpack(x)[0])
+                    rows.append(("ask", int(place), bucket, 0.0, pack(sent[first: first + size])))
+                    first += size
+            d = b.d
+            rows += _sums("customers2", np.bincount(d.kind, weights=low.customers, minlength=CLASSES))
+            rows += _sums("tables2", np.bincount(d.kind, weights=low.tables, minlength=CLASSES))
+            rows += _sums("customers1", np.bincount(d.up_kind, weights=mid.customers, minlength=PARENTS))
+            rows += _sums("tables1", np.bincount(d.up_kind, weights=mid.tables, minlength=PARENTS))
+            rows += _sums("root", np.array([top.customers.sum(), top.tables.sum()]))
+            return _frame(rows)
+
+        source = own.union(contexts.where("kind = 'weight'"))
+        if state:
+            source = source.union(spark.read.parquet(state).where("kind = 'seats'"))
         path = fresh_path(spark, "lm_seats")
-        source = own.withColumn("seats", F.lit(None).cast("binary")) if first else own.join(seats, "bucket")
-        source.mapInPandas(run, STATE).write.parquet(path)
+        source.groupBy("bucket").applyInPandas(run, STATE).write.parquet(path)
         done = spark.read.parquet(path)
-        got = _collected(done, {"tables2": CLASSES, "customers1": PARENTS, "tables1": PARENTS, "root": 2})
-        totals = Totals([got["root"][:1], got["customers1"], corpus.customers[2]],
-                        [got["root"][1:], got["tables1"], got["tables2"]], n, v, discounts, corpus.strengths)
+        contexts = totals_of(done.where("kind = 'ask'"))
+        got = _collected(done.union(contexts.where("kind = 'start'")), {
+            "customers2": CLASSES, "tables2": CLASSES, "customers1": PARENTS, "tables1": PARENTS, "root": 2, "start": 1})
+        totals = Totals([got["root"][:1], got["customers1"], got["customers2"]],
+                        [got["root"][1:], got["tables1"], got["tables2"]], n, v, discounts, corpus.strengths,
+                        (began, got["start"][0]))
         if sampled:
-            kept.append(stage(done.where("kind = 'sample'").select("bucket", F.col("idx").alias("sample"), "data"),
-                              "lm_sample"))
+            kept.append(stage(done.where("kind = 'sample'"), "lm_sample"))
+            kept.append(contexts.where("kind = 'context'").withColumn("idx", F.lit(k)))
             every.append(totals)
         if state:
             drop_path(spark, state)
         state = path
     drop_path(spark, state)
-    model = merged.where("kind = 'cells'").select("bucket", F.lit(-1).alias("sample"), "data")
+    model = places.where("kind = 'named'").union(
+        merged.where("kind = 'all'").select("kind", "bucket", "idx", "value", "data"))
     for x in kept:
         model = model.union(x)
-    return model, every, corpus
+    return merged.where("kind = 'wants'").select("batch", "bucket", "data"), model, every, corpus
 
 
 def _answer(every: list[Totals], requests: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    """For every requested cell its probability, averaged over the samples, and for every word its count."""
-    by = dict(zip(model["sample"], model["data"]))
-    d = Dishes(*_unpack_cells(by.pop(-1))) if -1 in by else Dishes(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-    parts = [unpack(by[k]) for k in sorted(by)]
-    up_key = d.up_word * PARENTS + d.up_kind
+    """For the pairs of every batch what the sampled restaurants know of them.
+
+    By pair: the mean over the samples of customers less discounts.  By cell: the class's probability in each sample.  By
+    word: its count, and as a context its customers and its tables in each sample.
+    """
+    by = {(kind, k): data for kind, k, data in zip(model["kind"], model["idx"], model["data"])}
+    keys, count = _unpack_pairs(by["all", 0])
+    count = count.astype(np.int64)
+    first, n = _runs(keys)
+    cell_of = np.repeat(np.arange(len(first)), n)
+    cells = keys[first]
+    customers = np.bincount(cell_of, weights=count, minlength=len(cells)).astype(np.int64)
+    words, word, kind = _split(cells)
+    total = np.bincount(word, weights=customers, minlength=len(words)).astype(np.int64)
+    learned = customers > 0
+    d = Dishes(cells[learned], customers[learned])
+    samples = sorted(k for name, k in by if name == "sample")
+    own, in_class = np.zeros(len(keys)), []
+    known = np.cumsum(total > 0) - 1  # number among the learned words
+    up_key, many = d.up_word * PARENTS + d.up_kind, count > 1
+    for t, k in zip(every, samples or [None] * len(every)):
+        if k is None:
+            in_class.append(t.unseen()[kind])
+            continue
+        t3, n2, t2, n1, t1, n0, t0 = (a.astype(np.int64) for a in unpack(by["sample", k]))
+        tables = (count > 0).astype(np.int64)
+        tables[many] = t3
+        own += count - t.discounts[3] * tables
+        root, up = d.predict(t, n0, t0, n1, t1)
+        root_w = np.where(total > 0, root[known], t.new(0)[0] * t.base / t.room(0)[0])
+        parent = _parent(kind)
+        want = known[word] * PARENTS + parent
+        i = np.minimum(np.searchsorted(up_key, want), len(up_key) - 1)
+        p1 = np.where((total > 0)[word] & (up_key[i] == want), up[i],
+                      t.new(1)[parent] * root_w[word] / t.room(1)[parent])
+        mine = np.zeros(len(cells))
+        mine[learned] = n2 - t.discounts[2] * t2
+        in_class.append((mine + t.new(2)[kind] * p1) / t.room(2)[kind])
+    own = (own / max(len(every), 1)).astype(np.float32)
+    in_class = [x.astype(np.float32) for x in in_class]
+    as_context = [np.zeros(len(words), dtype=np.uint32) for _ in range(1 + len(every))]
+    if ("named", 0) in by:
+        names, sat = unpack(by["named", 0])
+        names, mine = np.cumsum(names, dtype=np.uint64), context_of(words)
+        i = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+        as_context = [np.where(names[i] == mine, x[i], 0).astype(np.uint32)
+                      for x in (sat, *(unpack(by["context", k])[0] for k in samples))]
     rows = []
     for batch, data in zip(requests["batch"], requests["data"]):
-        keys, _ = _unpack_cells(data)
-        words, word, kind = _split(keys)
-        at = np.searchsorted(d.words, words)
-        known = (at < len(d.words)) & (d.words[np.minimum(at, len(d.words) - 1)] == words) if len(d.words) else np.zeros(len(words), dtype=bool)
-        count = np.where(known, d.total[np.minimum(at, len(d.words) - 1)], 0) if len(d.words) else np.zeros(len(words), dtype=np.int64)
-        mean = np.zeros(len(keys))
-        for t, x in zip(every, parts or [None] * len(every)):
-            if not len(d.words):
-                mean += t.unseen()[kind]
-                continue
-            t2, n1, t1, n0, t0 = (a.astype(np.int64) for a in x)
-            root, up = d.predict(t, n0, t0, n1, t1)
-            root_w = np.where(known, root[np.minimum(at, len(root) - 1)], t.new(0)[0] * t.base / t.room(0)[0])
-            parent = _parent(kind)
-            want = at[word] * PARENTS + parent
-            i = np.minimum(np.searchsorted(up_key, want), len(up_key) - 1)
-            p1 = np.where(known[word] & (up_key[i] == want), up[i],
-                          t.new(1)[parent] * root_w[word] / t.room(1)[parent])
-            j = np.minimum(np.searchsorted(d.keys, keys), len(d.keys) - 1)
-            own = np.where(d.keys[j] == keys, d.counts[j] - t.discounts[2] * t2[j], 0.0)
-            mean += (own + t.new(2)[kind] * p1) / t.room(2)[kind]
-        rows.append((batch, int(requests["bucket"].iloc[0]),
-                     pack((mean / max(len(every), 1)).astype(np.float32), count.astype(np.uint64),
-                          np.bincount(word, minlength=len(words)).astype(np.uint16))))
+        pair = np.cumsum(unpack(data)[0], dtype=np.int64)
+        of = cell_of[pair]
+        first, pairs = _runs(of)
+        cell = of[first]
+        first, ncells = _runs(word[cell])
+        w = word[cell][first]
+        rows.append((batch, int(requests["bucket"].iloc[0]), pack(
+            own[pair], pairs.astype(np.uint32), *(x[cell] for x in in_class), ncells.astype(np.uint16),
+            total[w].astype(np.uint64), *(x[w] for x in as_context))))
     return pd.DataFrame(rows, columns=["batch", "bucket", "data"])
 
 
@@ -537,18 +823,31 @@ SCORE = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
          "score double")
 
 
-def _score(corpus: Totals, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Sums of a batch's documents over the answers to its cells, put together in the order of the buckets."""
-    parts = [unpack(x) for x in answers.sort_values("bucket")["data"]]
-    probability = np.concatenate([p[0] for p in parts]).astype(float)
-    count = np.concatenate([np.repeat(p[1], p[2]) for p in parts]).astype(float)
-    base = np.log10((count + 0.5) / (corpus.n + 0.5 * (corpus.v + 1)))
-    mine = np.log10(probability)
+def _score(every: list[Totals], corpus: Totals, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """Sums of a batch's documents over the answers to its pairs, put together in the order of the buckets."""
+    got = [np.concatenate(x) for x in zip(*(unpack(x) for x in answers.sort_values("bucket")["data"]))]
+    k, discount, strength = len(every), corpus.discounts[3], corpus.strengths[3]
+    own, pairs, in_class, cells, count = got[0].astype(float), got[1], got[2: 2 + k], got[2 + k], got[3 + k].astype(float)
+    sat, tables = got[4 + k].astype(float), [x.astype(float) for x in got[5 + k:]]
+    cell = np.repeat(np.arange(len(pairs), dtype=np.int32), pairs)
+    word = np.repeat(np.arange(len(cells), dtype=np.int32), cells)[cell]
+    # the start of a text is one more context
+    sat = np.append(sat, every[0].start[0] if every else 0.0)
+    tables = [np.append(x, t.start[1]) for x, t in zip(tables, every)]
+    base = np.log10((count + 0.5) / (corpus.n + 0.5 * (corpus.v + 1)))[word]
+    known = (count > 0)[word]
     out = []
     for data in docs["data"]:
         at, n, ids, null, held = unpack(data)
         first = np.cumsum(n.astype(np.int64)) - n
-        sums = [np.add.reduceat(x[at], first) for x in (count > 0, base, mine)] if len(n) else [[], [], []]
+        before = np.full(len(at), len(sat) - 1, dtype=np.int32)
+        before[1:] = word[at[:-1]]
+        before[first] = len(sat) - 1
+        context = np.zeros(len(own), dtype=np.int32)
+        context[at] = before  # the same for every token of a pair
+        up = sum((strength + discount * x[context]) * p[cell] for x, p in zip(tables, in_class)) / max(k, 1)
+        mine = np.log10((own + up) / (strength + sat[context]))
+        sums = [np.add.reduceat(x[at], first) for x in (known, base, mine)] if len(n) else [[], [], []]
         out.append(pd.DataFrame({
             "doc_id": pd.array(np.where(null, None, ids), dtype="Int64"), "held_out": held, "n_tokens": n.astype(np.int64),
             "n_known": np.asarray(sums[0], dtype=np.int64), "train_tokens": corpus.n, "base_score": sums[1],
@@ -560,15 +859,20 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, burn: int = 2, samples
           seed: int = 13, buckets: int | None = None, at_once: int = 16_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
+    buckets = buckets or parts(spark)
     doc_id = F.col("doc_id").cast("long")
     held_out = F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == held, F.lit(False))
     rows = texts_of(docs, doc_id.alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    read = stage(_read(rows, buckets or parts(spark), at_once, 500_000), "lm_read")
-    cells = read.where("kind = 'cells'").drop("kind")
-    model, every, corpus = learn(cells, burn, samples, steps, seed)
+    path = fresh_path(spark, "lm_read")
+    _read(rows, buckets, at_once, 500_000).write.partitionBy("kind").parquet(path)
+    read = spark.read.schema(READ).parquet(path)
+    cells = read.where("kind = 'cells'").select("bucket", "batch", "data")
+    merged = stage(cells.groupBy("bucket").applyInPandas(lambda x: _merge(x, buckets), MERGED), "lm_cells")
+    drop_path(spark, f"{path}/kind=cells")  # half of what is written, and read once
+    wants, model, every, corpus = learn(merged, burn, samples, steps, seed, buckets)
     shared = spark.sparkContext.broadcast((every, corpus))
-    answers = cells.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(
+    answers = wants.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(
         lambda a, b: _answer(shared.value[0], a, b), "batch string, bucket int, data binary")
     texts = read.where("kind = 'docs'").select("batch", "data")
     return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
-        lambda a, b: _score(shared.value[1], a, b), SCORE)
+        lambda a, b: _score(*shared.value, a, b), SCORE)

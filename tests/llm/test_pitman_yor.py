@@ -177,3 +177,59 @@ def test_moves_grow_with_the_customers():
     seats.move(np.array([50.0, 1.0]), 0.5, 2, rng)
     assert seats.customers.tolist() == [1_000_000, 3]
     assert seats.tables[0] > 13 and seats.size.max() < 1_000_000  # twelve single moves could open twelve
+
+
+def test_the_token_before_is_the_context(make):
+    """Two words with one ending, each before its own colour: only the word itself tells which."""
+    rows = [(i, f"{a}qqoo {b}") for i, (a, b) in enumerate([("left", "red"), ("right", "blue")] * 100)]
+    rows += [(1000 + 10 * k + i, f"{a}qqoo {b}") for k, (a, b) in enumerate(
+        itertools.product(("left", "right"), ("red", "blue"))) for i in range(10) if held(1000 + 10 * k + i)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(make(rows), buckets=5).collect()}
+    score = {t: got[i] for i, t in rows if i >= 1000}
+    assert score["leftqqoo red"] > score["leftqqoo blue"] + 0.7
+    assert score["rightqqoo blue"] > score["rightqqoo red"] + 0.7
+
+
+@pytest.mark.parametrize("before", [None, "0"])
+def test_probabilities_after_a_token_add_up(spark, before):
+    """All words, the end and an unknown word, after the start of a text or a frequent word, over seven buckets."""
+    buckets, learned = 7, [prose(i, 40) for i in range(30)]
+    count = Counter(w for t in learned for w in WORD.findall(t.translate(LOWER)))
+    first = [] if before is None else [count.most_common(1)[0][0]]
+    asked = [" ".join([*first, w]) for w in [*count, "neverseen"]] + [" ".join(first)]
+    rows = []
+    for name, texts in (("learned", learned), ("asked", asked)):
+        keys, n = pitman_yor.Tokens()(texts)
+        p = pitman_yor.Pairs([keys], n)
+        times = np.bincount(p.at, minlength=len(p.keys)).astype(np.uint32) * (name == "learned")
+        place = pitman_yor._bucket(p.keys, buckets)
+        rows += [(name, int(k), pitman_yor._pack_pairs(p.keys[place == k], p.context[place == k],
+                                                       times[place == k].astype(np.uint32))) for k in np.unique(place)]
+    merged = (spark.createDataFrame(rows, "batch string, bucket int, data binary").groupBy("bucket")
+              .applyInPandas(lambda x: pitman_yor._merge(x, buckets), pitman_yor.MERGED).cache())
+    wants, model, every, corpus = pitman_yor.learn(merged, 1, 2, 1, 3, buckets)
+    wants, model = wants.where("batch = 'asked'").toPandas(), model.toPandas()
+    answers = [pitman_yor._answer(every, w, model[model.bucket == k]) for k, w in wants.groupby("bucket")]
+    end = np.cumsum(n)
+    at = np.concatenate([p.at[a - m: a - (i < len(n) - 1)] for i, (a, m) in enumerate(zip(end, n))])  # the last one ends
+    size = np.where(np.arange(len(n)) < len(n) - 1, n - 1, n).astype(np.uint32)
+    null, out = np.zeros(len(n), dtype=bool), np.zeros(len(n), dtype=bool)
+    docs = pitman_yor.pd.DataFrame({"data": [pitman_yor.pack(at, size, np.arange(len(n)), null, out)]})
+    got = pitman_yor._score(every, corpus, docs, pitman_yor.pd.concat(answers))
+    head = 0.0
+    if first:  # the probability of the first word itself
+        only = pitman_yor.pack(p.at[end[-1] - n[-1]: end[-1] - 1], np.array([1], dtype=np.uint32), np.zeros(1, dtype=np.int64),
+                               null[:1], out[:1])
+        head = pitman_yor._score(every, corpus, pitman_yor.pd.DataFrame({"data": [only]}),
+                                 pitman_yor.pd.concat(answers)).score.iloc[0]
+    assert (10 ** (got.score - head)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lone_customers_stay_among_the_others():
+    rng = np.random.default_rng(4)
+    customers = np.array([1, 1, 5, 1, 40, 1, 1])
+    seats = pitman_yor.Seating(np.arange(7), customers.copy(), 7)
+    seats.move(np.full(7, 2.0), 0.5, 5, rng)
+    assert (seats.customers == customers).all() and (np.diff(seats.dish) >= 0).all() and (seats.tables[[2, 4]] > 1).any()
+    seats.follow(customers + np.array([0, 3, 0, 0, -30, 0, 0]), np.full(7, 2.0), 0.5, rng)
+    assert seats.customers.tolist() == [1, 4, 5, 1, 10, 1, 1] and (np.diff(seats.dish) >= 0).all()
