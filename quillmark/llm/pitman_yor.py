@@ -823,34 +823,62 @@ SCORE = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
          "score double")
 
 
+def _some(n: np.ndarray, at_once: int = 250_000) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first token, last, ends of its documents in it) of runs of documents of about ``at_once`` tokens."""
+    stop = np.cumsum(n.astype(np.int64))
+    doc, first = 0, 0
+    while doc < len(n):
+        last = max(doc + 1, int(np.searchsorted(stop, first + at_once, "right")))
+        yield first, int(stop[last - 1]), stop[doc:last] - first
+        doc, first = last, int(stop[last - 1])
+
+
 def _score(every: list[Totals], corpus: Totals, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """Sums of a batch's documents over the answers to its pairs, put together in the order of the buckets."""
-    got = [np.concatenate(x) for x in zip(*(unpack(x) for x in answers.sort_values("bucket")["data"]))]
+    parts = list(answers.sort_values("bucket")["data"])  # unpacked one at a time, which bounds a worker's memory
     k, discount, strength = len(every), corpus.discounts[3], corpus.strengths[3]
-    own, pairs, in_class, cells, count = got[0].astype(float), got[1], got[2: 2 + k], got[2 + k], got[3 + k].astype(float)
-    sat, tables = got[4 + k].astype(float), [x.astype(float) for x in got[5 + k:]]
-    cell = np.repeat(np.arange(len(pairs), dtype=np.int32), pairs)
-    word = np.repeat(np.arange(len(cells), dtype=np.int32), cells)[cell]
+    word, by_word, words = [], [], 0
+    for x in parts:
+        got = unpack(x)
+        cells = got[2 + k].astype(np.int64)
+        pairs = np.add.reduceat(got[1].astype(np.int64), np.cumsum(cells) - cells)
+        word.append(np.repeat(np.arange(words, words + len(cells), dtype=np.int32), pairs))
+        by_word.append(got[3 + k:])
+        words += len(cells)
+    word = np.concatenate(word)
+    count, sat, *tables = (np.concatenate(x).astype(float) for x in zip(*by_word))
     # the start of a text is one more context
     sat = np.append(sat, every[0].start[0] if every else 0.0)
     tables = [np.append(x, t.start[1]) for x, t in zip(tables, every)]
-    base = np.log10((count + 0.5) / (corpus.n + 0.5 * (corpus.v + 1)))[word]
-    known = (count > 0)[word]
+    base = np.log10((count + 0.5) / (corpus.n + 0.5 * (corpus.v + 1)))
+    context = np.zeros(len(word), dtype=np.int32)
+    for data in docs["data"]:
+        at, n, *_ = unpack(data)
+        for first, last, stop in _some(n):
+            before = np.full(last - first, words, dtype=np.int32)
+            before[1:] = word[at[first: last - 1]]
+            before[np.concatenate([[0], stop[:-1]]).astype(np.int64)] = words
+            context[at[first:last]] = before  # the same for every token of a pair
+    mine, first = np.empty(len(word)), 0
+    for x in parts:
+        own, pairs, *got = unpack(x)
+        c = context[first: first + len(own)]
+        up = sum((strength + discount * t[c]) * np.repeat(p, pairs) for t, p in zip(tables, got[:k])) / max(k, 1)
+        mine[first: first + len(own)] = np.log10((own.astype(float) + up) / (strength + sat[c]))
+        first += len(own)
     out = []
     for data in docs["data"]:
         at, n, ids, null, held = unpack(data)
-        first = np.cumsum(n.astype(np.int64)) - n
-        before = np.full(len(at), len(sat) - 1, dtype=np.int32)
-        before[1:] = word[at[:-1]]
-        before[first] = len(sat) - 1
-        context = np.zeros(len(own), dtype=np.int32)
-        context[at] = before  # the same for every token of a pair
-        up = sum((strength + discount * x[context]) * p[cell] for x, p in zip(tables, in_class)) / max(k, 1)
-        mine = np.log10((own + up) / (strength + sat[context]))
-        sums = [np.add.reduceat(x[at], first) for x in (known, base, mine)] if len(n) else [[], [], []]
+        sums = [[], [], []]
+        for first, last, stop in _some(n):
+            own = at[first:last]
+            start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+            for into, x in zip(sums, (count[word[own]] > 0, base[word[own]], mine[own])):
+                into.append(np.add.reduceat(x.astype(float), start))
+        sums = [np.concatenate(x) if x else np.zeros(0) for x in sums]
         out.append(pd.DataFrame({
             "doc_id": pd.array(np.where(null, None, ids), dtype="Int64"), "held_out": held, "n_tokens": n.astype(np.int64),
-            "n_known": np.asarray(sums[0], dtype=np.int64), "train_tokens": corpus.n, "base_score": sums[1],
+            "n_known": np.rint(sums[0]).astype(np.int64), "train_tokens": corpus.n, "base_score": sums[1],
             "score": sums[2]}))
     return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SCORE.split(", ")])
 
