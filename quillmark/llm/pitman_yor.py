@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,6 +164,14 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(values)))
 
 
+def _columns(rows: list[tuple]) -> Iterator[list]:
+    """The columns of rows, which are taken, one after the other; each is let go when the next one is asked for."""
+    columns = [list(c) for c in zip(*rows)]
+    rows.clear()
+    while columns:
+        yield columns.pop(0)
+
+
 def _pack_pairs(keys: np.ndarray, *more: np.ndarray) -> bytes:
     first, n = _runs(keys)
     return _pack_cells(keys[first], n.astype(np.uint32), *more)
@@ -179,6 +187,19 @@ def _steps(places: np.ndarray) -> np.ndarray:
     return np.diff(places, prepend=places.dtype.type(0))
 
 
+def _in_pieces(rows: Iterable[tuple], at_once: int = 1 << 22) -> Iterator[list[tuple]]:
+    """Runs of rows with about ``at_once`` bytes of data (the last column), made as they are asked for."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[-1] or b"")
+        if size >= at_once:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 READ = "kind string, batch string, bucket int, data binary"
 
 
@@ -193,6 +214,7 @@ def _read(rows: DataFrame, buckets: int, at_once: int, step: int) -> DataFrame:
         docs = pack(pairs.at, count.astype(np.uint32), np.array([i or 0 for i in ids], dtype=np.int64),
                     null, held)
         yield "docs", name, 0, docs
+        del docs, pairs.at
         place = _bucket(pairs.keys, buckets)
         cut = np.searchsorted(place, np.arange(buckets + 1))
         for k in range(buckets):
@@ -204,11 +226,11 @@ def _read(rows: DataFrame, buckets: int, at_once: int, step: int) -> DataFrame:
         tokens, held_parts = Tokens(), []
         keys, counts, ids, size = [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            rows = list(batch(keys, counts, ids, held_parts))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary()))],
-                names=[c.split()[0] for c in READ.split(", ")])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for some in _in_pieces(batch(keys, counts, ids, held_parts)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                    zip(*some), (pa.string(), pa.string(), pa.int32(), pa.binary()))],
+                    names=[c.split()[0] for c in READ.split(", ")])
 
         for b in batches:
             texts, own = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
@@ -221,10 +243,10 @@ def _read(rows: DataFrame, buckets: int, at_once: int, step: int) -> DataFrame:
                 held_parts.append(held[first:last])
                 size += sum(len(t or "") + 1 for t in texts[first:last])
                 if size >= at_once:
-                    yield flush()
+                    yield from flush()
                     keys, counts, ids, held_parts, size = [], [], [], [], 0
         if keys:
-            yield flush()
+            yield from flush()
 
     return rows.mapInArrow(run, READ)
 
@@ -318,15 +340,27 @@ class Seating:
             seats.move(new[several], discount, steps, rng, groups)
             self.put(several, seats)
             return
-        large = np.flatnonzero(customers > groups)
         for _ in range(steps):
-            for k in range(groups):
-                small = np.flatnonzero((customers > max(k, 1)) & (customers <= groups))
-                if len(small):
-                    self.leave(small, rng)
-                    self.enter(small, new, discount, rng)
-                if len(large):
-                    self._move_group(large, customers, new, discount, 1 / groups, rng)
+            self._move_from(0, customers, new, discount, rng, groups)
+
+    def _move_from(self, first: int, customers: np.ndarray, new: np.ndarray, discount: float, rng, groups: int) -> None:
+        """The grouped steps from ``first`` on; once half of the dishes have moved all their customers, the others go on alone."""
+        for k in range(first, groups):
+            going = customers > max(k, 1)
+            number = np.flatnonzero(going)
+            if not len(number):
+                return
+            if 2 * len(number) <= self.dishes:
+                seats = self.part(number)
+                seats._move_from(k, customers[number], new[number], discount, rng, groups)
+                self.put(number, seats)
+                return
+            small, large = np.flatnonzero(going & (customers <= groups)), np.flatnonzero(customers > groups)
+            if len(small):
+                self.leave(small, rng)
+                self.enter(small, new, discount, rng)
+            if len(large):
+                self._move_group(large, customers, new, discount, 1 / groups, rng)
 
     def _move_group(self, large: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, share: float,
                     rng) -> None:
@@ -567,25 +601,43 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _merge(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The rows of ``_merged`` in one frame."""
+    return pd.concat(_merged(iter([group]), buckets))
+
+
+def _merged(groups: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """``_merge_rows`` of a bucket that comes in several frames, in frames of bounded size."""
+    for some in _in_pieces(_merge_rows(groups, buckets)):
+        yield pd.DataFrame(some, columns=[c.split()[0] for c in MERGED.split(", ")])
+
+
+def _merge_rows(groups: Iterator[pd.DataFrame], buckets: int) -> Iterator[tuple]:
     """A bucket's pairs with their counts, the pairs of each batch, and the bucket's part of the totals.
 
     Rows: ``all`` (every pair with its count, learned or not), ``cells`` (a ``Bucket``), ``wants`` (by batch, numbers of its
     pairs), ``link`` (to the place of a context: customers, tables of pairs seen once, number of other pairs).
     """
-    mine = int(group["bucket"].iloc[0])
-    read = [_unpack_pairs(x) for x in group["data"]]
-    keys, context, learned = (np.concatenate([p[i] for p in read]) for i in range(3))
+    batches, read = [], []
+    for group in groups:
+        mine = int(group["bucket"].iloc[0])
+        batches += list(group["batch"])
+        read += [_unpack_pairs(x) for x in group["data"]]
+    cut = np.cumsum([0] + [len(p[0]) for p in read])
+    keys, context, learned = (np.concatenate(p) for p in _columns(read))
     order = np.lexsort((context, keys))
-    keys, context = keys[order], context[order]
+    keys = keys[order]
+    context = context[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (context[1:] != context[:-1])])
-    number = np.empty(len(keys), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    count = np.bincount(number, weights=learned).astype(np.int64)
+    number = np.empty(len(keys), dtype=np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    del order
     keys, context = keys[new], context[new]
-    cut = np.cumsum([0] + [len(p[0]) for p in read])
-    rows = [("all", mine, 0, 0.0, None, _pack_pairs(keys, count.astype(np.uint32)))]
-    rows += [("wants", mine, 0, 0.0, name, pack(_steps(number[x:y].astype(np.uint32))))
-             for name, x, y in zip(group["batch"], cut, cut[1:])]
+    count = np.bincount(number, weights=learned).astype(np.int64)
+    del learned, new
+    yield "all", mine, 0, 0.0, None, _pack_pairs(keys, count.astype(np.uint32))
+    for name, x, y in zip(batches, cut, cut[1:]):
+        yield "wants", mine, 0, 0.0, name, pack(_steps(number[x:y]))
+    del number
     keys, context, count = keys[count > 0], context[count > 0], count[count > 0]
     words, word, kind = _split(keys)
     first, of_cell = _runs(keys)
@@ -594,22 +646,26 @@ def _merge(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
     once = np.bincount(cell[~many], minlength=len(first))
     names, at = np.unique(context[many], return_inverse=True)
     ranks = word[first].astype(np.uint64) << np.uint64(CLASS_BITS) | kind[first].astype(np.uint64)  # words by number
+    types = len(words)
+    del words, word, kind, keys
     d = Dishes(ranks, of_cell)
-    rows.append(("cells", mine, 0, 0.0, None, Bucket(d, once, cell[many], at, count[many], len(names)).pack()))
+    yield "cells", mine, 0, 0.0, None, Bucket(d, once, cell[many], at, count[many], len(names)).pack()
+    del cell, once, at
     names, at = np.unique(context, return_inverse=True)
     sums = [np.bincount(at, weights=x, minlength=len(names)).astype(np.uint32) for x in (count, ~many, many)]
     place = _context_bucket(names, buckets) // _width(buckets)
     cut = np.searchsorted(place, np.arange(buckets + 1))
-    rows += [("link", k, mine, 0.0, None, pack(_steps(names[x:y]), *[z[x:y] for z in sums]))
-             for k, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
+    for k, (x, y) in enumerate(zip(cut, cut[1:])):
+        if x < y:
+            yield "link", k, mine, 0.0, None, pack(_steps(names[x:y]), *[z[x:y] for z in sums])
     n1, n0 = np.bincount(d.up, minlength=len(d.up_word)), np.bincount(d.up_word, minlength=len(d.words))
     counts = [int((y == k).sum()) for y in (n0, n1, of_cell, count) for k in (1, 2)]
-    more = _sums("once", np.array(counts)) + _sums("size", np.array([count.sum(), len(words)]))
+    more = _sums("once", np.array(counts)) + _sums("size", np.array([count.sum(), types]))
     more += _sums("types2", np.bincount(d.kind, minlength=CLASSES))
     more += _sums("types1", np.bincount(d.up_kind, minlength=PARENTS))
     more += _sums("customers2", np.bincount(d.kind, weights=of_cell, minlength=CLASSES))
-    rows += [(*r[:4], None, r[4]) for r in more]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in MERGED.split(", ")])
+    for r in more:
+        yield *r[:4], None, r[4]
 
 
 def _places(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
@@ -639,16 +695,26 @@ def _places(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
     return _frame(rows)
 
 
+SUMS = {"customers2": CLASSES, "tables2": CLASSES, "customers1": PARENTS, "tables1": PARENTS, "root": 2}
+
+
 def _context_totals(group: pd.DataFrame) -> pd.DataFrame:
-    """Tables of the contexts that are words of a bucket (``context``), and of those that it has in pairs (``weight``)."""
+    """Tables of the contexts that are words of a bucket (``context``), and of those that it has in pairs (``weight``).
+
+    A place also adds up the ``sums`` of classes and root that some buckets send, one packed row each.
+    """
     mine = int(group["bucket"].iloc[0])
     of = {kind: dict(zip(x["idx"], x["data"])) for kind, x in group.groupby("kind")}
+    added = zip(*(unpack(x) for x in of.get("sums", {}).values()))
+    classes = [row for name, x in zip(SUMS, added) for row in _sums(name, sum(x))]
+    if "place" not in of:
+        return _frame(classes)
     tables, buckets, size, least = unpack(of["place"][0])
     numbers = {k: np.cumsum(unpack(x)[0], dtype=np.int64) for k, x in of.get("list", {}).items()}
     for k, number in numbers.items():
         tables[number] += unpack(of["ask"][k])[0]  # a bucket has a context once
     stop = np.cumsum(size)
-    rows = [("context", int(k), 0, 0.0, pack(tables[b - n: b])) for k, b, n in zip(buckets, stop, size)]
+    rows = classes + [("context", int(k), 0, 0.0, pack(tables[b - n: b])) for k, b, n in zip(buckets, stop, size)]
     if least[0] == 0:
         rows += _sums("start", tables[:1])
     rows += [("weight", int(k), mine, 0.0, pack(tables[number].astype(np.uint32))) for k, number in numbers.items()]
@@ -723,11 +789,12 @@ def learn(merged: DataFrame, burn: int, samples: int, steps: int, seed: int, buc
                     rows.append(("ask", int(place), bucket, 0.0, pack(sent[first: first + size])))
                     first += size
             d = b.d
-            rows += _sums("customers2", np.bincount(d.kind, weights=low.customers, minlength=CLASSES))
-            rows += _sums("tables2", np.bincount(d.kind, weights=low.tables, minlength=CLASSES))
-            rows += _sums("customers1", np.bincount(d.up_kind, weights=mid.customers, minlength=PARENTS))
-            rows += _sums("tables1", np.bincount(d.up_kind, weights=mid.tables, minlength=PARENTS))
-            rows += _sums("root", np.array([top.customers.sum(), top.tables.sum()]))
+            rows.append(("sums", bucket // _width(buckets), bucket, 0.0, pack(
+                np.bincount(d.kind, weights=low.customers, minlength=CLASSES),
+                np.bincount(d.kind, weights=low.tables, minlength=CLASSES),
+                np.bincount(d.up_kind, weights=mid.customers, minlength=PARENTS),
+                np.bincount(d.up_kind, weights=mid.tables, minlength=PARENTS),
+                np.array([top.customers.sum(), top.tables.sum()], dtype=float))))
             return _frame(rows)
 
         source = own.union(contexts.where("kind = 'weight'"))
@@ -736,9 +803,8 @@ def learn(merged: DataFrame, burn: int, samples: int, steps: int, seed: int, buc
         path = fresh_path(spark, "lm_seats")
         source.groupBy("bucket").applyInPandas(run, STATE).write.parquet(path)
         done = spark.read.parquet(path)
-        contexts = totals_of(done.where("kind = 'ask'"))
-        got = _collected(done.union(contexts.where("kind = 'start'")), {
-            "customers2": CLASSES, "tables2": CLASSES, "customers1": PARENTS, "tables1": PARENTS, "root": 2, "start": 1})
+        contexts = totals_of(done.where("kind in ('ask', 'sums')"))
+        got = _collected(contexts, SUMS | {"start": 1})
         totals = Totals([got["root"][:1], got["customers1"], got["customers2"]],
                         [got["root"][1:], got["tables1"], got["tables2"]], n, v, discounts, corpus.strengths,
                         (began, got["start"][0]))
@@ -887,6 +953,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, burn: int = 2, samples
           seed: int = 13, buckets: int | None = None, at_once: int = 16_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 22))  # rows of packed numbers are large
     buckets = buckets or parts(spark)
     doc_id = F.col("doc_id").cast("long")
     held_out = F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == held, F.lit(False))
@@ -895,7 +962,11 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, burn: int = 2, samples
     _read(rows, buckets, at_once, 500_000).write.partitionBy("kind").parquet(path)
     read = spark.read.schema(READ).parquet(path)
     cells = read.where("kind = 'cells'").select("bucket", "batch", "data")
-    merged = stage(cells.groupBy("bucket").applyInPandas(lambda x: _merge(x, buckets), MERGED), "lm_cells")
+
+    def merge(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _merged(groups, buckets)
+
+    merged = stage(cells.groupBy("bucket").applyInPandas(merge, MERGED), "lm_cells")
     drop_path(spark, f"{path}/kind=cells")  # half of what is written, and read once
     wants, model, every, corpus = learn(merged, burn, samples, steps, seed, buckets)
     shared = spark.sparkContext.broadcast((every, corpus))

@@ -233,3 +233,62 @@ def test_lone_customers_stay_among_the_others():
     assert (seats.customers == customers).all() and (np.diff(seats.dish) >= 0).all() and (seats.tables[[2, 4]] > 1).any()
     seats.follow(customers + np.array([0, 3, 0, 0, -30, 0, 0]), np.full(7, 2.0), 0.5, rng)
     assert seats.customers.tolist() == [1, 4, 5, 1, 10, 1, 1] and (np.diff(seats.dish) >= 0).all()
+
+
+def packed_pairs(batches, n):
+    """Pairs of some batches in one bucket, as the reading stage packs them."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for b in range(batches):
+        keys = np.sort(rng.integers(0, 500, n).astype(np.uint64) << np.uint64(45) | rng.integers(0, 257, n).astype(np.uint64))
+        context = rng.integers(0, 500, n).astype(np.uint64) << np.uint64(20)
+        rows.append(("cells", f"b{b}", 0, pitman_yor._pack_pairs(keys, context, np.ones(n, dtype=np.uint32))))
+    return pitman_yor.pd.DataFrame(rows, columns=["kind", "batch", "bucket", "data"])
+
+
+def test_a_bucket_is_merged_in_little_memory():
+    """Bytes a pair that merging holds at once, and rows that come and go in pieces."""
+    import tracemalloc
+    pairs = packed_pairs(20, 25_000)
+    tracemalloc.start()
+    whole = pitman_yor._merge(pairs, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * 500_000  # it was 157 bytes a pair
+    pieces = list(pitman_yor._merged((pairs[i: i + 3] for i in range(0, 20, 3)), 7))
+    assert pitman_yor.pd.concat(pieces, ignore_index=True).equals(whole.reset_index(drop=True))
+    rows = [("x", bytes(n)) for n in (1, 5, 9, 2, 2)]
+    assert [len(x) for x in pitman_yor._in_pieces(rows, 6)] == [2, 1, 2]
+
+
+def test_moved_dishes_stand_aside():
+    """Steps on the dishes that still move are those on all dishes: same draws, same tables."""
+    start = np.random.default_rng(3)
+    customers = np.concatenate([start.integers(1, 4, 400), start.integers(5, 60, 40)])
+    new = start.random(len(customers)) * 3
+    got = pitman_yor.first_seating(customers, new, 0.4, np.random.default_rng(1))
+    want = pitman_yor.Seating(got.dish.copy(), got.size.copy(), got.dishes)
+    touched = []
+    part = pitman_yor.Seating.part
+    try:
+        pitman_yor.Seating.part = lambda self, d: touched.append(len(d)) or part(self, d)
+        got.move(new, 0.4, 2, np.random.default_rng(2))
+    finally:
+        pitman_yor.Seating.part = part
+    rng, several = np.random.default_rng(2), np.flatnonzero(customers > 1)
+    for _ in range(2):
+        for k in range(16):
+            small = several[(customers[several] > max(k, 1)) & (customers[several] <= 16)]
+            want.leave(small, rng)
+            want.enter(small, new, 0.4, rng)
+            want._move_group(np.flatnonzero(customers > 16), customers, new, 0.4, 1 / 16, rng)
+    assert (got.dish == want.dish).all() and (got.size == want.size).all()
+    assert touched and min(touched) < 100
+
+
+def test_a_sweep_sends_one_row_of_class_totals():
+    """Totals of classes and root travel packed; a place without contexts adds them up as well."""
+    parts = [[np.full(n, float(k)) for n in pitman_yor.SUMS.values()] for k in (1, 2)]
+    group = pitman_yor._frame([("sums", 3, k, 0.0, pitman_yor.pack(*x)) for k, x in enumerate(parts)])
+    got = pitman_yor._context_totals(group)
+    assert got.groupby("kind").size().to_dict() == pitman_yor.SUMS and (got.value == 3).all()
