@@ -297,32 +297,41 @@ class Seating:
         order = np.argsort(dish, kind="stable")
         self.dish, self.size = dish[order], np.concatenate([self.size[stay], seats.size])[order]
 
-    def _pick(self, weight: np.ndarray, dishes: np.ndarray, rng) -> np.ndarray:
-        """One table of each of these dishes, by weight."""
+    def _span(self, dishes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first table of each of these dishes, the one after its last)."""
+        return np.searchsorted(self.dish, dishes, "left"), np.searchsorted(self.dish, dishes, "right")
+
+    def _pick(self, dishes: np.ndarray, discount: float, rng) -> np.ndarray:
+        """One table of each of these dishes, by its size less the discount; no other tables are looked at."""
+        first, stop = self._span(dishes)
+        n = stop - first
+        end = np.cumsum(n)
+        tables = np.arange(end[-1]) + np.repeat(stop - end, n)
+        weight = self.size[tables] - discount
         upto = np.cumsum(weight)
-        first = np.searchsorted(self.dish, dishes, "left")
-        last = np.searchsorted(self.dish, dishes, "right") - 1
-        low = upto[first] - weight[first]
-        at = np.searchsorted(upto, low + rng.random(len(dishes)) * (upto[last] - low), "right")
-        return np.clip(at, first, last)
+        low, high = upto[end - n] - weight[end - n], upto[end - 1]
+        at = np.searchsorted(upto, low + rng.random(len(dishes)) * (high - low), "right")
+        return tables[np.clip(at, end - n, end - 1)]
 
     def leave(self, dishes: np.ndarray, rng) -> None:
         """A random customer of each of these dishes leaves; empty tables close."""
-        self.size[self._pick(self.size.astype(float), dishes, rng)] -= 1
-        if (self.size == 0).any():
-            stay = self.size > 0
-            self.dish, self.size = self.dish[stay], self.size[stay]
+        at = self._pick(dishes, 0.0, rng)
+        self.size[at] -= 1
+        closed = at[self.size[at] == 0]
+        if len(closed):
+            self.dish, self.size = np.delete(self.dish, closed), np.delete(self.size, closed)
 
     def enter(self, dishes: np.ndarray, new: np.ndarray, discount: float, rng) -> None:
         """A customer of each of these dishes sits down; ``new`` is the weight of a new table per dish."""
-        old = (self.customers - discount * self.tables)[dishes]
+        first, stop = self._span(dishes)
+        upto = np.concatenate([[0], np.cumsum(self.size)])
+        old = upto[stop] - upto[first] - discount * (stop - first)
         opens = rng.random(len(dishes)) * (old + new[dishes]) < new[dishes]
         opens |= old <= 0
         join = dishes[~opens]
         if len(join):
-            self.size[self._pick(self.size - discount, join, rng)] += 1
-        fresh = dishes[opens]
-        at = np.searchsorted(self.dish, fresh, "right")
+            self.size[self._pick(join, discount, rng)] += 1
+        fresh, at = dishes[opens], stop[opens]
         self.dish, self.size = np.insert(self.dish, at, fresh), np.insert(self.size, at, 1)
 
     def move(self, new: np.ndarray, discount: float, steps: int, rng, groups: int = 16) -> None:
@@ -340,27 +349,15 @@ class Seating:
             seats.move(new[several], discount, steps, rng, groups)
             self.put(several, seats)
             return
+        large = np.flatnonzero(customers > groups)
         for _ in range(steps):
-            self._move_from(0, customers, new, discount, rng, groups)
-
-    def _move_from(self, first: int, customers: np.ndarray, new: np.ndarray, discount: float, rng, groups: int) -> None:
-        """The grouped steps from ``first`` on; once half of the dishes have moved all their customers, the others go on alone."""
-        for k in range(first, groups):
-            going = customers > max(k, 1)
-            number = np.flatnonzero(going)
-            if not len(number):
-                return
-            if 2 * len(number) <= self.dishes:
-                seats = self.part(number)
-                seats._move_from(k, customers[number], new[number], discount, rng, groups)
-                self.put(number, seats)
-                return
-            small, large = np.flatnonzero(going & (customers <= groups)), np.flatnonzero(customers > groups)
-            if len(small):
-                self.leave(small, rng)
-                self.enter(small, new, discount, rng)
-            if len(large):
-                self._move_group(large, customers, new, discount, 1 / groups, rng)
+            for k in range(groups):
+                small = np.flatnonzero((customers > max(k, 1)) & (customers <= groups))
+                if len(small):
+                    self.leave(small, rng)
+                    self.enter(small, new, discount, rng)
+                if len(large):
+                    self._move_group(large, customers, new, discount, 1 / groups, rng)
 
     def _move_group(self, large: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, share: float,
                     rng) -> None:
