@@ -32,15 +32,22 @@ def messages_with_symbol(spark, sf) -> DataFrame:
     return ds.attach_symbol(tables.messages(spark, sf), tables.issuers(spark, sf))
 
 
-def labelled(spark, sf, scale: float = 1.0, lower: bool = True) -> DataFrame:
-    """Messages of known symbols joined to the trading day they can affect, labelled.
+def labelled_rows(spark, sf, scale: float = 1.0, lower: bool = True) -> DataFrame:
+    """Messages of known symbols joined to the trading day they can affect, labelled; what comes from documents is not joined yet.
 
-    Lazy: a query that reads no text carries none through its joins.  The inner join on
-    (symbol, day) already drops unknown symbols (B2), so no separate filter runs.
+    The inner join on (symbol, day) already drops unknown symbols (B2), so no separate filter runs.
     """
-    m = ds.with_trading_day(messages_with_symbol(spark, sf))
+    m = ds.with_trading_day(ds.attach_symbol(tables.message_rows(spark, sf), tables.issuers(spark, sf)))
     j = ds.join_history(m, history(spark, sf, scale))
-    return ds.label(ds.ground_truth(j, k=K, lower=lower, scale=scale), lower=lower).select(*LABELLED_COLS)
+    return ds.label(ds.ground_truth(j, k=K, lower=lower, scale=scale), lower=lower)
+
+
+def labelled(spark, sf, scale: float = 1.0, lower: bool = True) -> DataFrame:
+    """The labelled messages with their texts, which join last: no other join moves a text a message.
+
+    Lazy: a query that reads no text carries none through its joins.
+    """
+    return tables.with_texts(labelled_rows(spark, sf, scale, lower), tables.texts(spark, sf)).select(*LABELLED_COLS)
 
 
 def q_msg_issuer(spark, sf):
