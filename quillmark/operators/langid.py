@@ -11,7 +11,7 @@ whole texts on any number of executors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,39 +187,51 @@ def clean_title(c: Column) -> Column:
 
 
 def language_columns(rows: DataFrame, model: DataFrame, priors: DataFrame, texts: DataFrame | None = None,
-                     id_col: str = "id", title: str = "title", body: str = "body") -> DataFrame:
+                     id_col: str = "id", title: str = "title", body: str = "body", bodies: DataFrame | None = None,
+                     attach: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """B1: ``rows`` with the language columns of their titles and bodies.
 
     Adds title_clean, title_lang, title_lang_score; par_len, par_label, par_label_score (arrays over the scored paragraphs in
     order); weighted_scores, weighted_label, weighted_label_conf, n_paragraphs.  Texts are taken from ``texts`` (default: the
     rows), named by their SHA-256 and scored once each, however many messages carry them.  A missing or unscored title or
     body has the label ``"None"``, no scores and 0 paragraphs.
+
+    Where the bodies lie in a table of their own, ``bodies`` (text, ...) is that table and ``attach(rows, bodies)`` gives rows
+    without ``body`` theirs; columns of ``bodies`` named ``_...`` stay.  That is the last join: the others move no text a message.
     """
     texts = rows if texts is None else texts
 
-    def distinct(col: str) -> DataFrame:
+    def distinct(texts: DataFrame, col: str) -> DataFrame:
         named = texts.where(F.col(col).isNotNull()).select(F.sha2(F.col(col), 256).alias("_key"), F.col(col).alias("_text"))
         return named.groupBy("_key").agg(F.any_value("_text").alias("_text"))
 
-    titles = distinct(title).select("_key", clean_title(F.col("_text")).alias("title_clean"))
+    titles = distinct(texts, title).select("_key", clean_title(F.col("_text")).alias("title_clean"))
     lines = titles.select("_key", F.lit(0).alias("par"), F.col("title_clean").alias("ptext"),
                           F.length("title_clean").alias("par_len"))
     found = score_paragraphs(lines, model, priors, id_col="_key").select(
         "_key", F.col("par_label").alias("title_lang"), F.col("par_label_score").alias("title_lang_score"))
     titles = titles.join(found, "_key", "left").withColumnRenamed("_key", "_title")
 
-    bodies = stage(distinct(body), "bodies")  # both sides of the scoring and the documents read it
-    scored = stage(score_paragraphs(paragraphs(bodies, "_key", "_text"), model, priors, id_col="_key"), "scored_paragraphs")
+    # both sides of the scoring and the documents read them
+    each = stage(distinct(texts, body) if attach is None else distinct(bodies, "text"), "bodies")
+    scored = stage(score_paragraphs(paragraphs(each, "_key", "_text"), model, priors, id_col="_key"), "scored_paragraphs")
     in_order = F.array_sort(F.collect_list(F.struct("par", "par_len", "par_label", "par_label_score")))
     parts = scored.groupBy("_key").agg(in_order.alias("_p")).select("_key", "_p.par_len", "_p.par_label", "_p.par_label_score")
-    docs = document_language(scored, bodies, id_col="_key").join(parts, "_key", "left").withColumnRenamed("_key", "_body")
+    docs = document_language(scored, each, id_col="_key").join(parts, "_key", "left").withColumnRenamed("_key", "_body")
 
     # a missing text has a key of its own that matches nothing, so such rows do not meet in one partition
-    def key(col: str) -> Column:
-        return F.coalesce(F.sha2(F.col(col), 256), F.concat(F.lit("-"), F.col(id_col).cast("string")))
-
-    out = (rows.withColumn("_title", key(title)).withColumn("_body", key(body))
-           .join(titles, "_title", "left").join(docs, "_body", "left").drop("_title", "_body"))
+    def key(col: str, own: str) -> Column:
+        return F.coalesce(F.sha2(F.col(col), 256), F.concat(F.lit("-"), F.col(own).cast("string")))
+
+    out = rows.withColumn("_title", key(title, id_col)).join(titles, "_title", "left").drop("_title")
+    if attach is None:
+        out = out.withColumn("_body", key(body, id_col)).join(docs, "_body", "left").drop("_body")
+    else:
+        columns = [c for c in docs.columns if c != "_body"]
+        named = docs.select("_body", *[F.col(c).alias(f"_{c}") for c in columns])
+        out = attach(out, bodies.withColumn("_body", key("text", "doc_id")).join(named, "_body", "left").drop("_body"))
+        carried = F.col(body).isNotNull()
+        out = out.withColumns({c: F.when(carried, F.col(f"_{c}")) for c in columns}).drop(*[f"_{c}" for c in columns])
     none = {"title_lang": F.lit(NO_LABEL), "weighted_label": F.lit(NO_LABEL), "n_paragraphs": F.lit(0),
             "weighted_scores": F.create_map().cast("map<string,double>"), "par_len": F.array().cast("array<int>"),
             "par_label": F.array().cast("array<string>"), "par_label_score": F.array().cast("array<double>")}
