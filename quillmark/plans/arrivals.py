@@ -12,26 +12,30 @@ from quillmark.sources.oracle import with_views
 from quillmark.streaming import labels
 
 FILES = 6                  # batches of arriving files in all
-FILE_BYTES = 64_000_000    # text bytes a file; a batch takes as many files as its share needs
+FILE_BYTES = 64_000_000    # text bytes a file on average; a batch takes as many files as its share needs
 # how the fixture's files differ: columns in another order, no header line, a name on the blacklist
 SWAPPED, HEADERLESS, LISTED = ("S1", "S4", "S7"), "S9", {"S3": "KRAB"}
 
 
 def q_stream_labels(spark, sf):
-    """C2, H1 as a stream: half of the message files, then the rest after a restart; equals the labelled table."""
+    """C2, H1 as a stream: half of the message files, then the rest after a restart; equals the labelled table.
+
+    The files are written as the messages come, so no text moves for them; a file has as many rows as make ``FILE_BYTES`` on average.
+    """
     messages = tables.messages(spark, sf)
     source, out, checkpoint = (fresh_path(spark, x) for x in ("messages", "stream_out", "stream_log"))
     part = F.pmod(F.xxhash64("id"), F.lit(FILES))
-    kept = stage(messages.withColumn("_part", part), "stream_messages")
-    size = kept.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    pieces = max(1, -(-size // (FILES * FILE_BYTES)))
-    piece = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(pieces))
+    rows, size = messages.agg(F.count("*"), F.sum(F.octet_length("body"))).first()
+    at_most = max(1, rows * FILE_BYTES // max(1, size or 0))
     static = (stage(tables.issuers(spark, sf), "issuers"), stage(dp.history(spark, sf), "history"))
     columns = ["id", "symbol", "next_day", "is_positive", "is_negative", "label"]
-    for mine in (F.col("_part") < FILES // 2, F.col("_part") >= FILES // 2):
-        kept.where(mine).repartition(FILES // 2 * pieces, "_part", piece).drop("_part").write.mode("append").parquet(source)
-        labels.run(spark, source, messages.schema, *static, dp.K, out, checkpoint, columns, files_a_batch=pieces)
-    labels.run(spark, source, messages.schema, *static, dp.K, out, checkpoint, columns, files_a_batch=pieces)  # nothing new
+    seen, a_batch = 0, 1
+    for mine in (part < FILES // 2, part >= FILES // 2):
+        messages.where(mine).write.mode("append").option("maxRecordsPerFile", at_most).parquet(source)
+        found = len(ing.files_of(spark, source))
+        a_batch, seen = max(1, -(-(found - seen) // (FILES // 2))), found
+        labels.run(spark, source, messages.schema, *static, dp.K, out, checkpoint, columns, files_a_batch=a_batch)
+    labels.run(spark, source, messages.schema, *static, dp.K, out, checkpoint, columns, files_a_batch=a_batch)  # nothing new
     return spark.read.parquet(out).select(*columns)
 
 
