@@ -38,3 +38,30 @@ def test_blocks_give_the_same_scores(spark):
         return sorted((r.fold, r.doc_id, r.alpha, r.norm, *r.labels, *[round(x, 9) for x in r.logits]) for r in got)
 
     assert scores(4) == scores(None) and len(scores(4)) == 120
+
+
+def test_a_block_fetches_the_terms_of_one_fit(spark):
+    rows = [(d, f"l{d % 2}", d % 3, f"t{k}", 1.0) for d in range(60) for k in range(5)]
+    train = spark.createDataFrame(rows, "doc_id long, label string, fold int, term string, weight double")
+    params = md.cnb_logged(train.groupBy("fold", "label", "term").agg(F.sum("weight").alias("fc")), ["fold"], [1.0], ["l0", "l1"])
+    got = md.cnb_scores(train.select("fold", "doc_id", "term", "weight"), params, ["fold"], [True], 2, blocks=6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64(doc_id" in plan and ", 2)" in plan and got.count() == 60  # two blocks a fold instead of six
+
+
+def test_tokens_stay_with_their_document(spark, monkeypatch):
+    monkeypatch.setattr(tx, "PART_BYTES", 200)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(1 + i % 9))) for i in range(60)] + [(3, "twice here"), (61, None)],
+                                 "doc_id long, text string")
+    ids = F.broadcast(tx.term_ids(tx.doc_terms(docs.where("doc_id < 40"))))
+    for df in (tx.encode(docs, ids, max_len=4), tx.pack_blocks(docs, ids, block=4, batch=20)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [doc_id" in plan
+    known = {r.term: r.token_id for r in tx.term_ids(tx.doc_terms(docs.where("doc_id < 40"))).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.where("doc_id <> 3 and text is not null").collect())
+    want = {}
+    for b in range(3):
+        stream = [known.get(w, tx.UNK_ID) for d, x in rows if d // 20 == b for w in x.split()]
+        want.update({(b, i): stream[4 * i: 4 * i + 4] for i in range(len(stream) // 4)})
+    got = tx.pack_blocks(docs.where("doc_id <> 3"), ids, block=4, batch=20).collect()
+    assert {(r.batch, r.block): list(r.input_ids) for r in got} == want
